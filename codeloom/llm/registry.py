@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .bpe import op7_bpe
+from .licenses import op8_license_scan
 from .quality import op4_quality_rules
+from .simhash import op2_simhash_near_dedup
 
 QUERIES = {
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op7_bpe": op7_bpe,
+    "op8_license_scan": op8_license_scan,
 }
 
 ORACLES: dict[str, str] = {}
