@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .licenses import op8_license_scan
+from .mixing import op1_mixing
 from .quality import op4_quality_rules
 from .simhash import op2_simhash_near_dedup
+from .urls import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_url_filter": op5_url_filter,
     "op7_bpe": op7_bpe,
     "op8_license_scan": op8_license_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_url_filter": OP5_SQL,
+}
