@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .chat import op10_chat_format
 from .licenses import op8_license_scan
 from .mixing import op1_mixing
 from .quality import op4_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op7_bpe": op7_bpe,
     "op8_license_scan": op8_license_scan,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLES: dict[str, str] = {
