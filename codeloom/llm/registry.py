@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .chat import op10_chat_format
+from .langid import op6_language_id
 from .licenses import op8_license_scan
 from .mixing import op1_mixing
 from .quality import op4_quality_rules
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filter": op5_url_filter,
+    "op6_language_id": op6_language_id,
     "op7_bpe": op7_bpe,
     "op8_license_scan": op8_license_scan,
     "op10_chat_format": op10_chat_format,
