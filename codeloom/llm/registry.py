@@ -9,11 +9,13 @@ from .licenses import op8_license_scan
 from .mixing import op1_mixing
 from .quality import op4_quality_rules
 from .simhash import op2_simhash_near_dedup
+from .toxicity import op3_toxicity
 from .urls import OP5_SQL, op5_url_filter
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filter": op5_url_filter,
     "op6_language_id": op6_language_id,
