@@ -1,13 +1,51 @@
-"""A corpus pipeline of five training-data stages."""
+"""A corpus pipeline: quality rules, toxicity, near-duplicates, mixing, and BPE encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from codeloom.llm import bpe, mixing, quality, simhash, toxicity
+from codeloom.llm.common import table, written
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that pass the base rules and the likelihood ratio."""
+    return quality.quality_rules(docs, table(spark, sf_dir, "labels")).filter("kept").select("row.*")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that are not predicted to be toxic."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).filter("predicted = 0").select("row.*")
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, the one with the smallest id."""
+    return simhash.near_duplicates(docs).filter("chosen").select("row.*")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the mixture: the files' order is the schedule."""
+    return mixing.mixed(docs).orderBy("position").select("row.*")
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each document."""
+    return bpe.encoded(docs)
+
+
+STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_dedup", dedup_stage), ("mixing", mixing_stage), ("bpe", bpe_stage)]
+
+#: SQL can express neither the fingerprints nor the tokens; tests/llm checks each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
