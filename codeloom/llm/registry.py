@@ -7,6 +7,7 @@ from .chat import op10_chat_format
 from .langid import op6_language_id
 from .licenses import op8_license_scan
 from .mixing import op1_mixing
+from .neighbours import op9_nearest
 from .quality import op4_quality_rules
 from .simhash import op2_simhash_near_dedup
 from .toxicity import op3_toxicity
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_bpe": op7_bpe,
     "op8_license_scan": op8_license_scan,
+    "op9_nearest": op9_nearest,
     "op10_chat_format": op10_chat_format,
 }
 
