@@ -30,8 +30,8 @@ HAS_WORD = r"[^\x20\x09-\x0D]"
 def _grams(words: Column) -> Column:
     """A bucket for each word."""
     before = F.concat(F.array(F.lit("")), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
-    gram = lambda w, p: F.xxhash64(F.substring(w, -3, 3), w == p).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
-    return F.when(F.size(words) > 0, F.zip_with(words, before, gram)).otherwise(F.array().cast("array<int>"))
+    gram = lambda w, p: F.xxhash64(F.substring(w, -3, 3), w == p).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("smallint")
+    return F.when(F.size(words) > 0, F.zip_with(words, before, gram)).otherwise(F.array().cast("array<smallint>"))
 
 
 def _counts(texts: DataFrame, name: str) -> DataFrame:
@@ -49,7 +49,7 @@ def ratio_model(docs: DataFrame, trusted: DataFrame, *, smoothing: float = SMOOT
         _counts(trusted, "n_target").withColumn("n_raw", F.lit(0).cast("long"))
     )
     counted = both.groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target"))
-    all_buckets = docs.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket"))
+    all_buckets = docs.sparkSession.range(size).select(F.col("id").cast("smallint").alias("bucket"))
     dense = all_buckets.join(counted, "bucket", "left").fillna(0, ["n_raw", "n_target"])
     rows = F.array_sort(F.collect_list(F.struct("bucket", "n_target", "n_raw")))
     one = dense.agg(rows.alias("rows"), F.sum("n_target").alias("t"), F.sum("n_raw").alias("r"))
@@ -102,8 +102,9 @@ def quality_rules(
     """
     t = F.coalesce(docs[text], F.lit(""))
     lines = lambda x: F.size(x) - F.size(F.array_distinct(x))
-    split = docs.select(F.struct(*[docs[c] for c in (keep or docs.columns)]).alias("row"), docs[doc_id].alias("id"), t.alias("t"), ascii_words(t).alias("w"))
-    counted = split.select(
+    row = F.struct(*[docs[c] for c in (keep or docs.columns)]).alias("row")
+    split = docs.select(row, docs[doc_id].alias("id"), t.alias("t"), ascii_words(t).alias("w"))
+    measured = split.select(
         "row",
         "id",
         F.size("w").cast("long").alias("n_words"),
@@ -113,11 +114,16 @@ def quality_rules(
         _covered(_windows(F.col("w"))).alias("n_repeat_words"),
         _grams(F.col("w")).alias("g"),
     )
-    counted = written(counted, "quality")
+    if keep:  # few columns: measure once and keep what was measured
+        measured = written(measured, "quality")
+        grams = measured.select("id", "g")
+    else:  # whole rows: texts are read twice rather than written between
+        grams = written(split.select("id", _grams(F.col("w")).alias("g")), "quality-grams")
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("id"))
-    model = ratio_model(counted, counted.join(good, "id", "left_semi"), smoothing=smoothing)
+    # a merge join at every size: only the buckets of a document are shuffled, two bytes a word
+    model = ratio_model(grams.select("g"), grams.join(good.hint("merge"), "id", "left_semi"), smoothing=smoothing)
     total = F.aggregate("g", F.lit(0.0), lambda a, b: a + F.get("m", b))
-    scored = counted.withColumn("m", model.scalar()).withColumn("score", F.when(F.size("g") > 0, total / F.size("g")))
+    scored = measured.withColumn("m", model.scalar()).withColumn("score", F.when(F.size("g") > 0, total / F.size("g")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False))
     return scored.drop("m", "g", "id").withColumn("base_failed", failed).withColumn("kept", kept)
