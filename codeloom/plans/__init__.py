@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import history, retrieve, structure
+
+QUERIES: dict = history.QUERIES | structure.QUERIES | retrieve.QUERIES
+ORACLES: dict[str, str] = history.ORACLES | structure.ORACLES | retrieve.ORACLES
