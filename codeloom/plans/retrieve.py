@@ -195,7 +195,7 @@ SELECT chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf
     "rrf_fusion": f"""WITH sem AS (SELECT vec_id, row_number() OVER (ORDER BY list_distance(CAST(embedding AS DOUBLE[]), CAST({_FIRST} AS DOUBLE[])), vec_id) AS rk FROM embeddings),
 kw AS (SELECT vec_id, vec_id // 7 + 1 AS rk FROM embeddings WHERE vec_id % 7 = 0 ORDER BY vec_id LIMIT 20)
 SELECT vec_id AS chunk_id, round(sum(p), 8) AS rrf FROM (SELECT vec_id, 1.0 / (60 + rk) AS p FROM sem WHERE rk <= 20 UNION ALL SELECT vec_id, 2.0 / (60 + rk) FROM kw) GROUP BY 1""",
-    "symbol_boost": "SELECT doc_id AS chunk_id, round(1.0 + b, 6) AS score FROM (SELECT doc_id, 0.2 * CAST(contains(lower(text), 'license') AS INT) + 0.1 * CAST(contains(lower(text), 'apache') AS INT) AS b FROM documents) WHERE b > 0",
+    "symbol_boost": "SELECT doc_id AS chunk_id, CAST(round(1.0 + b, 6) AS DOUBLE) AS score FROM (SELECT doc_id, 0.2 * CAST(contains(lower(text), 'license') AS INT) + 0.1 * CAST(contains(lower(text), 'apache') AS INT) AS b FROM documents) WHERE b > 0",
     "minmax_blend": "SELECT doc_id, round(0.25 + 0.5 * CASE WHEN hi - lo <= 1e-6 THEN 0.5 ELSE (n_chars - lo) / (hi - lo) END, 6) AS score FROM (SELECT doc_id, CAST(n_chars AS DOUBLE) AS n_chars, CAST(min(n_chars) OVER (PARTITION BY source) AS DOUBLE) AS lo, CAST(max(n_chars) OVER (PARTITION BY source) AS DOUBLE) AS hi FROM documents)",
     "search_tokens": f"WITH {_TOKENS} SELECT chunk_id, CAST(len(list_filter(t, lambda x: ascii(x) < 128)) AS BIGINT) AS n FROM tokens",
     "retrieval_metrics": """WITH e AS (SELECT DISTINCT doc_id % 20 AS case_id, source AS path FROM documents WHERE doc_id % 10 = 0),
