@@ -47,7 +47,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter((F.col("l_quantity") >= 48) & (F.col("l_returnflag") == "R"))
+    li = table(spark, sf_dir, "lineitem")
     tail = F.concat(F.lit("f"), F.col("l_partkey").cast("string"))
     return li.select(
         F.concat(F.lit("src/m"), (F.col("l_suppkey") % SYMBOL_FILES).cast("string"), F.lit(".rs")).alias("from_file"),
@@ -59,9 +59,11 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
-    name = lambda k: F.concat(F.lit("n"), (F.col(k) % 300).cast("string"))
-    return o.select(name("o_custkey").alias("src"), name("o_orderkey").alias("dst"))
+    """Ten rings of thirty files, and one-way edges between rings."""
+    k = (F.col("o_custkey") % 300).cast("int")
+    ring = (k - k % 30) + (k % 30 + 1 + (F.col("o_orderkey") % 5).cast("int")) % 30
+    to = F.when((F.col("o_orderstatus") == "P") & (k < 270), k + 30).otherwise(ring)
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("n"), k.cast("string")).alias("src"), F.concat(F.lit("n"), to.cast("string")).alias("dst"))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,10 +122,11 @@ symbols AS (
 ), refs AS (
   SELECT 'src/m' || (l_suppkey % 200) || '.rs' AS from_file, 'pkg::f' || l_partkey AS to_name, 'f' || l_partkey AS to_name_tail,
     CASE WHEN l_linenumber % 2 = 0 THEN 'import' ELSE 'call' END AS kind, CAST(l_orderkey % 10 * 20 + l_linenumber AS INTEGER) AS line
-  FROM lineitem WHERE l_quantity >= 48 AND l_returnflag = 'R'
+  FROM lineitem
 )"""
 
 IMPORTS_SQL = """
 edges AS (
-  SELECT DISTINCT 'n' || (o_custkey % 300) AS src, 'n' || (o_orderkey % 300) AS dst FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 300 <> o_orderkey % 300
+  SELECT DISTINCT 'n' || k AS src, 'n' || CASE WHEN o_orderstatus = 'P' AND k < 270 THEN k + 30 ELSE (k - k % 30) + (k % 30 + 1 + o_orderkey % 5) % 30 END AS dst
+  FROM (SELECT *, o_custkey % 300 AS k FROM orders)
 )"""

@@ -65,8 +65,7 @@ def dir_cluster(s, d):
 def coupled_tests(s, d):
     kept = _kept(s, d)
     hist = H.file_history(kept, NOW)
-    asked = hist.filter(F.col("path").startswith("src/d1/")).select("path")
-    return H.recommend_tests(asked, hist, _pairs(kept)).select("test", "kind", F.round("weight", 6).alias("weight"))
+    return H.recommend_tests(hist.select("path"), hist, _pairs(kept)).select("test", "kind", F.round("weight", 6).alias("weight"))
 
 
 def coupling_report(s, d):

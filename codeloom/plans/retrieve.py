@@ -37,7 +37,7 @@ def knn_filtered_offset(s, d):
 
 
 def knn_batch(s, d):
-    q = table(s, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).limit(4096)
+    q = table(s, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return R.knn_many(vector_table(s, d), q, 3).select("query_id", "chunk_id", F.round("distance", 5).alias("distance"), F.col("rank").cast("bigint").alias("rk"))
 
 
@@ -69,7 +69,7 @@ def vec_quantize_int8(s, d):
 
 
 def vec_each(s, d):
-    return _pairs(s, d).filter("vec_id % 50 = 0").select("vec_id", F.posexplode("a").alias("i", "v")).select("vec_id", F.col("i").cast("bigint").alias("i"), F.round(F.col("v").cast("double"), 6).alias("v"))
+    return _pairs(s, d).select("vec_id", F.posexplode("a").alias("i", "v")).select("vec_id", F.col("i").cast("bigint").alias("i"), F.round(F.col("v").cast("double"), 6).alias("v"))
 
 
 def bm25_topk(s, d):
@@ -107,8 +107,8 @@ def search_tokens(s, d):
 
 def retrieval_metrics(s, d):
     docs = table(s, d, "documents")
-    expected = docs.filter("doc_id % 10 = 0").select((F.col("doc_id") % 20).alias("case_id"), F.col("source").alias("path"))
-    results = docs.filter("doc_id < 400").select((F.col("doc_id") % 20).alias("case_id"), F.col("doc_id").alias("rank"), F.concat(F.lit("src"), (F.col("doc_id") / 20).cast("int").cast("string")).alias("path"))
+    expected = docs.select((F.col("doc_id") % 20).alias("case_id"), F.col("source").alias("path"))
+    results = docs.select((F.col("doc_id") % 20).alias("case_id"), F.col("doc_id").alias("rank"), F.concat(F.lit("src"), (F.floor(F.col("doc_id") / 20) % 25).cast("string")).alias("path"))
     return M.retrieval_metrics(expected, results).select("case_id", F.col("first_hit").cast("bigint").alias("first_hit"), "noise", F.round("recall_5", 6).alias("recall_5"), F.round("recall_10", 6).alias("recall_10"))
 
 
@@ -178,14 +178,14 @@ ORACLES = {
     "knn_l2": f"SELECT vec_id AS chunk_id, {_DIST} AS distance FROM embeddings ORDER BY list_distance(CAST(embedding AS DOUBLE[]), CAST({_FIRST} AS DOUBLE[])), vec_id LIMIT 10",
     "knn_partitioned": f"SELECT vec_id AS chunk_id, {_DIST} AS distance FROM embeddings WHERE label IN (1, 3) ORDER BY list_distance(CAST(embedding AS DOUBLE[]), CAST({_FIRST} AS DOUBLE[])), vec_id LIMIT 10",
     "knn_filtered_offset": f"SELECT vec_id AS chunk_id, {_DIST} AS distance FROM embeddings WHERE vec_id % 5 IN (1, 2) ORDER BY list_distance(CAST(embedding AS DOUBLE[]), CAST({_FIRST} AS DOUBLE[])), vec_id LIMIT 10 OFFSET 5",
-    "knn_batch": "SELECT query_id, chunk_id, round(dist, 5) AS distance, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, chunk_id) AS rk FROM (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS dist FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rk <= 3",
+    "knn_batch": "SELECT query_id, chunk_id, round(dist, 5) AS distance, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, chunk_id) AS rk FROM (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS dist FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)) WHERE rk <= 3",
     "vec_l1": f"WITH {_PAIRS} SELECT vec_id, round({_SUM.format('abs(z[1] - z[2])')}, 5) AS l1 FROM pairs",
     "vec_cosine": f"WITH {_PAIRS} SELECT vec_id, round(1 - list_cosine_similarity(a, b), 5) AS cosine FROM pairs",
     "vec_hamming_quantized": f"WITH {_PAIRS} SELECT vec_id, CAST({_SUM.format('CASE WHEN (z[1] > 0) <> (z[2] > 0) THEN 1 ELSE 0 END')} AS BIGINT) AS hamming FROM pairs",
     "vec_normalize": f"WITH {_PAIRS} SELECT vec_id, round(a[1] / sqrt(list_dot_product(a, a)), 5) AS v0, CAST(len(a) AS BIGINT) AS n FROM pairs",
     "vec_arithmetic": f"WITH {_PAIRS} SELECT vec_id, round({_SUM.format('z[1] + z[2]')}, 4) AS added, round({_SUM.format('z[1] - z[2]')}, 4) AS taken, round(list_sum(a[9:16]), 4) AS sliced FROM pairs",
     "vec_quantize_int8": f"WITH {_PAIRS} SELECT vec_id, CAST(list_sum(list_transform(a, lambda x: greatest(-128, least(127, trunc((x + 1.0) / (2.0 / 255.0) - 128.0))))) AS BIGINT) AS total FROM pairs",
-    "vec_each": f"WITH {_PAIRS} SELECT vec_id, i - 1 AS i, round(a[i], 6) AS v FROM pairs, range(1, 65) t(i) WHERE vec_id % 50 = 0",
+    "vec_each": f"WITH {_PAIRS} SELECT vec_id, i - 1 AS i, round(a[i], 6) AS v FROM pairs, range(1, 65) t(i)",
     "bm25_topk": f"""WITH {_TOKENS}, shape AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM tokens),
 hits AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM tokens) WHERE term IN {_IN} GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM hits GROUP BY 1)
@@ -198,8 +198,8 @@ SELECT vec_id AS chunk_id, round(sum(p), 8) AS rrf FROM (SELECT vec_id, 1.0 / (6
     "symbol_boost": "SELECT doc_id AS chunk_id, CAST(round(1.0 + b, 6) AS DOUBLE) AS score FROM (SELECT doc_id, 0.2 * CAST(contains(lower(text), 'license') AS INT) + 0.1 * CAST(contains(lower(text), 'apache') AS INT) AS b FROM documents) WHERE b > 0",
     "minmax_blend": "SELECT doc_id, round(0.25 + 0.5 * CASE WHEN hi - lo <= 1e-6 THEN 0.5 ELSE (n_chars - lo) / (hi - lo) END, 6) AS score FROM (SELECT doc_id, CAST(n_chars AS DOUBLE) AS n_chars, CAST(min(n_chars) OVER (PARTITION BY source) AS DOUBLE) AS lo, CAST(max(n_chars) OVER (PARTITION BY source) AS DOUBLE) AS hi FROM documents)",
     "search_tokens": f"WITH {_TOKENS} SELECT chunk_id, CAST(len(list_filter(t, lambda x: ascii(x) < 128)) AS BIGINT) AS n FROM tokens",
-    "retrieval_metrics": """WITH e AS (SELECT DISTINCT doc_id % 20 AS case_id, source AS path FROM documents WHERE doc_id % 10 = 0),
-r AS (SELECT case_id, path, row_number() OVER (PARTITION BY case_id ORDER BY rk, path) AS rk FROM (SELECT doc_id % 20 AS case_id, 'src' || (doc_id // 20) AS path, min(doc_id) AS rk FROM documents WHERE doc_id < 400 GROUP BY 1, 2)),
+    "retrieval_metrics": """WITH e AS (SELECT DISTINCT doc_id % 20 AS case_id, source AS path FROM documents),
+r AS (SELECT case_id, path, row_number() OVER (PARTITION BY case_id ORDER BY rk, path) AS rk FROM (SELECT doc_id % 20 AS case_id, 'src' || (doc_id // 20 % 25) AS path, min(doc_id) AS rk FROM documents GROUP BY 1, 2)),
 n AS (SELECT case_id, count(*) AS n FROM e GROUP BY 1), ret AS (SELECT case_id, count(*) AS c FROM r GROUP BY 1), h AS (SELECT case_id, min(rk) AS f, count(*) FILTER (WHERE rk <= 5) AS h5, count(*) FILTER (WHERE rk <= 10) AS h10 FROM r JOIN e USING (case_id, path) GROUP BY 1)
 SELECT n.case_id, f AS first_hit, coalesce(f - 1, c, 0) AS noise, round(coalesce(h5, 0) / n, 6) AS recall_5, round(coalesce(h10, 0) / n, 6) AS recall_10 FROM n LEFT JOIN ret USING (case_id) LEFT JOIN h USING (case_id)""",
     "percentiles_small_n": "SELECT event_type, count(*) AS n, max(value) FILTER (WHERE r = n // 2) AS p50, CASE WHEN count(*) >= 20 THEN max(value) FILTER (WHERE r = floor(n * 0.95)) ELSE max(value) END AS p95, CASE WHEN count(*) >= 100 THEN max(value) FILTER (WHERE r = floor(n * 0.99)) ELSE max(value) END AS p99, max(value) AS max FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY 1",
