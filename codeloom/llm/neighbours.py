@@ -4,11 +4,11 @@ Equal vectors are one node, so a vector with very many copies is as cheap as any
 lie near each other in a few random orders. Each round then joins every node with its neighbours and a bounded
 sample of the nodes that it is a neighbour of, compares these among themselves, and keeps the ``k`` nearest of what each node has
 met. Queries walk the finished graph from their own vector's node: each step joins the nearest unvisited nodes of
-a query's pool with their neighbours, both ways, and keeps the ``pool`` nearest. The final ranking measures the best
-of the pool in double precision on the original vectors.
+a query's pool with their neighbours, both ways, and keeps the ``pool`` nearest. The final ranking takes the best of the
+whole pool.
 
-The graph is built on vectors quantised to a byte a component. All steps are joins and bounded groups; the driver sees
-counts only.
+Graph, walk and ranking all use the original vectors, in their own type, and measure them in double precision. All steps are joins
+and bounded groups; the driver sees counts only.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ POOL = 320
 EXPAND = 64
 STEPS = 12
 LINKS = 48
-CHECKED = 64
 TOP = 10
 
 
@@ -48,8 +47,9 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dtype: type) -> np.ndarray:
 
 
 def _squares(x: np.ndarray) -> np.ndarray:
+    x = x - np.median(x, axis=0)  # so that near vectors far from zero, or beside a large one, keep their digits
     n = (x * x).sum(axis=1)
-    d = n[:, None] + n[None, :] - 2 * (x @ x.T)
+    d = np.maximum(n[:, None] + n[None, :] - 2 * (x @ x.T), 0)
     np.fill_diagonal(d, np.inf)
     return d
 
@@ -72,26 +72,26 @@ def _seed_pairs(nodes: DataFrame, dim: int, k: int, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("v"), pa.array(code.astype(np.int32)), pa.array(z[:, 12])], names=["x", "v", "code", "z"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = np.zeros(0, dtype=np.int64), np.zeros((0, dim), dtype=np.float32)
+        ids, vectors = np.zeros(0, dtype=np.int64), np.zeros((0, dim))
 
         def near(i: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
             d = _squares(v)
             m = min(k, len(i) - 1)
             o = np.argpartition(d, m - 1, axis=1)[:, :m] if m else np.zeros((len(i), 0), dtype=int)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(i, m)), pa.array(i[o].ravel()), pa.array(np.take_along_axis(d, o, 1).ravel().astype(np.float32))], names=["x", "y", "d"])
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(i, m)), pa.array(i[o].ravel()), pa.array(np.take_along_axis(d, o, 1).ravel())], names=["x", "y", "d"])
 
         for b in batches:
             ids = np.concatenate([ids, b.column("x").to_numpy()])
-            vectors = np.concatenate([vectors, _matrix(b.column("v"), np.float32)])
+            vectors = np.concatenate([vectors, _matrix(b.column("v"), np.float64)])
             while len(ids) >= 2 * BLOCK:
                 yield near(ids[:BLOCK], vectors[:BLOCK])
                 ids, vectors = ids[BLOCK:], vectors[BLOCK:]
         if len(ids):
             yield near(ids, vectors)
 
-    coded = nodes.mapInArrow(order, "x bigint, v array<tinyint>, code int, z double")
+    coded = nodes.mapInArrow(order, f"x bigint, v {nodes.schema['v'].dataType.simpleString()}, code int, z double")
     coded = coded.repartitionByRange("code", "z", "x").sortWithinPartitions("code", "z", "x")
-    return coded.mapInArrow(blocks, "x bigint, y bigint, d float")
+    return coded.mapInArrow(blocks, "x bigint, y bigint, d double")
 
 
 def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +106,7 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not last:
             starts, ends = starts[:-1], ends[:-1]
         x, far = t.column("x").to_numpy(), t.column("far").to_numpy()
-        v = _matrix(t.column("v"), np.float32)
+        v = _matrix(t.column("v"), np.float64)
         out: list[tuple] = []
         for a, b in zip(starts, ends, strict=True):
             d = _squares(v[a:b])
@@ -114,7 +114,7 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((x[a:b][i], x[a:b][j], d[i, j]))
         rest = t.slice(int(ends[-1]) if len(ends) else 0)
         made = [np.concatenate(z) for z in zip(*out, strict=True)] if out else None
-        made = pa.RecordBatch.from_arrays([pa.array(made[0]), pa.array(made[1]), pa.array(made[2].astype(np.float32))], names=["x", "y", "d"]) if made else None
+        made = pa.RecordBatch.from_arrays([pa.array(made[0]), pa.array(made[1]), pa.array(made[2])], names=["x", "y", "d"]) if made else None
         return made, rest.to_batches()
 
     for b in batches:
@@ -129,19 +129,19 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_graph(nodes: DataFrame, dim: int, *, k: int = K, reverse: int = REVERSE, rounds: int = ROUNDS, orders: int = ORDERS) -> DataFrame:
-    """(x, y, d): about the k nearest nodes of each node, by NN-descent. nodes: x and v, an array<tinyint> of dim components."""
+    """(x, y, d): about the k nearest nodes of each node, by NN-descent. nodes: x and v, an array of dim components."""
     seeds = _seed_pairs(nodes, dim, k, 1)
     for seed in range(2, orders + 1):
         seeds = seeds.unionByName(_seed_pairs(nodes, dim, k, seed))
     graph = written(_top_pairs(seeds, k), "nn-graph")
     for n in range(rounds):
-        far = graph.groupBy("x").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("far"))
+        far = graph.groupBy("x").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("far"))
         # twice as strict a sample would do as well in later rounds; the order differs by round so that all are met
         pick = F.row_number().over(Window.partitionBy("centre").orderBy(F.xxhash64(F.lit(n), "x"), "x"))
         back = graph.select(F.col("y").alias("centre"), "x").withColumn("r", pick).filter(F.col("r") <= reverse).drop("r")
         members = graph.select(F.col("x").alias("centre"), F.col("y").alias("x")).unionByName(back).unionByName(nodes.select(F.col("x").alias("centre"), "x")).distinct()
         carried = members.join(nodes.join(far, "x", "left").fillna(float("inf"), ["far"]), "x").select("centre", "x", "v", "far")
-        new = carried.repartition("centre").sortWithinPartitions("centre").mapInArrow(_local_join, "x bigint, y bigint, d float")
+        new = carried.repartition("centre").sortWithinPartitions("centre").mapInArrow(_local_join, "x bigint, y bigint, d double")
         grown = written(_top_pairs(new.unionByName(graph), k), "nn-graph")
         dropped(graph)
         graph = grown
@@ -150,8 +150,8 @@ def build_graph(nodes: DataFrame, dim: int, *, k: int = K, reverse: int = REVERS
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        d = ((_matrix(b.column("qv"), np.float32) - _matrix(b.column("v"), np.float32)) ** 2).sum(axis=1) if b.num_rows else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([b.column("q"), b.column("y"), pa.array(d.astype(np.float32))], names=["q", "y", "d"])
+        d = ((_matrix(b.column("qv"), np.float64) - _matrix(b.column("v"), np.float64)) ** 2).sum(axis=1) if b.num_rows else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([b.column("q"), b.column("y"), pa.array(d)], names=["q", "y", "d"])
 
 
 def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, *, pool: int = POOL, expand: int = EXPAND, steps: int = STEPS, links: int = LINKS) -> DataFrame:
@@ -162,10 +162,10 @@ def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, *, pool: int =
     vectors = written(vectors, "nn-queries")
 
     def distances(pairs: DataFrame) -> DataFrame:
-        return pairs.join(nodes.select(F.col("x").alias("y"), "v"), "y").join(vectors, "q").select("q", "y", "qv", "v").mapInArrow(_measured, "q bigint, y bigint, d float")
+        return pairs.join(nodes.select(F.col("x").alias("y"), "v"), "y").join(vectors, "q").select("q", "y", "qv", "v").mapInArrow(_measured, "q bigint, y bigint, d double")
 
     front = starts.select("q").distinct().select("q", F.col("q").alias("y"))
-    seen = written(front.select("q", "y", F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("open")), "nn-pool")
+    seen = written(front.select("q", "y", F.lit(0.0).alias("d"), F.lit(False).alias("open")), "nn-pool")
     for step in range(steps):
         met = front.withColumnRenamed("y", "x").join(both, "x").select("q", "y").distinct()
         fresh = distances(met.join(seen.select("q", "y"), ["q", "y"], "left_anti")).withColumn("open", F.lit(True))
@@ -182,12 +182,6 @@ def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, *, pool: int =
     return seen.withColumn("rank", rank).filter(F.col("rank") <= pool).select("q", "y", "d")
 
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        d = np.sqrt(((_matrix(b.column("qo"), np.float64) - _matrix(b.column("o"), np.float64)) ** 2).sum(axis=1)) if b.num_rows else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([b.column("q"), b.column("y"), pa.array(d)], names=["q", "y", "score"])
-
-
 def nearest(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", vector: str = "embedding", top: int = TOP, **how) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance): the top nearest found of every row for which queries is true.
 
@@ -205,22 +199,17 @@ def nearest(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", vect
     rows = rows.filter(F.size("o") == sizes.n)
     first = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("o")))
     rows = rows.withColumn("r", first).filter("r = 1").drop("r")
-    roots = rows.groupBy("o").agg(F.min("id").alias("x"), F.max(F.array_max(F.transform("o", lambda c: F.abs(c)))).alias("most"))
+    roots = rows.groupBy("o").agg(F.min("id").alias("x"))
     roots = written(roots, "nn-roots")
     member = written(rows.join(roots.select("o", "x"), "o").select("id", "x", "asked"), "nn-members")
-    scale = roots.agg(F.max("most")).first()[0]
-    nodes = roots.select("x", F.transform("o", lambda c: F.round(c * (127.0 / scale)).cast("tinyint")).alias("v"))
-    nodes = written(nodes, "nn-nodes")
+    kind = "float" if vectors.schema[vector].dataType.elementType.typeName() == "float" else "double"
+    nodes = written(roots.select("x", F.col("o").cast(f"array<{kind}>").alias("v")), "nn-nodes")
     graph_how = {k: v for k, v in how.items() if k in ("k", "reverse", "rounds", "orders")}
     search_how = {k: v for k, v in how.items() if k not in graph_how}
     graph = build_graph(nodes, sizes.n, **graph_how)
     asked = member.filter("asked").select("id", F.col("x").alias("q"))
     found = search(graph, nodes, asked, **search_how)
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "y"))
-    best = found.withColumn("rank", rank).filter(F.col("rank") <= max(CHECKED, 2 * top)).select("q", "y")
-    originals = roots.select("x", "o")
-    pairs = best.join(originals.withColumnRenamed("x", "y"), "y").join(originals.select(F.col("x").alias("q"), F.col("o").alias("qo")), "q")
-    exact = pairs.select("q", "y", "qo", "o").mapInArrow(_exact, "q bigint, y bigint, score double")
+    exact = found.select("q", "y", F.sqrt("d").alias("score"))
     copies = member.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy("id"))).filter(F.col("r") <= top + 1).select(F.col("x").alias("y"), "id")
     of_node = exact.join(copies, "y").select("q", F.col("id").alias("vec_id"), "score")
     order = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))

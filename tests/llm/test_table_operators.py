@@ -148,3 +148,21 @@ def test_neighbours(spark):
     few = neighbours.nearest(df.filter("vec_id < 4"), F.col("vec_id") % 2 == 0).collect()
     assert len(few) == 6
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_neighbours_of_odd_scales(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1000, 12)).astype(np.float32)
+    x[600:] = x[600] + 3e-4 * rng.standard_normal((400, 12))  # many nearer than any coarse step
+    x[1, 0] = 100  # one large component
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    by: dict = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, rounds=3).collect():
+        by.setdefault(r.query_id, []).append(r.vec_id)
+    hits = {True: [], False: []}
+    for q, found in by.items():
+        d = ((x.astype(np.float64) - x[q].astype(np.float64)) ** 2).sum(1)
+        d[q] = np.inf
+        hits[q >= 600].append(len(set(found) & set(np.lexsort((np.arange(1000), d))[:10].tolist())) / 10)
+    recall = [float(np.mean(hits[k])) for k in (False, True)]
+    assert len(by) == 50 and min(recall) >= 0.9, recall
