@@ -1,8 +1,8 @@
 """Operator 3, toxicity by weak supervision.
 
 1. Voters. A bounded sample of labelled rows proposes lexicon voters: words and word beginnings that toxic texts hold far more
-   often than others, or hold densely (twice or more, and in at least 0.4 % of their words) far more often. Support is counted in distinct sketches (the least hash of a text's words), so that a family of near
-   copies counts about once. Fixed pattern voters stand beside them. A voter votes "toxic" or abstains.
+   often than others, or hold densely (twice or more, and in at least 0.4 % of their words) far more often. Support is counted in distinct sketches (the four least hashes of a text's words), so that a family of near
+   copies counts about once and unrelated texts do not fall together. A few sketches are enough, whatever the sample's size. Fixed pattern voters stand beside them. A voter votes "toxic" or abstains.
 2. Label model. Over every row that may be learned from, labelled or not, the distinct sets of votes are counted. Expectation
    maximisation of a generative model estimates, without labels, the share of toxic texts and each voter's rate among
    toxic and other texts. The voters' correlations within the toxic class come from the same counts; a voter's log ratio
@@ -14,10 +14,11 @@ What the driver holds is bounded by the numbers of voters and features and by th
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,8 +36,12 @@ PREFIXES = (4, 5, 6, 7)
 DENSE_COUNT, DENSE_SHARE = 2, 0.004
 DENSE = "×"
 MIN_LOG_ODDS = 3.0
-#: The least share of toxic sketches that have a voter, and a feature of the classifier.
-VOTER_COVER, FEATURE_COVER = 0.06, 0.06
+#: The least number of toxic sketches that have an entry; in samples of under 100 sketches, the second.
+LEAST_SUPPORT, LEAST_SUPPORT_SMALL = 5, 2
+#: So many word hashes make a sketch.
+MINIMA = 4
+#: Entries looked at for each feature, as voters that say the same are merged.
+MERGED = 8
 ROUNDS = 8
 #: From this correlation on, two voters are taken as dependent.
 DEPENDENT = 0.5
@@ -73,6 +78,30 @@ def entries_of(words: Counter) -> Iterator[str]:
             yield e + DENSE
 
 
+def sketch_of(words: Iterable[str]) -> int:
+    import xxhash
+
+    least = heapq.nsmallest(MINIMA, (xxhash.xxh64_intdigest(w) for w in words))
+    return xxhash.xxh64_intdigest(",".join(map(str, least))) >> 1
+
+
+def general_of(entry: str) -> Iterator[str]:
+    """The entries that every text with this entry has too."""
+    plain = entry.removesuffix(DENSE)
+    stem = plain.removesuffix("*")
+    starts = [stem[:k] + "*" for k in PREFIXES if k < len(stem) or (k == len(stem) and not plain.endswith("*"))]
+    if entry != plain:
+        yield from (x + DENSE for x in starts)
+        yield plain
+    yield from starts
+
+
+def merged(rows: list[tuple[str, float, float]], limit: int) -> list[tuple[str, float, float]]:
+    """The first rows (entry, toxic, other), without entries that a more general one of equal counts stands for."""
+    counts = {e: (t, o) for e, t, o in rows}
+    return [x for x in rows if not any(counts.get(g) == x[1:] for g in general_of(x[0]))][:limit]
+
+
 @dataclass
 class Extractor:
     """Turns a text into the sorted numbers of the features it has: lexicon entries, then patterns."""
@@ -126,15 +155,13 @@ def _propose(sample: DataFrame, limit: int) -> tuple[list[tuple[str, float, floa
     """(entry, support among toxic sketches, count among others) of the best entries, and both totals."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         for batch in batches:
             rows, others, n_other = [], Counter(), 0
             for text, y in zip(batch["text"], batch["y"], strict=True):
                 words = Counter(_LETTERS.findall((text or "").lower()))
                 entries = list(entries_of(words))
                 if y == 1:
-                    sketch = min((xxhash.xxh64_intdigest(w) >> 1 for w in words), default=0)
+                    sketch = sketch_of(words)
                     rows += [(e, sketch, 0) for e in entries]
                     rows.append(("", sketch, 0))
                 else:
@@ -151,9 +178,9 @@ def _propose(sample: DataFrame, limit: int) -> tuple[list[tuple[str, float, floa
     total = counted.filter("entry = ''").first()
     t, o = (float(total.toxic), float(total.other)) if total else (0.0, 0.0)
     odds = F.log((F.col("toxic") + 0.5) / (t + 1)) - F.log((F.col("other") + 0.5) / (o + 1))
-    least = 3 if t >= 100 else 2
-    best = counted.filter((F.col("entry") != "") & (F.col("toxic") >= max(least, FEATURE_COVER * t))).withColumn("odds", odds).filter(F.col("odds") >= MIN_LOG_ODDS)
-    rows = best.orderBy((F.col("toxic") * F.col("odds")).desc(), "entry").limit(limit).collect()
+    least = LEAST_SUPPORT if t >= 100 else LEAST_SUPPORT_SMALL
+    best = counted.filter((F.col("entry") != "") & (F.col("toxic") >= least)).withColumn("odds", odds).filter(F.col("odds") >= MIN_LOG_ODDS)
+    rows = best.orderBy((F.col("toxic") * F.col("odds")).desc(), "entry").limit(MERGED * limit).collect()
     return [(r.entry, float(r.toxic), float(r.other)) for r in rows], t, o
 
 
@@ -251,11 +278,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     sample, n_toxic, n_other = _sample(rows, labels, sample_toxic, sample_other)
     sample = written(sample, "tox-sample")
     proposed, t, o = _propose(sample, max_features)
+    voters = merged(proposed, max_voters)
+    own = set(voters)
+    proposed = [*voters, *(x for x in proposed if x not in own)][:max_features]  # the voters first
     n_seen = len(proposed)
     if not n_toxic or not n_seen:
         return Model([], np.zeros(len(PATTERNS)), math.log(0.05 / 0.95))
-    proposed.sort(key=lambda x: x[1] < VOTER_COVER * t)  # the voters first
-    voters = [x for x in proposed if x[1] >= VOTER_COVER * t][:max_voters] or proposed[:max_voters]
     extractor = Extractor([e for e, _, _ in voters])
     votes = written(_patterns_of(rows, extractor), "tox-votes")
     rate = lambda k, total: (np.array([x[k] for x in voters]) + 0.5) / (total + 1)

@@ -151,3 +151,18 @@ def test_toxicity_rows(odd, no_labels):
     out = toxicity.scored(odd, model).collect()
     assert len(out) == odd.count() and all(0 <= r.score <= 1 and r.predicted == 0 for r in out)
     assert toxicity.scored(odd.limit(0), model).count() == 0
+
+
+def test_rare_toxic_words_are_proposed(spark):
+    from codeloom.llm import toxicity
+
+    rng = random.Random(3)
+    common = [f"plain{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    insults = ["".join(rng.choice("bdfgklmprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(40)]
+    texts = [(" ".join([*rng.choices(common, k=40), "everywhere", insults[i % 40]]), 1) for i in range(400)]
+    texts += [(" ".join([*rng.choices(common, k=40), "everywhere"]), 0) for _ in range(800)]
+    copies = [(f"single {' '.join(rng.choices(common, k=40))} onefamily", 1)] * 30  # one text many times is one support
+    found, t, _ = toxicity._propose(spark.createDataFrame(texts + copies, "text string, y int"), 768)
+    entries = [e.removesuffix(toxicity.DENSE).removesuffix("*") for e, _, _ in found]
+    assert all(any(w.startswith(e) for e in entries) for w in insults) and not any(e.startswith("onef") for e in entries)
+    assert 390 <= t <= 401
