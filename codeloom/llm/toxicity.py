@@ -4,8 +4,8 @@
    often than others, or hold densely (twice or more, and in at least 0.4 % of their words) far more often. Support is counted in distinct sketches (the four least hashes of a text's words), so that a family of near
    copies counts about once and unrelated texts do not fall together. A few sketches are enough, whatever the sample's size. Fixed pattern voters stand beside them. A voter votes "toxic" or abstains.
 2. Label model. Over every row that may be learned from, labelled or not, the distinct sets of votes are counted. Expectation
-   maximisation of a generative model estimates, without labels, the share of toxic texts and each voter's rate among
-   toxic and other texts. The voters' correlations within the toxic class come from the same counts; a voter's log ratio
+   maximisation of a generative model estimates the share of toxic texts and each voter's rate among toxic and
+   other texts; a rate is always two thirds the labelled sample's and one third the estimate from all those rows. The voters' correlations within the toxic class come from the same counts; a voter's log ratio
    is divided by one plus the sum of its strong correlations, so that voters that say the same count once.
 3. A logistic classifier is trained on the posterior labels of the sampled rows and scores every text.
 
