@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from itertools import groupby
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,10 +46,41 @@ def glob_regex(glob: str) -> str:
     return out
 
 
+def _search(glob: str) -> tuple[str, str] | None:
+    """("at", x) or ("in", x): what to search for at the start of a segment, or anywhere, for a glob that begins with ``**/``; None for other globs."""
+    body = glob.removeprefix("**/")
+    if body == glob or not body or any(c in body for c in "?[]{}") or "**" in body.removesuffix("/**"):
+        return None
+    end = "/" if body.endswith("/**") else r"\z"
+    body = body.removesuffix("/**")
+    where = "in" if body.startswith("*") else "at"
+    body = body.removeprefix("*")
+    if body.endswith("*") and end == r"\z":
+        body, end = body.removesuffix("*"), ""
+    return where, ".*".join(re.escape(x) for x in body.split("*")) + end
+
+
+def _either(patterns: Sequence[str]) -> str:
+    """An alternation that looks at the first character once."""
+    first = lambda p: p[: 1 + (p[0] == "\\")]
+    groups = [(c, [p[len(c) :] for p in g]) for c, g in groupby(sorted(patterns, key=first), key=first)]
+    return "(?:" + "|".join(c + (f"(?:{'|'.join(g)})" if len(g) > 1 else g[0]) for c, g in groups) + ")"
+
+
 def any_glob(path: Column, globs: Sequence[str]) -> Column:
-    if not globs:
-        return F.lit(False)
-    return path.rlike("(?s)^(?:" + "|".join(glob_regex(g) for g in globs) + ")$")
+    """Whether a path matches any of the globs.
+
+    Most globs name a folder, a file or an ending, anywhere. These become one search that looks only behind slashes and at dots, so
+    that the many default globs cost about as much as one; a full match of each would go over the path from every place.
+    """
+    found, rest = [_search(g) for g in globs], [g for g in globs if _search(g) is None]
+    at, within = ([x for f in found if f and f[0] == k for x in [f[1]]] for k in ("at", "in"))
+    dotted = [x.removeprefix(r"\.") for x in within if x.startswith(r"\.")]
+    parts = (["(?:^|/)" + _either(at)] if at else []) + ([r"\." + _either(dotted)] if dotted else []) + [x for x in within if not x.startswith(r"\.")]
+    tests = [path.rlike("(?s)" + "|".join(parts))] if parts else []
+    if rest:
+        tests.append(path.rlike("(?s)^(?:" + "|".join(glob_regex(g) for g in rest) + r")\z"))
+    return reduce(or_, tests) if tests else F.lit(False)
 
 
 def is_test_like(path: Column) -> Column:

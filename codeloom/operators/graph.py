@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from .. import scratch
 from ..functions import paths
 
 
@@ -42,6 +43,33 @@ def impact(symbols: DataFrame, refs: DataFrame, seeds: DataFrame, *, depth: int
     return out.filter(paths.file_category(F.col("file_path")) == "source") if source_only else out
 
 
+def in_impact_order(found: DataFrame) -> DataFrame:
+    """The nearest first, then those with more reasons."""
+    return found.orderBy("distance", F.desc("n_reasons"), "file_path")
+
+
+def dependents(symbols: DataFrame, refs: DataFrame, asked: DataFrame, *, depth: int = 2, source_only: bool = True) -> DataFrame:
+    """(path, dependent_files): how many files reach each asked file within depth steps; the impact of many files in one run.
+
+    Every row carries the asked file that it belongs to, so all walks share two joins a step. Files that nothing reaches have no row.
+    """
+    used = refs.select("from_file", "to_name_tail", "line").distinct()
+    own = symbols.select("file_path", "name", "qualified_name", "line_start", "line_end")
+    frontier = asked.select("path").distinct().join(own, F.col("path") == F.col("file_path")).select("path", "name", "qualified_name").distinct()
+    visited, reached = frontier.select("path", "qualified_name"), None
+    for step in range(1, depth + 1):
+        found = frontier.select("path", "name").distinct().join(used, F.col("name") == used["to_name_tail"]).filter("from_file <> path").select("path", "from_file", "line").distinct()
+        reached = found.select("path", "from_file") if reached is None else reached.unionByName(found.select("path", "from_file"))
+        if step == depth:
+            break
+        around = found.join(own, (F.col("from_file") == own["file_path"]) & F.col("line").between(F.col("line_start"), F.col("line_end")))
+        frontier = around.select("path", "name", "qualified_name").distinct().join(visited, ["path", "qualified_name"], "left_anti")
+        visited = visited.unionByName(frontier.select("path", "qualified_name"))
+    if source_only:
+        reached = reached.filter(paths.file_category(F.col("from_file")) == "source")
+    return reached.distinct().groupBy("path").agg(F.count("*").cast("int").alias("dependent_files"))
+
+
 def tarjan(edges: list[tuple[str, str]]) -> list[list[str]]:
     """Strongly connected components of a small graph, without recursion; members sorted."""
     after: dict[str, list[str]] = {}
@@ -102,7 +130,7 @@ def coloured(edges: DataFrame) -> DataFrame:
     """As components, by joins only: each node takes the largest name that reaches it; those that reach back to it form its component."""
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+        spark.sparkContext.setCheckpointDir(scratch.root(spark))
     left, found = edges.select("src", "dst").filter("src <> dst").distinct().checkpoint(), None
     while not left.isEmpty():
         while True:  # nodes without a way in or out are alone
@@ -144,4 +172,5 @@ def cycles_touching(members: DataFrame, patch: DataFrame, history: DataFrame | N
     churn = history.select(F.col("path").alias("member"), "churn_score") if history is not None else None
     x = x.join(churn, "member", "left") if churn is not None else x.withColumn("churn_score", F.lit(None).cast("double"))
     most = F.min_by("member", F.when(F.col("churn_score").isNotNull(), F.struct(-F.col("churn_score"), F.col("member"))))
-    return x.groupBy("component").agg(F.first("size").alias("size"), F.sort_array(F.collect_list("member")).alias("members"), most.alias("max_churn_file"))
+    out = x.groupBy("component").agg(F.first("size").alias("size"), F.sort_array(F.collect_list("member")).alias("members"), most.alias("max_churn_file"))
+    return out.orderBy(F.desc("size"), "members")

@@ -6,10 +6,14 @@ whole history at once; nothing is rescaled.
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from .. import scratch
 from ..functions import names, paths
 
 
@@ -17,6 +21,11 @@ def decay(ts, now: int):
     return F.exp(-F.greatest(F.lit(now) - ts, F.lit(0)) / 86400.0 / C.DECAY_DAYS)
 
 
+def even(value: str):
+    """A sum of decays as ties see it: sums that differ only by the order of addition are equal."""
+    return F.round(F.col(value), 9)
+
+
 def kept_changes(commits: DataFrame, changes: DataFrame, extra_excludes: tuple[str, ...] = ()) -> DataFrame:
     """File changes that count, one row per commit and path: no housekeeping commits, no excluded paths."""
     counted = commits.filter(~names.is_skipped(F.col("subject"))).select("commit_id", "ts", names.is_fix(F.col("subject")).alias("is_fix"))
@@ -36,15 +45,63 @@ def file_history(kept: DataFrame, now: int) -> DataFrame:
     )
 
 
+def commits_in_guard(kept: DataFrame, max_files: int = C.MAX_FILES_PER_COMMIT) -> DataFrame:
+    """kept without the commits of more than max_files files. Sizes come from partial counts, so a huge commit is never gathered."""
+    sizes = kept.groupBy("commit_id").agg(F.count("*").alias("n")).filter(F.col("n").between(2, max_files)).select("commit_id")
+    return kept.join(sizes, "commit_id", "left_semi")
+
+
+def pair_facts(kept: DataFrame, now: int, *, max_files: int = C.MAX_FILES_PER_COMMIT) -> DataFrame:
+    """Every pair of files changed together, whatever its count; two tests are no pair.
+
+    The guard bounds what a commit gathers, so its pairs are unfolded from one small array and nothing is joined with itself.
+    """
+    marked = F.struct("path", paths.is_test_like(F.col("path")).alias("test")).alias("f")
+    files = commits_in_guard(kept, max_files).select("commit_id", "ts", marked).groupBy("commit_id").agg(F.max("ts").alias("ts"), F.sort_array(F.collect_set("f")).alias("files"))
+    later = lambda a, i: F.filter(F.slice("files", i + 2, max_files), lambda b: ~(a["test"] & b["test"]))
+    pair = lambda a, i: F.transform(later(a, i), lambda b: F.struct(a["path"].alias("file_a"), b["path"].alias("file_b")))
+    pairs = files.select(decay(F.col("ts"), now).alias("w"), "ts", F.explode(F.flatten(F.transform("files", pair))).alias("p"))
+    return pairs.groupBy("p.file_a", "p.file_b").agg(F.sum("w").alias("weight"), F.count("*").alias("count"), F.max("ts").alias("last_observed_at"))
+
+
 def co_changes(kept: DataFrame, now: int, *, max_files: int = C.MAX_FILES_PER_COMMIT, min_count: int = C.MIN_PAIR_COUNT) -> DataFrame:
-    """Pairs of files changed together. Commits of more than max_files files say nothing about pairs, which bounds the join."""
-    size = F.count("*").over(Window.partitionBy("commit_id"))
-    small = kept.select("commit_id", "ts", "path", paths.is_test_like(F.col("path")).alias("test")).withColumn("n", size).filter(F.col("n") <= max_files)
-    a = small.select("commit_id", "ts", F.col("path").alias("file_a"), F.col("test").alias("ta"))
-    b = small.select("commit_id", F.col("path").alias("file_b"), F.col("test").alias("tb"))
-    pairs = a.join(b, "commit_id").filter((F.col("file_a") < F.col("file_b")) & ~(F.col("ta") & F.col("tb")))
-    out = pairs.groupBy("file_a", "file_b").agg(F.sum(decay(F.col("ts"), now)).alias("weight"), F.count("*").alias("count"), F.max("ts").alias("last_observed_at"))
-    return out.filter(F.col("count") >= min_count)
+    """Pairs of files changed together min_count times or more. Commits of more than max_files files say nothing about pairs."""
+    return pair_facts(kept, now, max_files=max_files).filter(F.col("count") >= min_count)
+
+
+class Indexed(NamedTuple):
+    """The tables of a history index: file history, and all pair facts."""
+
+    history: DataFrame
+    facts: DataFrame
+
+    def pairs(self, min_count: int = C.MIN_PAIR_COUNT) -> DataFrame:
+        return self.facts.filter(F.col("count") >= min_count)
+
+
+def index_history(commits: DataFrame, changes: DataFrame, now: int, *, extra_excludes: tuple[str, ...] = (), max_files: int = C.MAX_FILES_PER_COMMIT) -> Indexed:
+    """Folds a whole log and writes its two tables; the changes that count are written once and read by both folds."""
+    kept = scratch.written(kept_changes(commits, changes, extra_excludes), "kept")
+    out = Indexed(scratch.written(file_history(kept, now), "history"), scratch.written(pair_facts(kept, now, max_files=max_files), "pairs"))
+    scratch.dropped(kept)
+    return out
+
+
+def merge_pairs(old: DataFrame, delta: DataFrame) -> DataFrame:
+    """The additive upsert of two tables of pair facts of the same ``now``."""
+    return old.unionByName(delta).groupBy("file_a", "file_b").agg(F.sum("weight").alias("weight"), F.sum("count").alias("count"), F.max("last_observed_at").alias("last_observed_at"))
+
+
+def gated_pairs(existing: DataFrame, delta: DataFrame, min_count: int = C.MIN_PAIR_COUNT) -> DataFrame:
+    """The pairs of a batch that update a stored table without facts below the minimum: those it holds already, and new ones that reach the minimum by themselves."""
+    known = delta.join(existing.select("file_a", "file_b"), ["file_a", "file_b"], "left_semi")
+    return known.unionByName(delta.filter(F.col("count") >= min_count).join(existing, ["file_a", "file_b"], "left_anti"))
+
+
+def history_stats(kept: DataFrame, history: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: commits that count, files and pairs."""
+    one = kept.agg(F.count_distinct("commit_id").alias("commits"))
+    return one.join(history.agg(F.count("*").alias("files"))).join(pairs.agg(F.count("*").alias("pairs")))
 
 
 def both_sides(pairs: DataFrame) -> DataFrame:
@@ -55,7 +112,7 @@ def both_sides(pairs: DataFrame) -> DataFrame:
 
 
 def top_coupled(pairs: DataFrame, limit: int = 10) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("weight"), "file"))
+    rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc(even("weight")), "file"))
     return both_sides(pairs).withColumn("rank", rank).filter(F.col("rank") <= limit)
 
 
@@ -74,14 +131,21 @@ def coupling_report(asked: DataFrame, history: DataFrame, pairs: DataFrame, limi
 
 
 def churn_percentile(history: DataFrame) -> DataFrame:
-    """The share of files with at most this churn.
+    """history with the share of files whose churn is at most this file's.
 
-    Counts of equal scores are added up first, so the one ordered window runs over distinct scores.
+    Distinct scores with their counts are dealt out by ranges; each range adds up its own, and only one total a range is
+    summed in order. The history is a table by then, so both sides of the last join read the same stored doubles.
     """
+    history = scratch.settled(history, "history")
     counts = history.groupBy("churn_score").agg(F.count("*").alias("n"))
-    below = F.sum("n").over(Window.orderBy("churn_score").rowsBetween(Window.unboundedPreceding, 0))
-    total = history.agg(F.count("*").alias("total"))
-    share = counts.withColumn("below", below).join(F.broadcast(total)).select("churn_score", (F.col("below") / F.col("total")).alias("churn_percentile"))
+    ranged = scratch.written(counts.repartitionByRange("churn_score").withColumn("part", F.spark_partition_id()), "churn-ranges")
+    sizes = ranged.groupBy("part").agg(F.sum("n").alias("size"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    offsets = sizes.select("part", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("offset"))
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("churn_score").rowsBetween(Window.unboundedPreceding, 0))
+    below = ranged.withColumn("inside", inside).join(F.broadcast(offsets), "part")
+    total = F.broadcast(sizes.agg(F.sum("size").alias("total")))
+    share = below.join(total).select("churn_score", ((F.col("inside") + F.col("offset")) / F.col("total")).alias("churn_percentile"))
     return history.join(share, "churn_score")
 
 
@@ -157,12 +221,19 @@ def assess_risk(asked: DataFrame, history: DataFrame, pairs: DataFrame, dependen
 
 
 def cluster_by_directory(assessed: DataFrame) -> DataFrame:
-    """Directories with five or more files of a patch: how many, the three riskiest, and how many are left out."""
-    by = Window.partitionBy("dir").orderBy(F.desc("score"), "path")
+    """Directories with five or more files of a patch, in order: how many, the three riskiest, and how many are left out."""
+    by = Window.partitionBy("dir").orderBy(F.desc(even("score")), "path")
     x = assessed.select("path", "score", paths.dirname(F.col("path")).alias("dir")).withColumn("rank", F.row_number().over(by))
     shown = F.sort_array(F.collect_list(F.when(F.col("rank") <= C.CLUSTER_SHOWN, F.struct("rank", "path", "score"))))
     out = x.groupBy("dir").agg(F.count("*").alias("files"), F.max("score").alias("max_score"), F.avg("score").alias("mean_score"), shown.alias("top"))
-    return out.filter(F.col("files") >= C.CLUSTER_FROM).withColumn("omitted", F.col("files") - F.size("top"))
+    return out.filter(F.col("files") >= C.CLUSTER_FROM).withColumn("omitted", F.col("files") - F.size("top")).orderBy("dir")
+
+
+def shown_files(assessed: DataFrame) -> DataFrame:
+    """The files of a patch that a report lists, in the order of their directories: of a clustered directory only the riskiest."""
+    d = Window.partitionBy("dir")
+    x = assessed.withColumn("dir", paths.dirname(F.col("path"))).withColumn("in_dir", F.count("*").over(d)).withColumn("rank", F.row_number().over(d.orderBy(F.desc(even("score")), "path")))
+    return x.filter((F.col("in_dir") < C.CLUSTER_FROM) | (F.col("rank") <= C.CLUSTER_SHOWN)).orderBy("dir", "path").drop("in_dir", "rank")
 
 
 def risk_rollup(assessed: DataFrame) -> DataFrame:
@@ -173,7 +244,7 @@ def risk_rollup(assessed: DataFrame) -> DataFrame:
         F.count("*").alias("files"),
         F.coalesce(F.max("score"), F.lit(0.0)).alias("max_score"),
         F.coalesce(F.avg("score"), F.lit(0.0)).alias("mean_score"),
-        F.max_by("path", F.struct("score", "path")).alias("max_risk_file"),
+        F.max_by("path", F.struct(even("score"), "path")).alias("max_risk_file"),
         listed(F.col("test_gap")).alias("test_gap_files"),
         listed(has("wide blast radius")).alias("wide_blast_files"),
         listed(has("fix-heavy")).alias("fix_heavy_files"),
@@ -181,6 +252,28 @@ def risk_rollup(assessed: DataFrame) -> DataFrame:
     )
 
 
+def risk_of_patch(assessed: DataFrame, cycles: DataFrame | None = None) -> DataFrame:
+    """risk_rollup with ``cycles``, the number and the largest size of import cycles that the patch touches, and ``notes`` in their fixed order.
+
+    cycles: as ``graph.cycles_touching`` gives it for the same patch; missing: none are known. An empty patch has no notes.
+    """
+    r = risk_rollup(assessed)
+    if cycles is None:
+        r = r.withColumn("cycles", F.lit(0).cast("bigint")).withColumn("largest_cycle", F.lit(0).cast("int"))
+    else:
+        r = r.join(cycles.agg(F.count("*").alias("cycles"), F.coalesce(F.max("size"), F.lit(0)).cast("int").alias("largest_cycle")))
+    size = lambda c: F.size(c)
+    told = [
+        F.when(size("hotspot_files") > 0, F.format_string("%d hotspot file(s)", size("hotspot_files"))),
+        F.when(size("fix_heavy_files") > 0, F.format_string("%d fix-heavy file(s)", size("fix_heavy_files"))),
+        F.when(size("test_gap_files") > 0, F.format_string("%d file(s) without a test", size("test_gap_files"))),
+        F.when(size("wide_blast_files") > 0, F.format_string("%d file(s) with a wide blast radius", size("wide_blast_files"))),
+        F.when(F.col("max_score") >= C.HIGH_RISK, F.format_string("highest risk %.2f", F.col("max_score"))),
+        F.when(F.col("cycles") > 0, F.format_string("%d import cycle(s), the largest of %d files", F.col("cycles"), F.col("largest_cycle"))),
+    ]
+    return r.withColumn("notes", F.array_compact(F.array(*told)))
+
+
 def recommend_tests(asked: DataFrame, history: DataFrame, pairs: DataFrame, limit: int = 20) -> DataFrame:
     """(test, kind, weight): primary tests by convention, then tests among the files most often changed along."""
     named, roots, standing = _test_sources(asked, history)
@@ -201,4 +294,4 @@ def merge_history(old: DataFrame, delta: DataFrame) -> DataFrame:
 
 def scale_decay(table: DataFrame, column: str, seconds: int) -> DataFrame:
     """A decayed column, as of so many seconds later."""
-    return table.withColumn(column, F.col(column) * float(__import__("math").exp(-seconds / 86400.0 / C.DECAY_DAYS)))
+    return table.withColumn(column, F.col(column) * float(math.exp(-seconds / 86400.0 / C.DECAY_DAYS)))

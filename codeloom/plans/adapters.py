@@ -21,16 +21,39 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("commit_id"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("ts"), subject.alias("subject"))
 
 
-def _path(key: str):
-    k = F.col(key)
-    test = F.concat(F.lit("tests/d"), (k % 10).cast("string"), F.lit("/f"), k.cast("string"), F.lit("_test.rs"))
-    return F.when(k % 7 == 0, test).otherwise(F.concat(F.lit("src/d"), (k % 10).cast("string"), F.lit("/f"), k.cast("string"), F.lit(".rs")))
+def path_of(k):
+    """Of a number: tests, vendored files, settings, and sources of two languages, in ten directories."""
+    d, n = (k % 10).cast("string"), k.cast("string")
+    made = lambda before, after: F.concat(F.lit(before + "/d"), d, F.lit("/f"), n, F.lit(after))
+    return (
+        F.when(k % 7 == 0, made("tests", "_test.rs"))
+        .when(k % 11 == 0, made("vendor", ".rs"))
+        .when(k % 13 == 0, made("conf", ".toml"))
+        .when(k % 5 == 0, made("src", ".py"))
+        .otherwise(made("src", ".rs"))
+    )
 
 
 def file_changes(spark: SparkSession, sf_dir: str, key: str = "l_partkey") -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     x = li.groupBy("l_orderkey", key).agg(F.sum("l_quantity").cast("bigint").alias("added"), F.sum("l_linenumber").cast("bigint").alias("deleted"))
-    return x.select(F.col("l_orderkey").alias("commit_id"), _path(key).alias("path"), "added", "deleted")
+    return x.select(F.col("l_orderkey").alias("commit_id"), path_of(F.col(key)).alias("path"), "added", "deleted")
+
+
+def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One function a supplier, in the file whose history ``file_changes`` by l_suppkey tells."""
+    k = F.col("s_suppkey")
+    name = F.concat(F.lit("f"), k.cast("string"))
+    return table(spark, sf_dir, "supplier").select(name.alias("name"), F.concat(F.lit("m::"), name).alias("qualified_name"), F.lit("function").alias("kind"), path_of(k).alias("file_path"), F.lit(1).alias("line_start"), F.lit(10).alias("line_end"))
+
+
+def code_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each function calls that of a third of its number; some import the next one in a ring of six."""
+    k = F.col("s_suppkey")
+    ring = F.when(k % 60 < 12, k - k % 6 + (k % 6 + 1) % 6)
+    named = lambda n, kind, line: F.struct(F.concat(F.lit("f"), n.cast("string")).alias("to_name"), F.lit(kind).alias("kind"), F.lit(line).alias("line"))
+    x = table(spark, sf_dir, "supplier").select(path_of(k).alias("from_file"), F.explode(F.array(named(F.floor(k / 3), "call", 5), named(ring, "import", 6))).alias("r"))
+    return x.filter("r.to_name is not null").select("from_file", "r.to_name", F.col("r.to_name").alias("to_name_tail"), "r.kind", "r.line")
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,44 +100,59 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("chunk_id"), "embedding", F.concat(F.lit("l"), F.col("label").cast("string")).alias("language"), F.concat(F.lit("d"), (F.col("vec_id") % 5).cast("string"), F.lit("/v.rs")).alias("file_path"))
 
 
-HISTORY_SQL = f"""
+_PATH_SQL = """CASE WHEN k % 7 = 0 THEN 'tests/d' || (k % 10) || '/f' || k || '_test.rs' WHEN k % 11 = 0 THEN 'vendor/d' || (k % 10) || '/f' || k || '.rs'
+      WHEN k % 13 = 0 THEN 'conf/d' || (k % 10) || '/f' || k || '.toml' WHEN k % 5 = 0 THEN 'src/d' || (k % 10) || '/f' || k || '.py' ELSE 'src/d' || (k % 10) || '/f' || k || '.rs' END"""
+
+
+def history_sql(key: str) -> str:
+    """The history tables as common table expressions, of files numbered by a column of lineitem; with the library's own guard and minimum."""
+    return f"""
 commits AS (
   SELECT o_orderkey AS commit_id, CAST(epoch(o_orderdate) AS BIGINT) AS ts, CASE o_orderpriority WHEN '1-URGENT' THEN 'fix: order'
     WHEN '5-LOW' THEN 'chore: order' WHEN '4-NOT SPECIFIED' THEN 'chore: migrate order' ELSE 'feat: order' END AS subject FROM orders
 ), changes AS (
-  SELECT l_orderkey AS commit_id, CASE WHEN k % 7 = 0 THEN 'tests/d' || (k % 10) || '/f' || k || '_test.rs' ELSE 'src/d' || (k % 10) || '/f' || k || '.rs' END AS path,
-    k % 7 = 0 AS test, added, deleted
-  FROM (SELECT l_orderkey, l_partkey AS k, CAST(sum(l_quantity) AS BIGINT) AS added, CAST(sum(l_linenumber) AS BIGINT) AS deleted FROM lineitem GROUP BY 1, 2)
+  SELECT l_orderkey AS commit_id, k, {_PATH_SQL} AS path, k % 7 = 0 AS test, added, deleted
+  FROM (SELECT l_orderkey, {key} AS k, CAST(sum(l_quantity) AS BIGINT) AS added, CAST(sum(l_linenumber) AS BIGINT) AS deleted FROM lineitem GROUP BY 1, 2)
 ), kept AS (
-  SELECT c.commit_id, c.ts, starts_with(c.subject, 'fix:') AS is_fix, path, test, added, deleted,
+  SELECT c.commit_id, c.ts, starts_with(c.subject, 'fix:') AS is_fix, k, path, test, added, deleted,
     exp(-greatest({NOW} - c.ts, 0) / 86400.0 / 180.0) AS decay
   FROM changes JOIN commits c ON c.commit_id = changes.commit_id
-  WHERE NOT (starts_with(c.subject, 'chore:') AND NOT contains(c.subject, 'migrate'))
+  WHERE NOT (starts_with(c.subject, 'chore:') AND NOT contains(c.subject, 'migrate')) AND NOT starts_with(path, 'vendor/')
 ), history AS (
-  SELECT path, sum(decay * least((added + deleted) / 100.0, 3.0)) AS churn_score, CAST(count(*) FILTER (WHERE is_fix) AS BIGINT) AS fix_count,
+  SELECT path, any_value(k) AS k, sum(decay * least((added + deleted) / 100.0, 3.0)) AS churn_score, CAST(count(*) FILTER (WHERE is_fix) AS BIGINT) AS fix_count,
     count(*) AS total_commits, max(ts) AS last_commit_at FROM kept GROUP BY path
 ), sized AS (
   SELECT *, count(*) OVER (PARTITION BY commit_id) AS n FROM kept
 ), pairs AS (
   SELECT a.path AS file_a, b.path AS file_b, sum(a.decay) AS weight, count(*) AS n, max(a.ts) AS last_observed_at
-  FROM sized a JOIN sized b ON a.commit_id = b.commit_id AND a.path < b.path WHERE a.n <= 8 AND NOT (a.test AND b.test)
-  GROUP BY 1, 2 HAVING count(*) >= 2
+  FROM sized a JOIN sized b ON a.commit_id = b.commit_id AND a.path < b.path WHERE a.n <= 30 AND NOT (a.test AND b.test)
+  GROUP BY 1, 2 HAVING count(*) >= 3
 ), sides AS (
   SELECT file_a AS path, file_b AS file, weight, n, last_observed_at FROM pairs UNION ALL SELECT file_b, file_a, weight, n, last_observed_at FROM pairs
 ), percentile AS (
-  SELECT path, churn_score, fix_count, total_commits, last_commit_at, cume_dist() OVER (ORDER BY churn_score) AS churn_percentile FROM history
+  SELECT path, k, churn_score, fix_count, total_commits, last_commit_at, cume_dist() OVER (ORDER BY churn_score) AS churn_percentile FROM history
 ), top AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY weight DESC, file) AS rk FROM sides) WHERE rk <= 10
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY round(weight, 9) DESC, file) AS rk FROM sides) WHERE rk <= 20
 ), coupled AS (
-  SELECT path, count(*) AS coupled_files, bool_or(regexp_matches(file, '(^|/)tests/')) AS coupled_test FROM top GROUP BY path
+  SELECT path, count(*) AS coupled_files, bool_or(regexp_matches(file, '(^|/)tests/')) AS coupled_test FROM top WHERE rk <= 10 GROUP BY path
+), code AS (
+  SELECT s_suppkey AS k, {_PATH_SQL} AS path FROM (SELECT s_suppkey, s_suppkey AS k FROM supplier)
+), uses AS (
+  SELECT a, b FROM (SELECT k AS a, k // 3 AS b FROM code UNION SELECT k, k - k % 6 + (k % 6 + 1) % 6 FROM code WHERE k % 60 < 12) WHERE b IN (SELECT k FROM code)
+), reached AS (
+  SELECT b AS k, a AS src FROM uses WHERE a <> b UNION SELECT x.b, y.a FROM uses x JOIN uses y ON y.b = x.a WHERE x.a <> x.b AND y.a <> x.b
+), dependents AS (
+  SELECT k, CAST(count(*) AS INTEGER) AS dependent_files FROM reached WHERE src % 7 <> 0 AND (src % 11 = 0 OR src % 13 <> 0) GROUP BY 1
 ), assessed AS (
-  SELECT p.path, p.churn_percentile, p.fix_count / p.total_commits AS fix_ratio, p.total_commits, p.fix_count, coalesce(coupled_files, 0) AS coupled_files,
-    NOT (coalesce(coupled_test, false) OR (starts_with(p.path, 'src/') AND EXISTS (SELECT 1 FROM history WHERE starts_with(path, 'tests/')))) AS test_gap
-  FROM percentile p LEFT JOIN coupled USING (path)
+  SELECT p.path, p.k, p.churn_score, p.churn_percentile, p.fix_count / p.total_commits AS fix_ratio, p.total_commits, p.fix_count, coalesce(coupled_files, 0) AS coupled_files,
+    coalesce(dependent_files, 0) AS dependent_files,
+    NOT (coalesce(coupled_test, false) OR (p.path LIKE 'src/%.rs' AND EXISTS (SELECT 1 FROM history WHERE starts_with(path, 'tests/')))) AS test_gap
+  FROM percentile p LEFT JOIN coupled USING (path) LEFT JOIN dependents d ON d.k = p.k
 ), scored AS (
-  SELECT *, 0.35 * churn_percentile + 0.20 * fix_ratio + 0.15 * least(coupled_files / 10.0, 1.0) + 0.15 * CAST(test_gap AS DOUBLE) AS score FROM assessed
+  SELECT *, 0.35 * churn_percentile + 0.20 * fix_ratio + 0.15 * least(dependent_files / 20.0, 1.0) + 0.15 * least(coupled_files / 10.0, 1.0) + 0.15 * CAST(test_gap AS DOUBLE) AS score FROM assessed
 )"""
 
+
 SYMBOLS_SQL = """
 symbols AS (
   SELECT 'f' || p_partkey AS name, p_brand || '.f' || p_partkey AS qualified_name, CASE WHEN p_size > 25 THEN 'function' ELSE 'method' END AS kind,

@@ -46,6 +46,17 @@ def test_paths(spark):
     assert "tests/Unit/Http/UserTest.php" in got[0] and "test_foo.py" in got[1] and "/test_foo.py" not in got[1] and got[2] == []
 
 
+def test_globs_against_full_matches(spark):
+    import re
+
+    rng = random.Random(5)
+    words = ["vendor", "a", "build", "x.min.js", "cmake-build-1", "NEWS.md", "y.generated.c", "test_q.py", "q_test.py", "t.spec.ts", "my.egg-info", "old embeddings.json", "public", "js", ".coverage", "z.o", "o"]
+    made = sorted({"/".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(400)})
+    for globs in (paths.DEFAULT_EXCLUDED, paths.TEST_LIKE, ["a/*", "**/b[ui]ild/**", "*.js", "**/*"]):
+        full = [re.compile("(?s)(?:" + paths.glob_regex(g) + r")\Z") for g in globs]
+        assert each(spark, made, lambda p: paths.any_glob(p, globs)) == [any(r.match(p) for r in full) for p in made]
+
+
 def test_text(spark):
     assert each(spark, ["Élan_vital x-ray"], text.search_tokens) == [["elan_vital", "x", "ray"]]
     assert each(spark, ["use foo.bar and MyType x"], text.match_terms) == [["foo", "bar", "mytype"]]
@@ -86,6 +97,52 @@ def test_history(spark):
     assert not report["gone.rs"].file_indexed and report["gone.rs"].note
 
 
+def test_guard_and_incremental_pairs(spark):
+    commits = spark.createDataFrame([(f"c{k}", NOW, "feat: x") for k in range(4)], "commit_id string, ts bigint, subject string")
+    changes = spark.createDataFrame([(f"c{k}", f"src/{p}.rs", 1, 0) for k in range(3) for p in "ab"] + [("c3", f"src/{p}.rs", 1, 0) for p in "abcd"] + [("c0", "tests/x.rs", 1, 0), ("c0", "tests/y.rs", 1, 0)], "commit_id string, path string, added bigint, deleted bigint")
+    kept = history.kept_changes(commits, changes)
+    facts = {(r.file_a, r.file_b): r["count"] for r in history.pair_facts(kept, NOW, max_files=4).collect()}
+    assert facts["src/a.rs", "src/b.rs"] == 4 and ("tests/x.rs", "tests/y.rs") not in facts and facts["src/a.rs", "tests/x.rs"] == 1
+    assert {(r.file_a, r.file_b): r["count"] for r in history.pair_facts(kept, NOW, max_files=3).collect()} == {("src/a.rs", "src/b.rs"): 2}  # both larger commits fall to the guard
+    ix = history.index_history(commits, changes, NOW)
+    assert [r["count"] for r in ix.pairs().collect()] == [4]
+    more = history.merge_pairs(ix.facts, ix.facts.filter("file_a = 'src/a.rs'"))
+    assert {r["count"] for r in more.filter("file_b = 'src/b.rs' and file_a = 'src/a.rs'").collect()} == {8}
+    gated = history.gated_pairs(ix.pairs(), ix.facts, 3).collect()
+    assert [(r.file_a, r.file_b) for r in gated] == [("src/a.rs", "src/b.rs")]
+
+
+def test_percentile_by_hand(spark):
+    rows = lambda xs: spark.createDataFrame([(f"f{k}", float(x)) for k, x in enumerate(xs)], "path string, churn_score double")
+    got = lambda xs: [r.churn_percentile for r in history.churn_percentile(rows(xs)).orderBy("path").collect()]
+    assert got([1, 2, 3, 4]) == [0.25, 0.5, 0.75, 1.0] and got([5, 5, 5]) == [1.0] * 3 and got([]) == []
+
+
+def test_patch_notes(spark):
+    row = ("a", 0.7, ["hotspot", "test gap"], True)
+    assessed = spark.createDataFrame([row, ("b", 0.7, [], False)], "path string, score double, notes array<string>, test_gap boolean")
+    r = history.risk_of_patch(assessed).first()
+    assert r.max_risk_file == "b" and r.notes == ["1 hotspot file(s)", "1 file(s) without a test", "highest risk 0.70"]
+    empty = history.risk_of_patch(assessed.limit(0)).first()
+    assert empty.files == 0 and empty.notes == [] and empty.max_score == 0
+
+
+def test_dependents(spark):
+    syms = spark.createDataFrame([(n, f"m.{n}", f"{n}.py", 1, 9) for n in "abcd"], "name string, qualified_name string, file_path string, line_start int, line_end int")
+    refs = spark.createDataFrame([("b.py", "a", 3), ("c.py", "b", 3), ("d.py", "c", 3), ("tests/t.py", "a", 1), ("a.py", "c", 2)], "from_file string, to_name_tail string, line int")
+    asked = spark.createDataFrame([(f"{n}.py",) for n in "abcd"], "path string")
+    got = {r.path: r.dependent_files for r in graph.dependents(syms, refs, asked).collect()}
+    assert got == {"a.py": 2, "b.py": 3, "c.py": 3}  # the test counts nowhere; c.py reaches d.py, a.py and b.py
+    one_by_one = {}
+    for n in "abc":
+        seeds = syms.filter(F.col("file_path") == f"{n}.py").select("name", "qualified_name")
+        hits = graph.impact(syms, refs, seeds, depth=2, source_only=True, origins=seeds.select(F.lit(f"{n}.py").alias("path")))
+        one_by_one[f"{n}.py"] = hits.count()
+        d = [(r.distance, -r.n_reasons) for r in graph.in_impact_order(hits).collect()]
+        assert d == sorted(d)
+    assert got == one_by_one
+
+
 def test_risk_by_hand(spark):
     hist = spark.createDataFrame([("src/hot.php", 9.0, 40, 80, NOW), ("src/cold.php", 1.0, 0, 10, NOW)], "path string, churn_score double, fix_count bigint, total_commits bigint, last_commit_at bigint")
     pairs = spark.createDataFrame([], "file_a string, file_b string, weight double, count bigint, last_observed_at bigint")
