@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What separates words in the contracts that split on ASCII white space.
-ASCII_SPACE = r"[\x20\x09-\x0D]+"
+from ..scratch import dropped, written
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
-FALLBACK_SCRATCH = "/tmp/checkpoints"
+__all__ = ["ASCII_SPACE", "ascii_lower", "ascii_words", "dropped", "let", "table", "written"]
 
-_scratch: list[tuple[SparkSession, str]] = []
+#: What separates words in the contracts that split on ASCII white space.
+ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,47 +32,3 @@ def ascii_lower(text: Column) -> Column:
 def ascii_words(text: Column) -> Column:
     """Runs of anything but ASCII white space; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), ASCII_SPACE), lambda w: w != "")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SCRATCH
-    return f"{root.rstrip('/')}/codeloom/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared checkpoint folder and reads it again.
-
-    The lineage ends at replicated files, so a lost executor costs no upstream work; the reader also knows the
-    table's true size. The table is removed when the driver's process ends, or earlier by ``dropped``.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    if not _scratch:
-        atexit.register(_clean)
-    _scratch.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._codeloom_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Removes a table made by ``written`` that nothing will read again."""
-    path = getattr(df, "_codeloom_path", None)
-    if path:
-        _remove(df.sparkSession, path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
-    _scratch[:] = [x for x in _scratch if x[1] != path]
-
-
-def _clean() -> None:
-    for spark, path in list(_scratch):
-        try:
-            _remove(spark, path)
-        except Exception:  # the session may be gone at exit  # noqa: BLE001
-            return

@@ -166,3 +166,24 @@ def test_neighbours_of_odd_scales(spark):
         hits[q >= 600].append(len(set(found) & set(np.lexsort((np.arange(1000), d))[:10].tolist())) / 10)
     recall = [float(np.mean(hits[k])) for k in (False, True)]
     assert len(by) == 50 and min(recall) >= 0.9, recall
+
+
+def test_neighbours_of_repeated_ids_and_outliers(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1500, 16)).astype(np.float32)
+    x[7] *= 1000
+    ids = np.arange(1500)
+    ids[1200:1210] = 20  # ten more rows of a queried id, and one row twice over
+    x[1209] = x[1208]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id bigint, embedding array<float>")
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect()
+    asked = np.flatnonzero(ids % 20 == 0)
+    assert len(got) == 10 * len(asked)
+    y = x.astype(np.float64)
+    want, found = set(), {(r.query_id, r.vec_id, round(r.score, 9)) for r in got}
+    for q in asked:
+        d = np.sqrt(((y - y[q]) ** 2).sum(1))
+        near = [k for k in np.lexsort((ids, d)) if k != q][:10]
+        want |= {(int(ids[q]), int(ids[k]), round(float(d[k]), 9)) for k in near}
+    assert len(want & found) / len(want) >= 0.95
+    assert (20, 20, 0.0) in found  # equal rows of one id are each other's neighbours
