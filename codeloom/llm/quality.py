@@ -1,13 +1,13 @@
 """Operator 4, quality rules: base rules plus a hashed n-gram log-likelihood ratio. DataFrame functions only.
 
 Two multinomials over hashed n-grams are estimated: one from a trusted target (documents that ``labels`` marks as of
-good quality), one from the raw corpus. A document's score is the mean, over its n-grams, of
-log p_target - log p_raw; it is kept where the score reaches ``threshold``. Nothing is drawn at random: each
-document gets the same verdict in every run.
+good quality), one from the raw corpus. A document's score is the mean, over its n-grams, of log p_target - log p_raw.
+Nothing is drawn at random: each document gets the same verdict in every run.
 
-The n-grams: for each word its last three characters, joined with whether the word repeats the one before it. Each
-is hashed by xxhash64 into 2**14 buckets, so that the model has one size whatever the corpus. A first pass splits
-each text once and writes its buckets and base counts to the shared checkpoint folder; counting and scoring read those.
+The n-grams are a text's words and its pairs of neighbouring words, each hashed by xxhash64 into 2**18 buckets, so that the model
+has one size whatever the corpus. Both counts cover all texts, in one pass. The threshold follows from the two
+multinomials: an n-gram drawn from the raw corpus scores minus the divergence of the target from it on average, and a document is
+kept where its score is at least ``MARGIN`` times that.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_words, let, table, written
 
-BUCKET_BITS = 14
-THRESHOLD = -0.6
+BUCKET_BITS = 18
+MARGIN = 2.0
 SMOOTHING = 1.0
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 20
@@ -28,35 +28,31 @@ HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _grams(words: Column) -> Column:
-    """A bucket for each word."""
-    before = F.concat(F.array(F.lit("")), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
-    gram = lambda w, p: F.xxhash64(F.substring(w, -3, 3), w == p).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("smallint")
-    return F.when(F.size(words) > 0, F.zip_with(words, before, gram)).otherwise(F.array().cast("array<smallint>"))
+    """The buckets of each word, then of each two neighbours."""
+    mask = F.lit((1 << BUCKET_BITS) - 1)
+    one = lambda w: F.xxhash64(w).bitwiseAND(mask).cast("int")
+    two = lambda a, b: F.xxhash64(a, b).bitwiseAND(mask).cast("int")
+    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), two)
+    return F.concat(F.transform(words, one), F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<int>")))
 
 
-def _counts(texts: DataFrame, name: str) -> DataFrame:
-    return texts.select(F.explode("g").alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
+def ratio_model(texts: DataFrame, *, smoothing: float = SMOOTHING) -> DataFrame:
+    """One row: ``ratios``, the log ratio of each bucket as an array of 2**18 doubles, and ``raw_mean``, their mean over the raw corpus.
 
-
-def ratio_model(docs: DataFrame, trusted: DataFrame, *, smoothing: float = SMOOTHING) -> DataFrame:
-    """One row with ``model``: the log ratio of each bucket, as an array of 2**14 doubles.
-
-    docs and trusted both hold ``g``, arrays of buckets; the counts cover all of either. Without any trusted n-gram there
-    is nothing to compare with, and every ratio is 0.
+    texts: t, and trusted (boolean). The counts cover all of them. Without any trusted n-gram there is nothing to compare
+    with, and every ratio is 0.
     """
     size = 1 << BUCKET_BITS
-    both = _counts(docs, "n_raw").withColumn("n_target", F.lit(0).cast("long")).unionByName(
-        _counts(trusted, "n_target").withColumn("n_raw", F.lit(0).cast("long"))
-    )
-    counted = both.groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target"))
-    all_buckets = docs.sparkSession.range(size).select(F.col("id").cast("smallint").alias("bucket"))
+    grams = texts.select("trusted", F.explode(let(ascii_words(F.col("t")), _grams)).alias("bucket"))
+    counted = grams.groupBy("bucket").agg(F.count("*").alias("n_raw"), F.sum(F.col("trusted").cast("bigint")).alias("n_target"))
+    all_buckets = texts.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket"))
     dense = all_buckets.join(counted, "bucket", "left").fillna(0, ["n_raw", "n_target"])
-    rows = F.array_sort(F.collect_list(F.struct("bucket", "n_target", "n_raw")))
-    one = dense.agg(rows.alias("rows"), F.sum("n_target").alias("t"), F.sum("n_raw").alias("r"))
-    ratio = lambda x: F.when(F.col("t") == 0, F.lit(0.0)).otherwise(
-        F.log((x["n_target"] + smoothing) / (F.col("t") + smoothing * size)) - F.log((x["n_raw"] + smoothing) / (F.col("r") + smoothing * size))
-    )
-    return one.select(F.transform("rows", ratio).alias("model"))
+    # one row a bucket, whatever the corpus
+    one = dense.agg(F.array_sort(F.collect_list(F.struct("bucket", "n_target", "n_raw"))).alias("rows"), F.sum("n_target").alias("t"), F.sum("n_raw").alias("r"))
+    p_raw = lambda x: (x["n_raw"] + smoothing) / (F.col("r") + smoothing * size)
+    ratio = lambda x: F.when(F.col("t") == 0, F.lit(0.0)).otherwise(F.log((x["n_target"] + smoothing) / (F.col("t") + smoothing * size)) - F.log(p_raw(x)))
+    both = one.select(F.transform("rows", lambda x: F.struct(ratio(x).alias("ratio"), p_raw(x).alias("p"))).alias("b"))
+    return both.select(F.col("b.ratio").alias("ratios"), F.aggregate("b", F.lit(0.0), lambda a, x: a + x["p"] * x["ratio"]).alias("raw_mean"))
 
 
 def _covered(hashes: Column) -> Column:
@@ -90,43 +86,49 @@ def quality_rules(
     doc_id: str = "doc_id",
     text: str = "text",
     keep: list[str] | None = None,
-    threshold: float = THRESHOLD,
+    threshold: float | None = None,
+    margin: float = MARGIN,
     smoothing: float = SMOOTHING,
 ) -> DataFrame:
     """A row per row of docs: ``row`` (a struct of the columns ``keep``, or of all), the base counts, score and verdict.
 
-    labels gives the trusted target: the ids with quality 1. Defined results: a null or blank text has no words,
-    zero counts, a null score and fails the base rules; repeated rows are judged each for itself and alike; an empty
-    table gives an empty result; without trusted rows the base rules alone decide; rows with a null id are judged but
-    are never part of the target; other columns of docs, whatever their names, stay inside ``row``.
+    labels gives the trusted target: the ids with quality 1. A threshold that is given stands instead of the one by margin. Defined
+    results: a null or blank text has no words, zero counts, a null score and fails the base rules; repeated rows are judged
+    each for itself and alike; an empty table gives an empty result; without trusted rows the base rules alone decide; rows with a
+    null id are judged but are never part of the target; labels may repeat, one of quality 1 is enough; other columns of docs,
+    whatever their names, stay inside ``row``.
     """
     t = F.coalesce(docs[text], F.lit(""))
-    lines = lambda x: F.size(x) - F.size(F.array_distinct(x))
+    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct().withColumn("good", F.lit(True))
+    # texts are shuffled once by id, at every size, and never sorted; each task holds a hash table of its share of the trusted ids
+    marked = docs.select(docs[doc_id].alias("id"), t.alias("t")).join(good.hint("shuffle_hash"), "id", "left")
+    model = written(ratio_model(marked.select("t", F.coalesce("good", F.lit(False)).alias("trusted")), smoothing=smoothing), "quality-model")
     row = F.struct(*[docs[c] for c in (keep or docs.columns)]).alias("row")
-    split = docs.select(row, docs[doc_id].alias("id"), t.alias("t"), ascii_words(t).alias("w"))
-    measured = split.select(
+    ready = docs.select(row, t.alias("t")).withColumn("ratios", model.select("ratios").scalar()).withColumn("raw_mean", model.select("raw_mean").scalar())
+    least = F.lit(threshold) if threshold is not None else margin * F.col("raw_mean")
+    mean = lambda g: F.when(F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get("ratios", b)) / F.size(g))
+
+    def measures(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            _covered(_windows(w)).alias("n_repeat_words"),
+            let(_grams(w), mean).alias("score"),
+        )
+
+    def verdict(m: Column) -> Column:
+        failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
+        kept = ~failed & F.coalesce(m["score"] >= least, F.lit(False))
+        return F.struct(*[m[c].alias(c) for c in ("n_words", "word_chars", "n_repeat_words", "score")], failed.alias("base_failed"), kept.alias("kept"))
+
+    # all that follows from the words is one expression, so that a filter on the verdict computes it once
+    judged = ready.select(
         "row",
-        "id",
-        F.size("w").cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        let(let(ascii_words(F.col("t")), measures), verdict).alias("m"),
         F.regexp_count("t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
-        let(F.filter(F.split("t", "\n"), lambda x: x.rlike(HAS_WORD)), lines).cast("long").alias("n_dup_lines"),
-        _covered(_windows(F.col("w"))).alias("n_repeat_words"),
-        _grams(F.col("w")).alias("g"),
+        let(F.filter(F.split("t", "\n"), lambda x: x.rlike(HAS_WORD)), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
-    if keep:  # few columns: measure once and keep what was measured
-        measured = written(measured, "quality")
-        grams = measured.select("id", "g")
-    else:  # whole rows: texts are read twice rather than written between
-        grams = written(split.select("id", _grams(F.col("w")).alias("g")), "quality-grams")
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("id"))
-    # a merge join at every size: only the buckets of a document are shuffled, two bytes a word
-    model = ratio_model(grams.select("g"), grams.join(good.hint("merge"), "id", "left_semi"), smoothing=smoothing)
-    total = F.aggregate("g", F.lit(0.0), lambda a, b: a + F.get("m", b))
-    scored = measured.withColumn("m", model.scalar()).withColumn("score", F.when(F.size("g") > 0, total / F.size("g")))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False))
-    return scored.drop("m", "g", "id").withColumn("base_failed", failed).withColumn("kept", kept)
+    return judged.select("row", "m.n_words", "m.word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", "m.score", "m.base_failed", "m.kept")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

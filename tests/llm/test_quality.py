@@ -33,28 +33,39 @@ def test_base_counts(spark, no_labels):
             assert r.kept == (not r.base_failed)  # nothing is trusted, so the base rules decide
 
 
-def _bucket(word, before):
-    import struct
-
-    h = xxhash.xxh64_intdigest(word[-3:].encode(), 42)
-    # a boolean is hashed as an int, chained by the seed, as Spark does
-    h = xxhash.xxh64_intdigest(struct.pack("<i", int(word == before)), h)
-    return h & 16383
+def _grams(text):
+    """Words, then pairs: hashed one by one, each hash the seed of the next."""
+    words = text.split()
+    one = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    return [h & (1 << 18) - 1 for h in one + [xxhash.xxh64_intdigest(b.encode(), h) for h, b in zip(one, words[1:])]]
 
 
 def test_score_against_counts(spark):
     good = ["alpha beta gamma delta epsilon " * 6 + f"tail{i}" for i in range(4)]
-    bad = ["%%% ### $$$ " * 12]
+    bad = ["%%% ### $$$ " * 12, "epsilon alpha delta beta gamma " * 2 + " ".join(f"x{i}" for i in range(30))]
     docs = spark.createDataFrame(list(enumerate(good + bad)), "doc_id bigint, text string")
-    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (4, 0, 0)], "doc_id bigint, quality int, toxic int")
-    grams = [[_bucket(w, b) for b, w in zip(["", *t.split()], t.split())] for t in good + bad]
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (1, 1, 0), (1, 0, 0), (4, 0, 0), (None, 1, 0), (2, None, None)], "doc_id bigint, quality int, toxic int")
+    grams = [_grams(t) for t in good + bad]
     raw, target = Counter(g for x in grams for g in x), Counter(g for x in grams[:2] for g in x)
-    n, r, t = 1 << 14, sum(raw.values()), sum(target.values())
+    n, r, t = 1 << 18, sum(raw.values()), sum(target.values())
     ratio = lambda g: math.log((target[g] + 1) / (t + n)) - math.log((raw[g] + 1) / (r + n))
+    unseen = (n - len(raw)) / (r + n) * (math.log(1 / (t + n)) - math.log(1 / (r + n)))
+    least = 2 * (unseen + sum((raw[g] + 1) / (r + n) * ratio(g) for g in raw))
     got = {x.row.doc_id: x for x in quality.quality_rules(docs, labels).collect()}
     for i, x in enumerate(grams):
-        assert abs(got[i].score - sum(map(ratio, x)) / len(x)) < 1e-9
-    assert got[4].score < got[0].score
+        score = sum(map(ratio, x)) / len(x)
+        assert abs(got[i].score - score) < 1e-9
+        assert got[i].kept == (not got[i].base_failed and score >= least)
+    assert got[4].score < got[0].score and not got[4].kept
+    fixed = {x.row.doc_id: x.kept for x in quality.quality_rules(docs, labels, threshold=-9.0).collect()}
+    assert all(fixed[i] == (not got[i].base_failed) for i in got)
+
+
+def test_query_on_a_folder(spark, tmp_path, odd):
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 1, None), (4, None, 1), (6, 7, 7)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = quality.op4_quality_rules(spark, str(tmp_path)).collect()
+    assert len(got) == odd.count() and all(r.score is None and r.base_failed for r in got if not r.n_words)
 
 
 def test_odd_rows(odd, no_labels):
