@@ -5,13 +5,16 @@ good quality), one from the raw corpus. A document's score is the mean, over its
 Nothing is drawn at random: each document gets the same verdict in every run.
 
 The n-grams are a text's words and its pairs of neighbouring words, each hashed by xxhash64 into 2**18 buckets, so that the model
-has one size whatever the corpus. Both counts cover all texts, in one pass. The threshold follows from the two
+has one size whatever the corpus. The raw counts cover all texts. The target's are those of at most about ``TRUSTED_ROWS`` trusted
+documents, chosen by a hash of the id; all are taken where there are fewer. So no text is shuffled: the chosen ids are broadcast. The threshold follows from the two
 multinomials: an n-gram drawn from the raw corpus scores minus the divergence of the target from it on average, and a document is
 kept where its score is at least ``MARGIN`` times that.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from .common import ascii_words, let, table, written
 
 BUCKET_BITS = 18
 MARGIN = 2.0
+TRUSTED_ROWS = 100_000
+SEED = 17
 SMOOTHING = 1.0
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 20
@@ -88,6 +93,7 @@ def quality_rules(
     keep: list[str] | None = None,
     threshold: float | None = None,
     margin: float = MARGIN,
+    trusted_rows: int = TRUSTED_ROWS,
     smoothing: float = SMOOTHING,
 ) -> DataFrame:
     """A row per row of docs: ``row`` (a struct of the columns ``keep``, or of all), the base counts, score and verdict.
@@ -99,9 +105,12 @@ def quality_rules(
     whatever their names, stay inside ``row``.
     """
     t = F.coalesce(docs[text], F.lit(""))
-    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct().withColumn("good", F.lit(True))
-    # texts are shuffled once by id, at every size, and never sorted; each task holds a hash table of its share of the trusted ids
-    marked = docs.select(docs[doc_id].alias("id"), t.alias("t")).join(good.hint("shuffle_hash"), "id", "left")
+    trusted = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    span = 1_000_000
+    share = math.ceil(span * min(1.0, trusted_rows / max(1, trusted.count())))
+    chosen = trusted.filter(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(span)) < share).withColumn("good", F.lit(True))
+    # about trusted_rows ids at most, whatever the input
+    marked = docs.select(docs[doc_id].alias("id"), t.alias("t")).join(F.broadcast(chosen), "id", "left")
     model = written(ratio_model(marked.select("t", F.coalesce("good", F.lit(False)).alias("trusted")), smoothing=smoothing), "quality-model")
     row = F.struct(*[docs[c] for c in (keep or docs.columns)]).alias("row")
     ready = docs.select(row, t.alias("t")).withColumn("ratios", model.select("ratios").scalar()).withColumn("raw_mean", model.select("raw_mean").scalar())
