@@ -4,7 +4,8 @@ Two multinomials over hashed n-grams are estimated: one from a trusted target (d
 good quality), one from the raw corpus. A document's score is the mean, over its n-grams, of log p_target - log p_raw.
 Nothing is drawn at random: each document gets the same verdict in every run.
 
-The n-grams are a text's words and its pairs of neighbouring words, each hashed by xxhash64 into 2**18 buckets, so that the model
+The n-grams are a text's words and its pairs of neighbouring words. Each word is hashed once by xxhash64, a pair from its two
+hashes, into 2**18 buckets, so that the model
 has one size whatever the corpus. The raw counts cover all texts. The target's are those of at most about ``TRUSTED_ROWS`` trusted
 documents, chosen by a hash of the id; all are taken where there are fewer. So no text is shuffled: the chosen ids are broadcast. The threshold follows from the two
 multinomials: an n-gram drawn from the raw corpus scores minus the divergence of the target from it on average, and a document is
@@ -32,13 +33,17 @@ MAX_REPEAT_PERCENT = 30
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
-def _grams(words: Column) -> Column:
-    """The buckets of each word, then of each two neighbours."""
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _grams(hashes: Column) -> Column:
+    """The buckets of each word, then of each two neighbours, from the hashes of the words."""
     mask = F.lit((1 << BUCKET_BITS) - 1)
-    one = lambda w: F.xxhash64(w).bitwiseAND(mask).cast("int")
+    one = lambda h: h.bitwiseAND(mask).cast("int")
     two = lambda a, b: F.xxhash64(a, b).bitwiseAND(mask).cast("int")
-    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), two)
-    return F.concat(F.transform(words, one), F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<int>")))
+    pairs = F.zip_with(F.slice(hashes, 1, F.size(hashes) - 1), F.slice(hashes, 2, F.size(hashes)), two)
+    return F.concat(F.transform(hashes, one), F.when(F.size(hashes) > 1, pairs).otherwise(F.array().cast("array<int>")))
 
 
 def ratio_model(texts: DataFrame, *, smoothing: float = SMOOTHING) -> DataFrame:
@@ -48,7 +53,7 @@ def ratio_model(texts: DataFrame, *, smoothing: float = SMOOTHING) -> DataFrame:
     with, and every ratio is 0.
     """
     size = 1 << BUCKET_BITS
-    grams = texts.select("trusted", F.explode(let(ascii_words(F.col("t")), _grams)).alias("bucket"))
+    grams = texts.select("trusted", F.explode(let(_hashed(ascii_words(F.col("t"))), _grams)).alias("bucket"))
     counted = grams.groupBy("bucket").agg(F.count("*").alias("n_raw"), F.sum(F.col("trusted").cast("bigint")).alias("n_target"))
     all_buckets = texts.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket"))
     dense = all_buckets.join(counted, "bucket", "left").fillna(0, ["n_raw", "n_target"])
@@ -77,11 +82,10 @@ def _covered(hashes: Column) -> Column:
     return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(with_repeats(h)))
 
 
-def _windows(words: Column) -> Column:
-    """xxhash64 of each run of eight words, in order."""
-    runs = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - WINDOW + 1), lambda i: F.xxhash64(F.slice(h, i, WINDOW)))
-    short = F.array().cast("array<bigint>")
-    return F.when(F.size(words) >= WINDOW, let(F.transform(words, lambda w: F.xxhash64(w)), runs)).otherwise(short)
+def _windows(hashes: Column) -> Column:
+    """xxhash64 of each run of eight word hashes, in order."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(hashes) - WINDOW + 1), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))
+    return F.when(F.size(hashes) >= WINDOW, runs).otherwise(F.array().cast("array<bigint>"))
 
 
 def quality_rules(
@@ -118,12 +122,9 @@ def quality_rules(
     mean = lambda g: F.when(F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get("ratios", b)) / F.size(g))
 
     def measures(w: Column) -> Column:
-        return F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            _covered(_windows(w)).alias("n_repeat_words"),
-            let(_grams(w), mean).alias("score"),
-        )
+        from_hashes = lambda h: F.struct(_covered(_windows(h)).alias("n_repeat_words"), let(_grams(h), mean).alias("score"))
+        counted = F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), let(_hashed(w), from_hashes).alias("h"))
+        return let(counted, lambda m: F.struct(m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["h"]["n_repeat_words"].alias("n_repeat_words"), m["h"]["score"].alias("score")))
 
     def verdict(m: Column) -> Column:
         failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])

@@ -34,10 +34,11 @@ def test_base_counts(spark, no_labels):
 
 
 def _grams(text):
-    """Words, then pairs: hashed one by one, each hash the seed of the next."""
-    words = text.split()
-    one = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
-    return [h & (1 << 18) - 1 for h in one + [xxhash.xxh64_intdigest(b.encode(), h) for h, b in zip(one, words[1:])]]
+    """Words, then pairs: the hash of a pair goes over its words' hashes, the first hash of each chain seeding the next."""
+    one = [xxhash.xxh64_intdigest(w.encode(), 42) for w in text.split()]
+    long = lambda h: h.to_bytes(8, "little")
+    pairs = [xxhash.xxh64_intdigest(long(b), xxhash.xxh64_intdigest(long(a), 42)) for a, b in zip(one, one[1:])]
+    return [h & (1 << 18) - 1 for h in one + pairs]
 
 
 def test_score_against_counts(spark):
