@@ -79,17 +79,29 @@ def test_urls_against_sql(spark):
     assert urls.url_filter(far, more).first().verdict == "block"
 
 
+# costs by hand: placing a turn of a role in a state, as (from, to): (inserted turns, merged)
+BY_HAND = {
+    ("start", "system"): (0, False), ("start", "user"): (0, False), ("start", "assistant"): (1, False),
+    ("system", "system"): (None, True), ("system", "user"): (0, False), ("system", "assistant"): (1, False),
+    ("user", "user"): (1, True), ("user", "assistant"): (0, False), ("assistant", "assistant"): (1, True), ("assistant", "user"): (0, False),
+}
+END_BY_HAND = {"start": 0, "system": 6, "user": 3, "assistant": 0}
+
+
 def brute_cost(roles):
-    """The least cost by trying every way to place each turn."""
-    best = {chat.START: 0.0}
+    """The least cost by trying every placement of every turn; inserting costs 3, merging 2, relabelling 4, naming an unknown role 1."""
+    best = {"start": 0}
     for r in roles:
+        r = (r or "").strip().lower()
         nxt: dict = {}
         for s, c in best.items():
-            for f, t, cost, _, _ in chat.OPTIONS[chat._code(r)]:
+            for (f, t), (inserted, merged) in BY_HAND.items():
                 if f == s:
-                    nxt[t] = min(nxt.get(t, 1e9), c + cost)
+                    name = 0 if r == t else 4 if r in ("system", "user", "assistant") else 1
+                    place = min(([] if inserted is None else [3 * inserted]) + [2] * merged)
+                    nxt[t] = min(nxt.get(t, 1e9), c + name + place)
         best = nxt
-    return min(c + chat.END_COST[s] for s, c in best.items())
+    return min(c + END_BY_HAND[s] for s, c in best.items())
 
 
 def check_legal(pieces):
@@ -123,6 +135,20 @@ def test_chat(spark, chunk):
     assert chat.repaired(df.limit(0)).count() == 0
 
 
+def test_chat_does_not_depend_on_chunks(spark, tmp_path):
+    random.seed(77)
+    choice = ["user", "assistant", "system", "bot", None]
+    rows = [(c, t, random.choice(choice), f"{c} {t}") for c in range(60) for t in range(random.randint(1, 8))] + [(500, t // 2, random.choice(choice), "same") for t in range(200)] + [(501, 0, "user", "x" * 300_000)]
+    df = spark.createDataFrame([*rows, *rows[:50]], "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    key = lambda r: (r.conv_id, r.seq)
+    want = sorted(chat.repaired(df).collect(), key=key)
+    for chunk in (1, 3, 50):
+        assert sorted(chat.repaired(df, chunk_rows=chunk).collect(), key=key) == want
+    assert sorted(chat.repaired(df, chunk_bytes=5000).collect(), key=key) == want
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    assert sorted(chat.op10_chat_format(spark, str(tmp_path)).collect(), key=key) == want
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((1200, 12)).astype(np.float32)
