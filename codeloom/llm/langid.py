@@ -26,6 +26,8 @@ SAMPLE_DOCS = 2000
 MAX_WORDS = 60_000
 MAX_GRAMS = 40_000
 MIN_WORD_COUNT = 2
+#: Languages that a model can tell apart.
+MAX_LANGS = 500
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
 #: How many words of evidence a score counts at most, so that it stays short of certainty for long texts.
@@ -34,16 +36,24 @@ UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def letter_words(text: str) -> list[str]:
+    """Runs of letters (category L), lower-cased; ``\\w`` alone would take number characters such as the Roman numeral eight for letters."""
+    found = _LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return "".join(c if c.isalpha() else " " for w in found for c in (*w, " ")).split()
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
 def learning_rows(docs: DataFrame, *, doc_id: str, text: str, lang: str, sample_docs: int) -> DataFrame:
-    """(text, lang) of about sample_docs documents a language, the same ones in every run."""
+    """(text, lang) of about sample_docs documents a language, the same ones in every run, of the MAX_LANGS most frequent languages."""
     rows = docs.filter(F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
-    counts = {r.lang: r.n for r in rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    most = rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
     span = 1_000_000
-    share = F.coalesce(*[F.when(F.col(lang) == k, F.lit(math.ceil(span * sample_docs / n))) for k, n in counts.items()], F.lit(span))
+    share = F.coalesce(*[F.when(F.col(lang) == r.lang, F.lit(math.ceil(span * sample_docs / r.n))) for r in most], F.lit(-1))
     return rows.filter(F.pmod(F.xxhash64(F.lit(11), F.col(doc_id)), F.lit(span)) < share).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
 
 
@@ -54,7 +64,7 @@ def _tallies(rows: DataFrame) -> DataFrame:
         for batch in batches:
             by: dict[str, Counter] = {}
             for lang, t in zip(batch["lang"], batch["text"], strict=True):
-                by.setdefault(lang, Counter()).update(_LETTERS.findall(t.lower()))
+                by.setdefault(lang, Counter()).update(letter_words(t))
             out = []
             for lang, words in by.items():
                 out += [(lang, w, 0, n) for w, n in words.items()]
@@ -117,7 +127,7 @@ class Backoff:
             self.index[w] = first + k
 
     def classify(self, text: str | None) -> tuple[str, float]:
-        words = Counter(_LETTERS.findall(text.lower())) if text else None
+        words = Counter(letter_words(text)) if text else None
         if not words or not self.langs:
             return UNDETERMINED, 0.0
         if len(self.index) > 400_000:

@@ -4,10 +4,11 @@
    often than others, or hold densely (twice or more, and in at least 0.4 % of their words) far more often. Support is counted in distinct sketches (the four least hashes of a text's words), so that a family of near
    copies counts about once and unrelated texts do not fall together. A few sketches are enough, whatever the sample's size. Fixed pattern voters stand beside them. A voter votes "toxic" or abstains.
 2. Label model. Over every row that may be learned from, labelled or not, the distinct sets of votes are counted. Expectation
-   maximisation of a generative model estimates the share of toxic texts and each voter's rate among toxic and
-   other texts; a rate is always two thirds the labelled sample's and one third the estimate from all those rows. The voters' correlations within the toxic class come from the same counts; a voter's log ratio
+   maximisation of a generative model estimates from these counts the share of toxic texts and each voter's rate among toxic and
+   other texts. The labelled sample gives the starting values and stands beside the counts as ``PSEUDO_ROWS`` rows of each class, so its part
+   in a rate vanishes as the corpus grows. Correlations are estimated in both classes from the same counts; a voter's log ratio
    is divided by one plus the sum of its strong correlations, so that voters that say the same count once.
-3. A logistic classifier is trained on the posterior labels of the sampled rows and scores every text.
+3. A logistic classifier is trained on the posterior labels of a bounded sample of labelled and unlabelled rows and scores every text.
 
 What the driver holds is bounded by the numbers of voters and features and by the sample, all parameters.
 """
@@ -30,6 +31,11 @@ from .common import table, written
 
 SAMPLE_TOXIC = 4000
 SAMPLE_OTHER = 8000
+SAMPLE_UNLABELLED = 4000
+#: What an unlabelled row weighs in the classifier beside a labelled one, as its posterior is less sure.
+UNLABELLED_WEIGHT = 0.25
+#: What the labelled sample weighs in each class's rates, in rows.
+PSEUDO_ROWS = 50.0
 MAX_VOTERS = 192
 MAX_FEATURES = 768
 PREFIXES = (4, 5, 6, 7)
@@ -139,7 +145,7 @@ class Extractor:
 
 def _sample(docs: DataFrame, labels: DataFrame, toxic: int, other: int) -> tuple[DataFrame, int, int]:
     """(text, y) of about so many labelled rows of each class that may be learned from, and how many of each there are."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & may_learn(F.col("doc_id")))
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & may_learn(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("y"))
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     span = 1_000_000
@@ -202,10 +208,22 @@ def _posterior(prior: float, weights: np.ndarray, votes: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def label_model(votes: DataFrame, toxic_rate: np.ndarray, other_rate: np.ndarray, prior: float, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
+def _rates(counts: np.ndarray, mass: float, start: np.ndarray, pseudo: float) -> np.ndarray:
+    return np.clip((counts + pseudo * start) / (mass + pseudo), 1e-5, 1 - 1e-5)
+
+
+def _dependence(both: np.ndarray, rate: np.ndarray, mass: float) -> np.ndarray:
+    """The strong correlations of each two voters in a class, from their joint and single shares of it."""
+    spread = np.sqrt(rate * (1 - rate))
+    rho = (both / max(mass, 1e-9) - np.outer(rate, rate)) / np.outer(spread, spread)
+    np.fill_diagonal(rho, 0)
+    return np.where(rho >= DEPENDENT, np.minimum(rho, 1), 0)
+
+
+def label_model(votes: DataFrame, toxic_rate: np.ndarray, other_rate: np.ndarray, prior: float, rounds: int = ROUNDS, pseudo: float = PSEUDO_ROWS) -> tuple[float, np.ndarray]:
     """(prior, weights): expectation maximisation over the table of vote sets, then again with correlated voters discounted.
 
-    Rates are the starting values, of each voter among toxic and other texts.
+    Rates are the starting values, of each voter among toxic and other texts; they go on counting as pseudo rows of each class.
     """
     n_voters = len(toxic_rate)
     discount = np.ones(n_voters)
@@ -221,22 +239,19 @@ def label_model(votes: DataFrame, toxic_rate: np.ndarray, other_rate: np.ndarray
             for r in by.groupBy("j").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).collect():
                 t[r.j], o[r.j] = r.t, r.o
             toxic, other = mass.t, mass.n - mass.t
-            # all unlabelled texts together weigh half as much as the sample, so that no voter can confirm itself
-            toxic_rate_now = (toxic_rate + 0.5 * t / max(toxic, 1e-9)) / 1.5
-            other_rate_now = (other_rate + 0.5 * o / max(other, 1e-9)) / 1.5
+            rates = _rates(t, toxic, toxic_rate, pseudo), _rates(o, other, other_rate, pseudo)
             prior = float(np.clip(toxic / mass.n, 1e-4, 0.5))
-            weights = np.log(toxic_rate_now / other_rate_now)
+            weights = np.log(rates[0] / rates[1])
         if phase == 0:
             pair = F.transform("votes", lambda i: F.transform(F.filter("votes", lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j"))))
-            pairs = judged.select(F.inline(F.flatten(pair)), (F.col("n") * F.col("p")).alias("t")).groupBy("i", "j").agg(F.sum("t").alias("t"))
-            both = np.zeros((n_voters, n_voters))
-            for r in pairs.collect():  # voters squared at most
-                both[r.i, r.j] = both[r.j, r.i] = r.t
-            rate = np.clip(t / max(toxic, 1e-9), 1e-6, 1 - 1e-6)
-            spread = np.sqrt(rate * (1 - rate))
-            rho = (both / max(toxic, 1e-9) - np.outer(rate, rate)) / np.outer(spread, spread)
-            np.fill_diagonal(rho, 0)
-            discount = 1 / (1 + np.where(rho >= DEPENDENT, np.minimum(rho, 1), 0).sum(axis=1))
+            pairs = judged.select(F.inline(F.flatten(pair)), (F.col("n") * F.col("p")).alias("t"), (F.col("n") * (1 - F.col("p"))).alias("o"))
+            both = np.zeros((2, n_voters, n_voters))
+            for r in pairs.groupBy("i", "j").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).collect():  # voters squared at most
+                both[0, r.i, r.j] = both[0, r.j, r.i] = r.t
+                both[1, r.i, r.j] = both[1, r.j, r.i] = r.o
+            single = np.clip(t / max(toxic, 1e-9), 1e-6, 1 - 1e-6), np.clip(o / max(other, 1e-9), 1e-6, 1 - 1e-6)
+            strong = np.maximum(_dependence(both[0], single[0], toxic), _dependence(both[1], single[1], other))
+            discount = 1 / (1 + strong.sum(axis=1))
     return prior, weights * discount
 
 
@@ -272,8 +287,11 @@ class Model:
         return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_toxic: int = SAMPLE_TOXIC, sample_other: int = SAMPLE_OTHER, max_voters: int = MAX_VOTERS, max_features: int = MAX_FEATURES) -> Model:
-    """Learns from rows whose crc32(doc_id) mod 3 is not 1. Without toxic labels there the model scores every text 0.05."""
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_toxic: int = SAMPLE_TOXIC, sample_other: int = SAMPLE_OTHER, sample_unlabelled: int = SAMPLE_UNLABELLED, max_voters: int = MAX_VOTERS, max_features: int = MAX_FEATURES) -> Model:
+    """Learns from rows whose crc32(doc_id) mod 3 is not 1. Without toxic labels there the model scores every text 0.05.
+
+    Labels with a null id or a value other than 0 and 1 say nothing; of labels that repeat an id the greatest counts.
+    """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter(may_learn(F.col("id")))
     sample, n_toxic, n_other = _sample(rows, labels, sample_toxic, sample_other)
     sample = written(sample, "tox-sample")
@@ -299,12 +317,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         for batch in batches:
             yield pd.DataFrame({"features": [wide(x) for x in batch["text"]], "y": batch["y"]})
 
-    found = sample.mapInPandas(run, "features array<int>, y int").collect()  # the bounded sample, as numbers
+    n_rows = votes.agg(F.sum("n")).first()[0] or 0
+    span = 1_000_000
+    chosen = F.pmod(F.xxhash64(F.lit(29), "id"), F.lit(span)) < math.ceil(span * min(1.0, sample_unlabelled / max(1, n_rows)))
+    more = rows.filter(chosen).join(labels.filter("toxic in (0, 1)").select(F.col("doc_id").alias("id")).distinct(), "id", "left_anti")
+    both = sample.select("text", F.col("y").cast("int").alias("y")).unionByName(more.select("text", F.lit(-1).alias("y")))
+    found = both.mapInPandas(run, "features array<int>, y int").collect()  # the bounded sample, as numbers
     to_voter = {k: k for k in range(len(voters))} | {n_seen + k: len(voters) + k for k in range(len(PATTERNS))}
     logit = np.array([math.log(prior / (1 - prior)) + sum(weights[j] for j in ([to_voter[k] for k in r.features if k in to_voter] or [silent])) for r in found])
     posterior = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
     drawn = Counter(r.y for r in found)
-    scale = {1: n_toxic / max(1, drawn[1]), 0: n_other / max(1, drawn[0])}
+    scale = {1: n_toxic / max(1, drawn[1]), 0: n_other / max(1, drawn[0]), -1: UNLABELLED_WEIGHT * max(0, n_rows - n_toxic - n_other) / max(1, drawn[-1])}
     weight = np.array([scale[r.y] for r in found])
     w, b = _logistic([r.features for r in found], posterior, weight / weight.mean(), n_seen + len(PATTERNS))
     return Model(entries, w, b)

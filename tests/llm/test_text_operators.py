@@ -115,6 +115,38 @@ def test_language_backs_off_by_hand():
     assert model.classify("42 !") == ("und", 0.0) and model.classify(None) == ("und", 0.0)
 
 
+def test_language_of_numbers_is_undetermined():
+    model = langid.Backoff(["a", "b"], {"cat": 0}, np.array([[-1.0, -9.0], [0.0, 0.0]]))
+    assert all(model.classify(t) == ("und", 0.0) for t in ("²", "Ⅷ", "½ ¾", "① 42", "_"))
+    assert langid.letter_words("Aⅷb Cat² ĳ") == ["a", "b", "cat", "ĳ"]
+    assert model.classify("²cat")[0] == "a"
+
+
+def test_language_against_brute_force(spark):
+    """Sums over words, each known word by itself and any other by its longest known n-grams from the left, taken by the plainest loops."""
+    docs = _language_docs(spark)
+    model = langid.fit(docs)
+    by_gram = {k: model.logs[i] for k, i in model.known.items()}
+
+    def scores(word):
+        if word in by_gram:
+            return by_gram[word]
+        p, rows, i = f" {word} ", [], 0
+        while i < len(p):
+            fits = [n for n in (5, 4, 3, 2, 1) if i + n <= len(p) and "\0" + p[i : i + n] in by_gram]
+            if fits:
+                rows.append(by_gram["\0" + p[i : i + fits[0]]])
+            i += fits[0] if fits else 1
+        return sum(rows) / len(rows) if rows else np.zeros(len(model.langs))
+
+    got = {r.doc_id: r for r in langid.identified(docs, model).collect()}
+    for r in docs.collect()[:60]:
+        total = sum(scores(w) for w in r.text.lower().split())
+        z = (total - total.max()) * min(1, langid.EVIDENCE / len(r.text.split()))
+        assert got[r.doc_id].lang_pred == model.langs[int(np.argmax(total))]
+        assert got[r.doc_id].score == pytest.approx(1 / np.exp(z).sum())
+
+
 def test_language_rows(odd):
     model = langid.fit(odd)
     out = langid.identified(odd, model).collect()
@@ -146,6 +178,48 @@ def test_toxicity_held_out(spark):
     assert np.mean(right) > 0.95
 
 
+def test_label_model_against_plain_em(spark):
+    rng = random.Random(12)
+    sets: dict = {}
+    for _ in range(4000):
+        toxic = rng.random() < 0.2
+        v = tuple(j for j in range(4) if rng.random() < ((0.7, 0.5, 0.4, 0.05) if toxic else (0.02, 0.05, 0.01, 0.05))[j])
+        v = tuple(sorted({*v, 4})) if 0 in v and rng.random() < 0.97 else v  # the fifth voter repeats the first
+        sets[v or (5,)] = sets.get(v or (5,), 0) + 1
+    start_t, start_o, prior, k = np.array([0.5, 0.5, 0.5, 0.1, 0.5, 0.02]), np.array([0.05, 0.05, 0.05, 0.05, 0.05, 0.9]), 0.3, 50.0
+    df = spark.createDataFrame([(list(v), n) for v, n in sets.items()], "votes array<int>, n bigint")
+    got_prior, got = toxicity.label_model(df, start_t, start_o, prior, rounds=6, pseudo=k)
+
+    x = np.array([[j in v for j in range(6)] for v in sets], float)
+    n = np.array(list(sets.values()), float)
+    w, discount = np.log(start_t / start_o), np.ones(6)
+    for phase, rounds in ((0, 6), (1, 3)):
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + x @ (w * discount))))
+            t, o = n * p, n * (1 - p)
+            w = np.log(np.clip((x.T @ t + k * start_t) / (t.sum() + k), 1e-5, 1 - 1e-5) / np.clip((x.T @ o + k * start_o) / (o.sum() + k), 1e-5, 1 - 1e-5))
+            prior = float(np.clip(t.sum() / n.sum(), 1e-4, 0.5))
+        if phase == 0:
+            strong = np.zeros((6, 6))
+            for m in (t, o):
+                mean = np.clip((x * m[:, None]).sum(0) / m.sum(), 1e-6, 1 - 1e-6)
+                sd = np.sqrt(mean * (1 - mean))
+                rho = ((x * m[:, None]).T @ x / m.sum() - np.outer(mean, mean)) / np.outer(sd, sd)
+                np.fill_diagonal(rho, 0)
+                strong = np.maximum(strong, np.where(rho >= 0.5, np.minimum(rho, 1), 0))
+            discount = 1 / (1 + strong.sum(1))
+    assert got_prior == pytest.approx(prior, rel=1e-6) and np.allclose(got, w * discount, rtol=1e-6)
+    assert discount[0] < 0.6 and discount[4] < 0.6 and abs(prior - 0.2) < 0.1
+
+
+def test_toxicity_of_odd_labels(spark, odd, tmp_path):
+    labels = spark.createDataFrame([(1, None, None), (1, 1, 1), (1, 0, 0), (None, 1, 1), (6, 1, 7), (5, 1, 0), (77, 1, 1)], "doc_id bigint, quality int, toxic int")
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = toxicity.op3_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == odd.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+
+
 def test_toxicity_rows(odd, no_labels):
     model = toxicity.fit(odd, no_labels)
     out = toxicity.scored(odd, model).collect()
