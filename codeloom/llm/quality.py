@@ -8,8 +8,9 @@ The n-grams are a text's words and its pairs of neighbouring words. Each word is
 hashes, into 2**18 buckets, so that the model
 has one size whatever the corpus. The raw counts cover all texts. The target's are those of at most about ``TRUSTED_ROWS`` trusted
 documents, chosen by a hash of the id; all are taken where there are fewer. So no text is shuffled: the chosen ids are broadcast. The threshold follows from the two
-multinomials: an n-gram drawn from the raw corpus scores minus the divergence of the target from it on average, and a document is
-kept where its score is at least ``MARGIN`` times that.
+multinomials: an n-gram drawn from the raw corpus scores minus the divergence of the target from it on average, and a document goes
+where its score is below ``MARGIN`` times that and its n-grams are on average e ** ``SURE`` times likelier in the raw corpus, as a small
+corpus that is nearly all clean has hardly any divergence.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import ascii_words, let, table, written
 
 BUCKET_BITS = 18
-MARGIN = 2.0
+MARGIN, SURE = 2.0, 0.25
 TRUSTED_ROWS = 100_000
 SEED = 17
 SMOOTHING = 1.0
@@ -97,12 +98,13 @@ def quality_rules(
     keep: list[str] | None = None,
     threshold: float | None = None,
     margin: float = MARGIN,
+    sure: float = SURE,
     trusted_rows: int = TRUSTED_ROWS,
     smoothing: float = SMOOTHING,
 ) -> DataFrame:
     """A row per row of docs: ``row`` (a struct of the columns ``keep``, or of all), the base counts, score and verdict.
 
-    labels gives the trusted target: the ids with quality 1. A threshold that is given stands instead of the one by margin. Defined
+    labels gives the trusted target: the ids with quality 1. A threshold that is given stands instead of the one by margin and sure. Defined
     results: a null or blank text has no words, zero counts, a null score and fails the base rules; repeated rows are judged
     each for itself and alike; an empty table gives an empty result; without trusted rows the base rules alone decide; rows with a
     null id are judged but are never part of the target; labels may repeat, one of quality 1 is enough; other columns of docs,
@@ -118,7 +120,7 @@ def quality_rules(
     model = written(ratio_model(marked.select("t", F.coalesce("good", F.lit(False)).alias("trusted")), smoothing=smoothing), "quality-model")
     row = F.struct(*[docs[c] for c in (keep or docs.columns)]).alias("row")
     ready = docs.select(row, t.alias("t")).withColumn("ratios", model.select("ratios").scalar()).withColumn("raw_mean", model.select("raw_mean").scalar())
-    least = F.lit(threshold) if threshold is not None else margin * F.col("raw_mean")
+    least = F.lit(threshold) if threshold is not None else F.least(margin * F.col("raw_mean"), F.lit(-sure))
     mean = lambda g: F.when(F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get("ratios", b)) / F.size(g))
 
     def measures(w: Column) -> Column:

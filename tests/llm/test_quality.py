@@ -51,7 +51,7 @@ def test_score_against_counts(spark):
     n, r, t = 1 << 18, sum(raw.values()), sum(target.values())
     ratio = lambda g: math.log((target[g] + 1) / (t + n)) - math.log((raw[g] + 1) / (r + n))
     unseen = (n - len(raw)) / (r + n) * (math.log(1 / (t + n)) - math.log(1 / (r + n)))
-    least = 2 * (unseen + sum((raw[g] + 1) / (r + n) * ratio(g) for g in raw))
+    least = min(-0.25, 2 * (unseen + sum((raw[g] + 1) / (r + n) * ratio(g) for g in raw)))
     got = {x.row.doc_id: x for x in quality.quality_rules(docs, labels).collect()}
     for i, x in enumerate(grams):
         score = sum(map(ratio, x)) / len(x)

@@ -58,6 +58,40 @@ def test_mixed_rows(spark, odd):
     assert mixing.mixed(odd).select("row.*").columns == odd.columns
 
 
+def test_mixing_against_brute_force(spark, tmp_path):
+    """Earliest deadline first, slot by slot, over the blocks of each phase."""
+    sizes = {"a": 130, "b": 70, "c": 9, None: 33}
+    docs = spark.createDataFrame([(1000 * k + i, s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)], "doc_id bigint, source string")
+    out = mixing.mixed(docs, {"a": 5, "b": 2, None: 3}, block=4).collect()
+    weights, left, done, slot, want = {"a": 5, "b": 2, "c": 1, None: 3}, {s: -(-n // 4) for s, n in sizes.items()}, dict.fromkeys(sizes, 0), 0, []
+    while left:
+        total, start, given = sum(weights[s] for s in left), slot, dict.fromkeys(left, 0)
+        while all(left.values()):
+            t = slot - start
+            ready = [(-(-(given[s] + 1) * total // weights[s]), s or "", s) for s in left if given[s] * total // weights[s] <= t]
+            s = min(ready, key=lambda x: x[:2])[2]
+            want.append((s, done[s]))
+            given[s], done[s], left[s], slot = given[s] + 1, done[s] + 1, left[s] - 1, slot + 1
+        left = {s: n for s, n in left.items() if n}
+    got = {r.slot: (r.source, r.block) for r in out}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in enumerate(want)} and got == dict(enumerate(want))
+    for s in sizes:  # inside a source: the order of the ids' hash within its one bucket
+        mine = [r.row.doc_id for r in sorted((r for r in out if r.source == s), key=lambda r: r.position)]
+        hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id").alias("h")).collect()}
+        assert mine == sorted(mine, key=hashes.get)
+
+
+def test_more_sources_than_lanes(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 1501).cast("string"))).alias("source"))
+    out = mixing.mixed(docs, block=4).collect()
+    assert len({r.position for r in out}) == 6000 and {r.row.doc_id for r in out} == set(range(6000))
+    assert len({r.source for r in out}) > mixing.MAX_SOURCES
+    lanes = {}
+    for r in out:
+        lanes.setdefault(r.slot, []).append(r.source)
+    assert sorted(lanes) == list(range(len(lanes))) and max(map(len, lanes.values())) <= 4
+
+
 def test_urls_against_sql(spark):
     rows = [
         (1, "http://a.net/x", "<link rel='canonical' href='http://q.com/z'>"), (2, "http://q.com/z?a=1#f", None), (3, "http://r.com/1", '<meta http-equiv="refresh" content="0; url=/2">'),
