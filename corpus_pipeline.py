@@ -13,28 +13,44 @@ from codeloom.llm.common import table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that pass the base rules and the likelihood ratio."""
+    """Keeps the documents that pass the base rules and the likelihood ratio.
+
+    Null, empty and very short texts fail the base rules; rows that repeat are judged alike; without labels the base rules alone
+    decide; an empty table stays empty; further columns are kept, whatever their names.
+    """
     return quality.quality_rules(docs, table(spark, sf_dir, "labels")).filter("kept").select("row.*")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that are not predicted to be toxic."""
+    """Keeps the documents that are not predicted to be toxic.
+
+    The model learns from this stage's own documents. Null and empty texts score as texts without features and stay; rows that repeat are judged
+    alike; without toxic labels nothing goes; an empty table stays empty; further columns are kept, whatever their names.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.scored(docs, model).filter("predicted = 0").select("row.*")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, the one with the smallest id."""
+    """Keeps one document of each group of near-duplicates, the one with the smallest id.
+
+    Null and blank texts are one group; of rows that share the smallest id one stays; a null id stays only where its group has no other;
+    an empty table stays empty; further columns are kept, whatever their names.
+    """
     return simhash.near_duplicates(docs).filter("chosen").select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture: the files' order is the schedule."""
-    return mixing.mixed(docs).orderBy("position").select("row.*")
+    """All documents, in the order of the mixture: the files, by name, and the rows in each are the schedule.
+
+    Null ids and sources have places like others; rows that repeat have one place each; an empty table stays empty; further columns are
+    kept, whatever their names.
+    """
+    return mixing.mixed(docs).repartitionByRange("position").sortWithinPartitions("position").select("row.*")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each document."""
+    """Token counts and digests of each document; a null text is an empty one, rows that repeat repeat, an empty table stays empty."""
     return bpe.encoded(docs)
 
 
