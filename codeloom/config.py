@@ -61,3 +61,6 @@ SYMBOL_BOOST = 0.1
 CHUNK_SIZE, CHUNK_MIN, CHUNK_OVERLAP = 1000, 250, 150
 BUDGET_CHARS = 8000 * 4
 MAX_REASONS = 10
+
+# Vector queries that one scan answers.
+QUERY_BLOCK = 2048

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
 
 
+@cache
+def _accents() -> tuple[str, str]:
+    """Letters below U+2000 that decompose into a base letter and marks, and their bases."""
+    pairs = [(c, d[0]) for c in map(chr, range(0x80, 0x2000)) for d in [unicodedata.normalize("NFD", c)] if len(d) > 1 and all(unicodedata.category(m) == "Mn" for m in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
 def search_tokens(text: Column) -> Column:
-    """Lower-cased runs of letters, digits and underscores, without accents."""
-    plain = F.regexp_replace(F.lower(text), r"\p{M}+", "")
-    for letters, base in (("àáâãäå", "a"), ("ç", "c"), ("èéêë", "e"), ("ìíîï", "i"), ("ñ", "n"), ("òóôõö", "o"), ("ùúûü", "u"), ("ýÿ", "y")):
-        plain = F.translate(plain, letters, base * len(letters))
+    """Lower-cased runs of letters, digits and underscores, without accents, whether these are part of a letter or stand behind it."""
+    plain = F.translate(F.regexp_replace(F.lower(text), r"\p{M}+", ""), *_accents())
     return F.filter(F.split(plain, r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 

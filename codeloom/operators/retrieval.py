@@ -29,15 +29,18 @@ def knn(chunks: DataFrame, query: Sequence[float], k: int, *, metric: str = "l2"
     return x.withColumn("distance", d).orderBy("distance", key).offset(offset).limit(k)
 
 
-def knn_many(chunks: DataFrame, queries: DataFrame, k: int, *, key: str = "chunk_id") -> DataFrame:
-    """query_id, key, distance, rank for a bounded table of queries (query_id, query); exact, a scan of chunks for all queries."""
-    n = queries.count()
-    if n > 4096:
-        raise ValueError("ask in blocks of at most 4096 queries")
-    x = chunks.select(key, "embedding").join(F.broadcast(queries.select("query_id", "query")))
-    x = x.select("query_id", key, vectors.l2(F.col("embedding"), F.col("query")).alias("distance"))
+def knn_many(chunks: DataFrame, queries: DataFrame, k: int, *, key: str = "chunk_id", block: int = C.QUERY_BLOCK) -> DataFrame:
+    """query_id, key, distance, rank for a table of queries (query_id, query); exact, a scan of chunks for each block of about ``block`` queries."""
+    blocks = max(1, -(-queries.count() // block))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
-    return x.withColumn("rank", rank).filter(F.col("rank") <= k)
+    out = None
+    for n in range(blocks):
+        asked = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).select("query_id", "query")  # about block rows
+        x = chunks.select(key, "embedding").join(F.broadcast(asked))
+        x = x.select("query_id", key, vectors.l2(F.col("embedding"), F.col("query")).alias("distance"))
+        x = x.withColumn("rank", rank).filter(F.col("rank") <= k)
+        out = x if out is None else out.unionByName(x)
+    return out
 
 
 def postings(chunks: DataFrame, *, key: str = "chunk_id", content: str = "content") -> DataFrame:
@@ -101,8 +104,8 @@ def known_names(query: str, symbols: DataFrame) -> list[str]:
     tokens = [t for t in tokens if re.match(r"[^\W\d]|_", t) and ("_" in t or t != t.lower() or (re.fullmatch(r"\w+", t) and len(t) >= 4))]
     if not tokens:
         return []
-    hit = symbols.filter(F.col("name").isin(*set(tokens)) | F.col("qualified_name").isin(*set(tokens)))
-    there = {v for r in hit.select("name", "qualified_name").distinct().limit(10_000).collect() for v in r}
+    spelt = symbols.select(F.explode(F.array("name", "qualified_name")).alias("n")).filter(F.col("n").isin(*set(tokens)))
+    there = {r.n for r in spelt.distinct().collect()}  # as many as the query has tokens, at most
     return [t.lower() for t in tokens if t in there]
 
 

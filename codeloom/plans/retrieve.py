@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
@@ -86,9 +87,10 @@ def rare_literal_gate(s, d):
 
 
 def rrf_fusion(s, d):
-    sem = R.knn_many(vector_table(s, d), table(s, d, "embeddings").filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 20)
-    kw = vector_table(s, d).filter("chunk_id % 7 = 0").orderBy("chunk_id").limit(20).select("chunk_id", (F.col("chunk_id") / 7 + 1).cast("bigint").alias("rank"))
-    return R.fuse(sem.select("chunk_id", "rank"), kw).select("chunk_id", F.round("rrf", 8).alias("rrf"))
+    """The nearest chunks of the first vector and the best chunks by keywords, fused."""
+    near = R.knn(vector_table(s, d), _first(s, d), 20).withColumn("rank", F.row_number().over(Window.orderBy("distance", "chunk_id")))
+    words = R.bm25(chunks(s, d), TERMS, 20).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
+    return R.fuse(near.select("chunk_id", "rank"), words.select("chunk_id", "rank")).select("chunk_id", F.round("rrf", 8).alias("rrf"), F.round("distance", 8).alias("distance"))
 
 
 def symbol_boost(s, d):
@@ -102,7 +104,7 @@ def minmax_blend(s, d):
 
 
 def search_tokens(s, d):
-    return chunks(s, d).select("chunk_id", F.size(F.filter(text.search_tokens(F.col("content")), lambda t: F.ascii(t) < 128)).cast("bigint").alias("n"))
+    return chunks(s, d).select("chunk_id", F.size(text.search_tokens(F.coalesce("content", F.lit("")))).cast("bigint").alias("n"))
 
 
 def retrieval_metrics(s, d):
@@ -166,9 +168,7 @@ QUERIES = {f.__name__: f for f in (
     adjacent_collapse, budget_truncate, turn_groups, secret_scan, events_tumbling, events_sliding, events_session,
 )}
 
-_TOKENS = r"""tokens AS (SELECT doc_id AS chunk_id, list_filter(regexp_split_to_array(translate(translate(translate(translate(translate(translate(translate(translate(
-  regexp_replace(lower(text), '\p{M}+', '', 'g'), 'àáâãäå', 'aaaaaa'), 'ç', 'c'), 'èéêë', 'eeee'), 'ìíîï', 'iiii'), 'ñ', 'n'), 'òóôõö', 'ooooo'), 'ùúûü', 'uuuu'), 'ýÿ', 'yy'),
-  '[^\p{L}\p{N}_]+'), lambda t: t <> '') AS t FROM documents)"""
+_TOKENS = r"""tokens AS (SELECT doc_id AS chunk_id, list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\p{L}\p{N}_]+'), lambda t: t <> '') AS t FROM documents)"""
 _FIRST = "(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)"
 _DIST = f"round(list_distance(CAST(embedding AS DOUBLE[]), CAST({_FIRST} AS DOUBLE[])), 5)"
 _PAIRS = "pairs AS (SELECT x.vec_id, CAST(x.embedding AS DOUBLE[]) AS a, CAST(y.embedding AS DOUBLE[]) AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1)"
@@ -192,12 +192,15 @@ df AS (SELECT term, count(*) AS df FROM hits GROUP BY 1)
 SELECT chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 5) AS score FROM hits JOIN df USING (term), shape GROUP BY 1 ORDER BY sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) DESC, chunk_id LIMIT 20""",
     "token_df_gate": f"WITH {_TOKENS} SELECT term, count(*) AS df, (SELECT count(*) FROM documents) AS total FROM (SELECT unnest(list_distinct(t)) AS term FROM tokens) WHERE term IN {_IN} GROUP BY 1",
     "rare_literal_gate": f"WITH {_TOKENS}, f AS (SELECT count(*) FILTER (WHERE list_contains(t, 'licensed')) AS df, count(*) AS n FROM tokens) SELECT q AS query, g AS gated FROM (VALUES ('find the LicenseX apache license', false), ('a::b', true), ('plain words here', false), ('read abc.defg', true)) v(q, g) UNION ALL SELECT 'Licensed text', df > 0 AND df / n < 0.01 FROM f",
-    "rrf_fusion": f"""WITH sem AS (SELECT vec_id, row_number() OVER (ORDER BY list_distance(CAST(embedding AS DOUBLE[]), CAST({_FIRST} AS DOUBLE[])), vec_id) AS rk FROM embeddings),
-kw AS (SELECT vec_id, vec_id // 7 + 1 AS rk FROM embeddings WHERE vec_id % 7 = 0 ORDER BY vec_id LIMIT 20)
-SELECT vec_id AS chunk_id, round(sum(p), 8) AS rrf FROM (SELECT vec_id, 1.0 / (60 + rk) AS p FROM sem WHERE rk <= 20 UNION ALL SELECT vec_id, 2.0 / (60 + rk) FROM kw) GROUP BY 1""",
+    "rrf_fusion": f"""WITH {_TOKENS}, shape AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM tokens),
+hits AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM tokens) WHERE term IN {_IN} GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM hits GROUP BY 1),
+words AS (SELECT chunk_id, row_number() OVER (ORDER BY sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) DESC, chunk_id) AS rk FROM hits JOIN df USING (term), shape GROUP BY 1),
+sem AS (SELECT vec_id, row_number() OVER (ORDER BY list_distance(CAST(embedding AS DOUBLE[]), CAST({_FIRST} AS DOUBLE[])), vec_id) AS rk FROM embeddings)
+SELECT chunk_id, round(sum(p), 8) AS rrf, round(greatest(0, 1 - sum(p)), 8) AS distance FROM (SELECT vec_id AS chunk_id, 1.0::DOUBLE / (60 + rk) AS p FROM sem WHERE rk <= 20 UNION ALL SELECT chunk_id, 2.0::DOUBLE / (60 + rk) FROM words WHERE rk <= 20) GROUP BY 1""",
     "symbol_boost": "SELECT doc_id AS chunk_id, CAST(round(1.0 + b, 6) AS DOUBLE) AS score FROM (SELECT doc_id, 0.2 * CAST(contains(lower(text), 'license') AS INT) + 0.1 * CAST(contains(lower(text), 'apache') AS INT) AS b FROM documents) WHERE b > 0",
     "minmax_blend": "SELECT doc_id, round(0.25 + 0.5 * CASE WHEN hi - lo <= 1e-6 THEN 0.5 ELSE (n_chars - lo) / (hi - lo) END, 6) AS score FROM (SELECT doc_id, CAST(n_chars AS DOUBLE) AS n_chars, CAST(min(n_chars) OVER (PARTITION BY source) AS DOUBLE) AS lo, CAST(max(n_chars) OVER (PARTITION BY source) AS DOUBLE) AS hi FROM documents)",
-    "search_tokens": f"WITH {_TOKENS} SELECT chunk_id, CAST(len(list_filter(t, lambda x: ascii(x) < 128)) AS BIGINT) AS n FROM tokens",
+    "search_tokens": f"WITH {_TOKENS} SELECT chunk_id, CAST(len(t) AS BIGINT) AS n FROM tokens",
     "retrieval_metrics": """WITH e AS (SELECT DISTINCT doc_id % 20 AS case_id, source AS path FROM documents),
 r AS (SELECT case_id, path, row_number() OVER (PARTITION BY case_id ORDER BY rk, path) AS rk FROM (SELECT doc_id % 20 AS case_id, 'src' || (doc_id // 20 % 25) AS path, min(doc_id) AS rk FROM documents GROUP BY 1, 2)),
 n AS (SELECT case_id, count(*) AS n FROM e GROUP BY 1), ret AS (SELECT case_id, count(*) AS c FROM r GROUP BY 1), h AS (SELECT case_id, min(rk) AS f, count(*) FILTER (WHERE rk <= 5) AS h5, count(*) FILTER (WHERE rk <= 10) AS h10 FROM r JOIN e USING (case_id, path) GROUP BY 1)

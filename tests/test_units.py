@@ -59,6 +59,7 @@ def test_globs_against_full_matches(spark):
 
 def test_text(spark):
     assert each(spark, ["Élan_vital x-ray"], text.search_tokens) == [["elan_vital", "x", "ray"]]
+    assert each(spark, ["Őš Ĺ e\u0301x ñ_1 Ελλάς ß"], text.search_tokens) == [["os", "l", "ex", "n_1", "ελλας", "ß"]]
     assert each(spark, ["use foo.bar and MyType x"], text.match_terms) == [["foo", "bar", "mytype"]]
     assert each(spark, ["abc.defg.hij"], text.dotted_pairs) == [["abc.defg"]]
     assert each(spark, ["get_x", "Word", "abc", "word", "9ab"], text.looks_like_identifier) == [True, True, False, True, False]
@@ -204,6 +205,14 @@ def test_fusion_and_search(spark):
     assert out[0].chunk_id == 3 and out[0].symbols[0].qualified_name == "m.parse_config_v2"
 
 
+def test_knn_in_blocks(spark):
+    rows = [(k, [float(k * k % 17), float(k % 5)]) for k in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, embedding array<double>")
+    queries = chunks.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    key = lambda df: sorted(map(tuple, df.select("query_id", "chunk_id", "distance", "rank").collect()))
+    assert key(retrieval.knn_many(chunks, queries, 4, block=9)) == key(retrieval.knn_many(chunks, queries, 4))
+
+
 def test_metrics(spark):
     exp = spark.createDataFrame([("c", "x"), ("c", "y"), ("d", "q")], "case_id string, path string")
     res = spark.createDataFrame([("c", 1, "a"), ("c", 2, "x"), ("c", 3, "b"), ("d", 1, "a"), ("d", 2, "a")], "case_id string, rank int, path string")
