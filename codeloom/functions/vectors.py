@@ -11,7 +11,8 @@ def _sum(a: Column, b: Column, f) -> Column:
 
 
 def _same(a: Column, b: Column, value: Column) -> Column:
-    return F.when(F.size(a) == F.size(b), value).otherwise(F.raise_error(F.lit("vector lengths differ")))
+    """The value, null where either vector is; vectors of different lengths are an error."""
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(F.size(a) == F.size(b), value).otherwise(F.raise_error(F.lit("vector lengths differ")))
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -97,3 +98,13 @@ def to_json(v: Column) -> Column:
 def score_of_distance(d: Column) -> Column:
     """The cosine of unit vectors at an L2 distance."""
     return F.lit(1.0) - d * d / 2.0
+
+
+def length(v: Column) -> Column:
+    """The number of components of a vector; null of null."""
+    return F.when(v.isNotNull(), F.size(v))
+
+
+def kind(element_type: str) -> str:
+    """How vectors of an element type are stored: float32, int8 or bit."""
+    return {"float": "float32", "double": "float32", "tinyint": "int8", "byte": "int8", "binary": "bit"}[element_type]

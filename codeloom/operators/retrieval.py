@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -13,20 +13,26 @@ from ..functions import paths, text, vectors
 DISTANCES = {"l2": vectors.l2, "l1": vectors.l1, "cosine": vectors.cosine}
 
 
-def knn(chunks: DataFrame, query: Sequence[float], k: int, *, metric: str = "l2", languages: Sequence[str] = (), globs: Sequence[str] = (), offset: int = 0, key: str = "chunk_id") -> DataFrame:
+def knn(chunks: DataFrame, query: Sequence[float], k: int, *, metric: str = "l2", languages: Sequence[str] = (), globs: Sequence[str] = (), where: Column | None = None, farther_than: float | None = None, nearer_than: float | None = None, offset: int = 0, key: str = "chunk_id") -> DataFrame:
     """The k nearest rows, after offset, with their distance; filters apply before any distance is computed.
 
+    ``where`` is any condition on the other columns; the bounds on the distance are exclusive. Rows without a vector take no part.
+
     A top-k per partition is merged, so only offset + k rows of each partition move.
     """
     if not 0 <= k <= 4096:
         raise ValueError("k must lie in 0..4096")
-    x = chunks
+    x = chunks.filter(F.col("embedding").isNotNull())
     if languages:
         x = x.filter(F.col("language").isin(*languages))
     if globs:
         x = x.filter(paths.any_glob(F.col("file_path"), globs))
     d = DISTANCES[metric](F.col("embedding"), F.lit([float(v) for v in query]))
-    return x.withColumn("distance", d).orderBy("distance", key).offset(offset).limit(k)
+    x = x.filter(where) if where is not None else x
+    x = x.withColumn("distance", d)
+    x = x.filter(F.col("distance") > farther_than) if farther_than is not None else x
+    x = x.filter(F.col("distance") < nearer_than) if nearer_than is not None else x
+    return x.orderBy("distance", key).offset(offset).limit(k)
 
 
 def knn_many(chunks: DataFrame, queries: DataFrame, k: int, *, key: str = "chunk_id", block: int = C.QUERY_BLOCK) -> DataFrame:

@@ -46,3 +46,18 @@ def drift(head: str | None, stamp: str | None, is_ancestor: bool | None, behind:
     if is_ancestor is None or (is_ancestor and behind is None):
         return "unknown"
     return f"behind_head({behind})" if is_ancestor else "unrelated_ancestor"
+
+
+def resolved_mode(asked: str, head: str, stamp: str | None, is_ancestor: bool) -> str:
+    """What an index run has to do: ``full``, ``incremental`` or ``none``. asked: full, incremental or auto.
+
+    Only a full run is done whatever was indexed; else the index is left where it is at the head, extended where its
+    commit is an ancestor of the head, and built anew otherwise.
+    """
+    if asked not in ("full", "incremental", "auto"):
+        raise ValueError(f"unknown mode {asked}")
+    if asked == "full" or stamp is None:
+        return "full"
+    if stamp == head:
+        return "none"
+    return "incremental" if is_ancestor else "full"
