@@ -6,17 +6,23 @@ released block with the earliest deadline, so at any slot every source has had i
 less than one block. When a source is used up, a new phase begins in which the others share the slots in proportion
 to their weights. Every document gets exactly one place; none is dropped or repeated.
 
-Integer weights with sum D make the schedule repeat every D slots, so the driver schedules one period of each phase, and
-a document's slot follows from its number by arithmetic. Numbers are given without bringing a source together: counts
-of small hash buckets are added up, and rows are numbered inside their bucket.
+Every source has its own weight and windows, however many there are. Sources of equal weight and equally many blocks form a class: their
+windows agree, so they take turns in one queue and are used up in the same round, at whose end they leave together. There are at most as
+many classes as sizes of sources, about the root of twice the documents without given weights.
+
+Integer weights with sum D make the schedule repeat every D slots, so the driver schedules the classes for one period of each phase at
+most, and a block's slot follows from its number in the queue by arithmetic, in joins of blocks. Numbers are given without bringing a source
+or a class together: counts of small hash buckets are added up, and rows are numbered inside their bucket.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from bisect import bisect_right
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -26,58 +32,143 @@ BUCKET_ROWS = 1024
 #: Without given weights, a source of n documents weighs n ** TEMPER, rounded to about this many parts in all.
 TEMPER = 0.7
 PARTS = 1000
-#: So many sources have a lane of their own; the smaller rest shares one more.
+#: Beyond so many sources, the weights are rounded to so many parts a source instead, lest most of them round to 1.
 MAX_SOURCES = 1000
-POOL = "*"
+PARTS_EACH = 8
 SEED = 7
 
 
-def tempered(counts: Mapping[str | None, int], temper: float = TEMPER, parts: int = PARTS) -> dict[str | None, int]:
-    total = sum(n**temper for n in counts.values())
-    return {s: max(1, round(parts * n**temper / total)) for s, n in counts.items()}
+def tempered(sizes: Mapping[int, int], temper: float = TEMPER) -> dict[int, int]:
+    """The weight of a source by its number of documents; sizes: how many sources have that number."""
+    sources = sum(sizes.values())
+    parts = PARTS if sources <= MAX_SOURCES else PARTS_EACH * sources
+    total = sum(many * n**temper for n, many in sizes.items())
+    return {n: max(1, round(parts * n**temper / total)) for n in sizes}
 
 
-def period(weights: Mapping) -> dict:
-    """The slots of each source's blocks in one period of sum(weights) slots, by earliest pseudo-deadline first."""
-    size = sum(weights.values())
-    slots: dict = {s: [] for s in weights}
-    order = sorted(weights, key=lambda s: (s is None, s))
-    released = [[] for _ in range(size)]  # by release slot: (deadline, tie, source)
-    for tie, s in enumerate(order):
-        w = weights[s]
-        for j in range(1, w + 1):
-            released[(j - 1) * size // w].append((-(-j * size // w), tie, s))
+def _queues(weights: Mapping, many: Mapping, rounds: Mapping) -> tuple[dict, dict, int]:
+    """Earliest pseudo-deadline first until a class has had its rounds, for one period at most.
+
+    By class: the first jobs and the slots of the runs of its queue, in which job r * many + i is round r of its source i and no run crosses a round;
+    and the job that comes next. Last the slot of the end.
+    """
+    size = sum(w * many[c] for c, w in weights.items())
+    order = sorted(weights, key=lambda c: (c is None, c))
+    coming = [(0, tie, 0) for tie in range(len(order))]  # by release slot: (release, tie, round)
     ready: list = []
-    for slot in range(size):
-        for x in released[slot]:
-            heapq.heappush(ready, x)
-        due, _, s = heapq.heappop(ready)
-        if slot >= due:
+    runs: dict = {c: ([], []) for c in order}
+    reached = dict.fromkeys(order, 0)
+    slot, last = 0, None
+    while slot < size:
+        while coming and coming[0][0] <= slot:
+            _, tie, r = heapq.heappop(coming)
+            w = weights[order[tie]]
+            heapq.heappush(ready, (-(-(r + 1) * size // w), tie, r, 0))
+            if r + 1 < w:
+                heapq.heappush(coming, ((r + 1) * size // w, tie, r + 1))
+        due, tie, r, i = heapq.heappop(ready)
+        c = order[tie]
+        n = min(many[c] - i, coming[0][0] - slot) if coming else many[c] - i
+        if last != (tie, r, i):
+            runs[c][0].append(r * many[c] + i)
+            runs[c][1].append(slot)
+        slot, last, reached[c] = slot + n, (tie, r, i + n), r * many[c] + i + n
+        if slot > due:
             raise AssertionError("a block missed its deadline")
-        slots[s].append(slot)
-    return slots
-
-
-def phases(blocks: Mapping, weights: Mapping) -> list[dict]:
-    """Rows (source, first, last, start, size, weight, slots): how blocks first..last of a source (from 0) are placed."""
-    left, done, start, rows = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        w = {s: weights[s] for s in left}
-        size, slots = sum(w.values()), period(w)
-        length = 1 + min((n - 1) // w[s] * size + slots[s][(n - 1) % w[s]] for s, n in left.items())
-        for s in list(left):
-            used = length // size * w[s] + sum(x < length % size for x in slots[s])
+        if i + n < many[c]:
+            heapq.heappush(ready, (due, tie, r, i + n))
+        elif r + 1 == rounds[c]:
+            break
+    return runs, reached, slot
+
+
+def period(weights: Mapping) -> dict:
+    """The slots of each source's blocks in one period of sum(weights) slots, by earliest pseudo-deadline first."""
+    runs, _, _ = _queues(weights, dict.fromkeys(weights, 1), dict.fromkeys(weights, math.inf))
+    return {s: slots for s, (_, slots) in runs.items()}
+
+
+def phases(blocks: Mapping, weights: Mapping, many: Mapping | None = None) -> list[dict]:
+    """Rows (source, first, last, start, size, weight, active, firsts, slots): how jobs first..last of a class (from 0) are placed.
+
+    A class has many sources (None: one each) of so many blocks; its job b * many + i is block b of its source i. Jobs firsts[k].. of a period
+    of weight * active jobs have the slots slots[k].. of a period of size slots. A phase that ends inside a round goes on with the queue where it is, so
+    each source that is left has its next block in the next round; the last round may thus have fewer sources.
+    """
+    many = many or dict.fromkeys(blocks, 1)
+    total = {c: n * many[c] for c, n in blocks.items() if n}
+    done, start, rows = dict.fromkeys(total, 0), 0, []
+    while total:
+        active = {c: min(many[c], n - done[c]) for c, n in total.items()}
+        rounds = {c: (n - done[c]) // active[c] for c, n in total.items()}
+        common = math.gcd(*(weights[c] for c in total))
+        w = {c: weights[c] // common for c in total}
+        size = sum(w[c] * active[c] for c in total)
+        runs, reached, length = _queues(w, active, rounds)
+        # a queue's slot, by its job in the period
+        at = lambda c, job: (k := bisect_right(runs[c][0], job) - 1, runs[c][1][k] + job - runs[c][0][k])[1]
+        if length == size:
+            length = 1 + min((rounds[c] - 1) // w[c] * size + at(c, (rounds[c] - 1) % w[c] * active[c] + active[c] - 1) for c in total)
+        whole, rest = divmod(length, size)
+        for c in list(total):
+            firsts, slots = runs[c]
+            k = bisect_right(slots, rest - 1) - 1  # the last run that begins in the rest of the phase
+            ends = firsts[k + 1] if k + 1 < len(firsts) else reached[c]
+            used = whole * w[c] * active[c] + (min(ends, firsts[k] + rest - slots[k]) if k >= 0 else 0)
             if used:
-                rows.append({"source": s, "first": done[s], "last": done[s] + used - 1, "start": start, "size": size, "weight": w[s], "slots": slots[s]})
-            done[s] += used
-            left[s] -= used
-            if not left[s]:
-                del left[s]
+                kept = len(firsts) if whole else k + 1
+                rows.append({"source": c, "first": done[c], "last": done[c] + used - 1, "start": start, "size": size, "weight": w[c], "active": active[c], "firsts": firsts[:kept], "slots": slots[:kept]})
+            done[c] += used
+            if done[c] == total[c]:
+                del total[c]
         start += length
     return rows
 
 
-_PHASES = "source string, first bigint, last bigint, start bigint, size bigint, weight bigint, slots array<int>"
+_PHASES = "class bigint, grain bigint, first bigint, last bigint, start bigint, size bigint, weight bigint, active bigint, firsts array<bigint>, slots array<bigint>"
+
+
+def _bucketed(rows: DataFrame, key: str, count: Column) -> tuple[DataFrame, DataFrame]:
+    """rows with ``bucket``, of about ``BUCKET_ROWS`` rows, by their hash h; and a row a key and bucket: how many rows are in it and before it."""
+    spread = rows.withColumn("bucket", F.pmod("h", F.ceil(count / BUCKET_ROWS)))
+    filled = spread.groupBy(key, "bucket").agg(F.count("*").alias("filled"))
+    before = F.sum("filled").over(Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    return spread, filled.withColumn("offset", F.coalesce(before, F.lit(0)))
+
+
+def _inside(key: str, *order: str) -> Column:
+    return F.row_number().over(Window.partitionBy(key, "bucket").orderBy(*order)) - 1
+
+
+def _classes(sizes: DataFrame, weights: Mapping[str | None, int] | None, block: int) -> tuple[DataFrame, DataFrame]:
+    """The classes of the sources (own, n, class, many, grain), and the runs of the classes' queues by cells of grain jobs."""
+    spark = sizes.sparkSession
+    given = spark.createDataFrame([("" if s is None else f"={s}", int(w)) for s, w in (weights or {}).items()], "own string, given bigint")
+    sizes = sizes.join(F.broadcast(given), "own", "left").fillna(1, ["given"])
+    kinds = sizes.groupBy("n", "given").agg(F.count("*").alias("many"), F.min("own").alias("least")).collect()
+    by_size = tempered({r.n: r.many for r in kinds}) if weights is None else {}
+    kind = {(r.n, r.given): (by_size.get(r.n, r.given), -(-r.n // block)) for r in kinds}
+    least: dict = {}
+    for r in kinds:
+        x = kind[r.n, r.given]
+        least[x] = min(r.least, least.get(x, r.least))
+    number = {x: k for k, x in enumerate(sorted(least, key=least.get))}  # ties go by the smallest names
+    many = dict.fromkeys(range(len(number)), 0)
+    for r in kinds:
+        many[number[kind[r.n, r.given]]] += r.many
+    plan = phases({k: x[1] for x, k in number.items()}, {k: x[0] for x, k in number.items()}, many)
+    runs = dict.fromkeys(many, 0)
+    for p in plan:
+        runs[p["source"]] += len(p["firsts"]) * ((p["last"] - p["first"]) // (p["weight"] * p["active"]) + 1)
+    # cells of as many jobs as a run has on average: no more than twice the jobs meet in the join
+    grain = {k: -(-many[k] * x[1] // runs[k]) for x, k in number.items()}
+    plan = spark.createDataFrame([(p["source"], grain[p["source"]], *(p[k] for k in ("first", "last", "start", "size", "weight", "active", "firsts", "slots"))) for p in plan], _PHASES)
+    found = spark.createDataFrame([(n, g, number[x], many[number[x]], grain[number[x]]) for (n, g), x in kind.items()], "n bigint, given bigint, class bigint, many bigint, grain bigint")
+    each = plan.select("*", F.explode(F.expr("sequence(0, (last - first) div (weight * active))")).alias("whole"))
+    each = each.select("*", F.posexplode("firsts").alias("k", "job"))
+    each = each.withColumn("from", F.expr("first + whole * weight * active + job")).withColumn("to", F.expr("least(last, first + whole * weight * active + coalesce(get(firsts, k + 1), weight * active) - 1)"))
+    each = each.filter("`from` <= `to`").select("class", "grain", "first", "start", "size", "weight", "active", "from", "to", F.expr("start + whole * size + get(slots, k)").alias("at"))
+    return sizes.join(F.broadcast(found), ["n", "given"]).select("own", "n", "class", "many", "grain"), each.select("*", F.explode(F.expr("sequence(`from` div grain, `to` div grain)")).alias("cell")).drop("grain")
 
 
 def mixed(
@@ -95,48 +186,32 @@ def mixed(
     weights are positive integers by source; sources without one weigh 1; None: tempered by size. Defined results: null
     is a source of its own; a source may end in a short block; null ids get a place like others, by a hash of their other columns; rows that agree
     in all columns are interchangeable and are placed one after the other; rows that share only an id follow each other in an order of
-    their columns' hash; an empty table gives an empty result; other columns stay inside ``row``. The plan's size is sources times parts, so
-    beyond ``MAX_SOURCES`` the smaller sources are mixed as one, in which each has its share by its number of documents: their block, release and
-    deadline are those of the shared lane.
+    their columns' hash; an empty table gives an empty result; other columns stay inside ``row``. Every source is scheduled by its own weight,
+    however many there are; in a class, sources take turns in the order of their names' hash.
     """
-    spark = docs.sparkSession
     whole = F.xxhash64(*[docs[c] for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))])
     order = F.when(docs[doc_id].isNull(), whole).otherwise(F.xxhash64(F.lit(SEED), docs[doc_id]))
     own = F.coalesce(F.concat(F.lit("="), docs[source].cast("string")), F.lit(""))
     rows = docs.select(F.struct(*[docs[c] for c in (keep or docs.columns)]).alias("row"), docs[source].cast("string").alias("source"), own.alias("own"), order.alias("h"), whole.alias("h2"))
-    sizes = rows.groupBy("own").agg(F.first("source").alias("source"), F.count("*").alias("n"))
-    total = sizes.agg(F.count("*").alias("sources"), F.sum("n").alias("n")).first()
-    largest = sizes.orderBy(F.desc("n"), "own").limit(MAX_SOURCES).collect()
-    counts = {r.own: r.n for r in largest}
-    if total.sources > MAX_SOURCES:
-        counts[POOL] = total.n - sum(counts.values())
-    if weights is None:
-        weights = tempered(counts)
-    else:
-        given = {"" if s is None else f"={s}": int(w) for s, w in weights.items()}
-        pooled = total.sources - len(largest) + sum(w - 1 for s, w in given.items() if s not in counts)
-        weights = {s: given.get(s, 1) if s != POOL else max(1, pooled) for s in counts}
-    plan = phases({s: -(-n // block) for s, n in counts.items()}, weights)
-    plan = spark.createDataFrame([tuple(p[k] for k in ("source", "first", "last", "start", "size", "weight", "slots")) for p in plan], _PHASES)
-    buckets = spark.createDataFrame([(s, -(-n // BUCKET_ROWS)) for s, n in counts.items()], "lane string, buckets bigint")
-    named = F.broadcast(buckets.filter(F.col("lane") != POOL).select("lane").withColumn("named", F.lit(True)))  # MAX_SOURCES rows at most
-    rows = rows.join(named, rows["own"] == named["lane"], "left").select("row", "source", "h", "h2", F.when(F.col("named"), F.col("own")).otherwise(F.lit(POOL)).alias("lane"))
-    spread = rows.join(F.broadcast(buckets), "lane").select("row", "source", "lane", "h", "h2", F.pmod("h", "buckets").alias("bucket"))
-    filled = spread.groupBy("lane", "bucket").count()
-    before = F.sum("count").over(Window.partitionBy("lane").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = written(filled.select("lane", "bucket", F.coalesce(before, F.lit(0)).alias("offset")), "mix-offsets")
-    inside = F.row_number().over(Window.partitionBy("lane", "bucket").orderBy("h", "h2")) - 1
-    numbered = spread.withColumn("inside", inside).join(offsets, ["lane", "bucket"])
-    numbered = numbered.select("row", "source", "lane", (F.col("inside") + F.col("offset")).alias("k"))
-    numbered = numbered.withColumn("block", F.floor(F.col("k") / block))
-    x = numbered.join(F.broadcast(plan.withColumnRenamed("source", "lane")), "lane").filter(F.col("block").between(F.col("first"), F.col("last")))
-    j = F.col("block") - F.col("first")
-    whole = F.floor(j / F.col("weight"))
-    slot = F.col("start") + whole * F.col("size") + F.get("slots", (j - whole * F.col("weight")).cast("int"))
-    release = F.col("start") + F.floor(j * F.col("size") / F.col("weight"))
-    deadline = F.col("start") + F.ceil((j + 1) * F.col("size") / F.col("weight"))
-    out = x.select("row", "source", "block", slot.alias("slot"), release.alias("release"), deadline.alias("deadline"), (F.col("k") - F.col("block") * block).alias("i"))
-    return out.withColumn("position", F.col("slot") * block + F.col("i")).drop("i")
+    sizes = written(rows.groupBy("own").agg(F.count("*").alias("n")), "mix-sizes")
+    classed, runs = _classes(sizes, weights, block)
+    sources, offsets = _bucketed(classed.withColumn("h", F.xxhash64("own")), "class", F.col("many"))
+    sources = sources.withColumn("inside", _inside("class", "h", "own")).join(offsets, ["class", "bucket"]).select("own", "class", "many", "grain", (F.col("inside") + F.col("offset")).alias("rank"))
+    large = F.broadcast(sizes.filter(F.col("n") > BUCKET_ROWS))  # at most a row for BUCKET_ROWS documents
+    spread, offsets = _bucketed(rows.join(large, "own", "left"), "own", F.coalesce("n", F.lit(1)))
+    # the blocks of each bucket, as jobs of their class
+    reach = F.sequence(F.expr(f"offset div {block}"), F.expr(f"(offset + filled - 1) div {block}"))
+    jobs = offsets.join(sources, "own").select("own", "bucket", "offset", "class", "grain", F.explode(reach).alias("block"), "many", "rank")
+    jobs = jobs.withColumn("job", F.expr("block * many + rank")).withColumn("cell", F.expr("job div grain"))
+    placed = jobs.join(runs, ["class", "cell"]).filter(F.col("job").between(F.col("from"), F.col("to"))).withColumn("round", F.expr("(job - first) div active"))
+    slot = F.expr("at + job - `from`").alias("slot")
+    release = F.expr("start + (round * size) div weight").alias("release")
+    deadline = F.expr("start + ((round + 1) * size + weight - 1) div weight").alias("deadline")
+    slots = written(placed.groupBy("own", "bucket", "offset").agg(F.array_sort(F.collect_list(F.struct("block", slot, release, deadline))).alias("slots")), "mix-slots")
+    numbered = spread.withColumn("inside", _inside("own", "h", "h2")).join(slots, ["own", "bucket"])
+    numbered = numbered.withColumn("k", F.col("inside") + F.col("offset"))
+    x = numbered.select("row", "source", "k", F.get("slots", F.expr(f"cast(k div {block} - offset div {block} as int)")).alias("b"))
+    return x.select("row", "source", "b.block", "b.slot", "b.release", "b.deadline", (F.col("b.slot") * block + F.col("k") % block).alias("position"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

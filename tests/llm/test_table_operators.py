@@ -92,6 +92,45 @@ def test_more_sources_than_lanes(spark):
     assert sorted(lanes) == list(range(len(lanes))) and max(map(len, lanes.values())) <= 4
 
 
+def test_every_source_has_its_own_windows(spark):
+    """1,201 sources: the small ones are scheduled one by one, as the large one is."""
+    docs = spark.createDataFrame([(i, "hot") for i in range(2000)] + [(10_000 * (k + 1) + i, f"s{k}" if k else None) for k in range(1200) for i in range(1 + k % 9)], "doc_id bigint, source string")
+    out = mixing.mixed(docs, {"hot": 1000, "s5": 3}, block=4).collect()
+    assert sorted(r.row.doc_id for r in out) == sorted(r.doc_id for r in docs.collect()) and len({r.position for r in out}) == len(out)
+    assert all(r.release <= r.slot < r.deadline and r.position // 4 == r.slot for r in out)
+    slots, own = {}, {}
+    for r in out:
+        slots.setdefault(r.slot, set()).add((r.source, r.block))
+        own.setdefault(r.source, {})[r.block] = r.slot
+    assert sorted(slots) == list(range(len(slots))) and all(len(x) == 1 for x in slots.values())
+    for s, mine in own.items():
+        assert sorted(mine) == list(range(len(mine))) and [mine[b] for b in range(len(mine))] == sorted(mine.values())
+    assert len(own) == 1201 and len(own["hot"]) == 500 and len(own["s8"]) == 3
+    total, used_up = 1000 + 3 + 1199, 1 + min(max(x.values()) for s, x in own.items() if s in ("hot", "s5"))
+    for s, weight in (("hot", 1000), ("s5", 3), ("s8", 1), (None, 1)):
+        for t in range(1, used_up + 1):
+            assert abs(sum(x < t for x in own[s].values()) - weight * t / total) < 1
+    by_size = mixing.tempered({1: 2000, 1024: 1})
+    assert abs(by_size[1024] / by_size[1] / 1024**0.7 - 1) < 0.1
+
+
+def test_classes_of_sources():
+    """Jobs of classes that are cut inside a round: each in its window, each slot once, a queue in order."""
+    random.seed(5)
+    for _ in range(60):
+        blocks, weights, many = ({c: random.choice(x) for c in range(5)} for x in (range(1, 10), range(1, 31), (1, 1, 2, 3, 5, 17)))
+        slots = {}
+        for p in mixing.phases(blocks, weights, many):
+            for job in range(p["last"] - p["first"] + 1):
+                turn, (whole, j) = job // p["active"], divmod(job, p["weight"] * p["active"])
+                k = max(k for k, first in enumerate(p["firsts"]) if first <= j)
+                slot = p["start"] + whole * p["size"] + p["slots"][k] + j - p["firsts"][k]
+                assert turn * p["size"] // p["weight"] <= slot - p["start"] < -(-(turn + 1) * p["size"] // p["weight"])
+                slots[p["source"], p["first"] + job] = slot
+        assert sorted(slots.values()) == list(range(sum(n * many[c] for c, n in blocks.items())))
+        assert all([slots[c, q] for q in range(n * many[c])] == sorted(x for (d, _), x in slots.items() if d == c) for c, n in blocks.items())
+
+
 def test_urls_against_sql(spark):
     rows = [
         (1, "http://a.net/x", "<link rel='canonical' href='http://q.com/z'>"), (2, "http://q.com/z?a=1#f", None), (3, "http://r.com/1", '<meta http-equiv="refresh" content="0; url=/2">'),
