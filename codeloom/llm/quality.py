@@ -6,8 +6,8 @@ Nothing is drawn at random: each document gets the same verdict in every run.
 
 The n-grams are a text's words and its pairs of neighbouring words. Each word is hashed once by xxhash64, a pair from its two
 hashes, into 2**18 buckets, so that the model
-has one size whatever the corpus. The raw counts cover all texts. The target's are those of at most about ``TRUSTED_ROWS`` trusted
-documents, chosen by a hash of the id; all are taken where there are fewer. So no text is shuffled: the chosen ids are broadcast. The threshold follows from the two
+has one size whatever the corpus. The raw counts cover all texts, the target's all trusted ones. Up to ``BROADCAST_IDS`` trusted ids are
+broadcast, so that no text is shuffled; where there are more, ids and texts meet in a shuffle, with the same counts. The threshold follows from the two
 multinomials: an n-gram drawn from the raw corpus scores minus the divergence of the target from it on average, and a document goes
 where its score is below ``MARGIN`` times that and its n-grams are on average e ** ``SURE`` times likelier in the raw corpus, as a small
 corpus that is nearly all clean has hardly any divergence.
@@ -15,8 +15,6 @@ corpus that is nearly all clean has hardly any divergence.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +22,7 @@ from .common import ascii_words, let, table, written
 
 BUCKET_BITS = 18
 MARGIN, SURE = 2.0, 0.25
-TRUSTED_ROWS = 100_000
-SEED = 17
+BROADCAST_IDS = 1_000_000
 SMOOTHING = 1.0
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 20
@@ -99,7 +96,7 @@ def quality_rules(
     threshold: float | None = None,
     margin: float = MARGIN,
     sure: float = SURE,
-    trusted_rows: int = TRUSTED_ROWS,
+    broadcast_ids: int = BROADCAST_IDS,
     smoothing: float = SMOOTHING,
 ) -> DataFrame:
     """A row per row of docs: ``row`` (a struct of the columns ``keep``, or of all), the base counts, score and verdict.
@@ -112,11 +109,13 @@ def quality_rules(
     """
     t = F.coalesce(docs[text], F.lit(""))
     trusted = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
-    span = 1_000_000
-    share = math.ceil(span * min(1.0, trusted_rows / max(1, trusted.count())))
-    chosen = trusted.filter(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(span)) < share).withColumn("good", F.lit(True))
-    # about trusted_rows ids at most, whatever the input
-    marked = docs.select(docs[doc_id].alias("id"), t.alias("t")).join(F.broadcast(chosen), "id", "left")
+    texts = docs.select(docs[doc_id].alias("id"), t.alias("t"))
+    trusted = trusted.withColumn("good", F.lit(True))
+    if trusted.limit(broadcast_ids + 1).count() <= broadcast_ids:
+        marked = texts.join(F.broadcast(trusted), "id", "left")
+    else:  # null ids match nothing, so their texts are spread by a hash
+        spread = F.when(F.col("id").isNull(), F.xxhash64("t")).otherwise(F.lit(0).cast("bigint"))
+        marked = texts.withColumn("part", spread).join(trusted.withColumn("part", F.lit(0).cast("bigint")).hint("merge"), ["id", "part"], "left")
     model = written(ratio_model(marked.select("t", F.coalesce("good", F.lit(False)).alias("trusted")), smoothing=smoothing), "quality-model")
     row = F.struct(*[docs[c] for c in (keep or docs.columns)]).alias("row")
     ready = docs.select(row, t.alias("t")).withColumn("ratios", model.select("ratios").scalar()).withColumn("raw_mean", model.select("raw_mean").scalar())

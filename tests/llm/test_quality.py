@@ -41,6 +41,31 @@ def _grams(text):
     return [h & (1 << 18) - 1 for h in one + pairs]
 
 
+def test_the_whole_target_counts(spark, odd):
+    """110,000 trusted documents, all of them counted, whether their ids are broadcast or meet the texts in a shuffle."""
+    docs = spark.range(120_000).selectExpr("id AS doc_id", "concat('common w', id % 5) AS text")
+    more = [(None, "common w0")] * 40 + [(1, "again w1")] * 3 + [(0, "again w1"), (2, None)]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id bigint, text string"))
+    labels = spark.range(-1, 120_000).selectExpr("if(id < 0, null, id) AS doc_id", "if(id % 12 = 0, 0, 1) AS quality", "0 AS toxic")
+    every = Counter((f"common w{i % 5}", i % 12 > 0) for i in range(120_000)) + Counter((t or "", i is not None and i % 12 > 0) for i, t in more)
+    raw, target = Counter(), Counter()
+    for (text, good), n in every.items():
+        for g in _grams(text):
+            raw[g] += n
+            target[g] += n * good
+    n, r, t = 1 << 18, raw.total(), target.total()
+    ratio = lambda g: math.log((target[g] + 1) / (t + n)) - math.log((raw[g] + 1) / (r + n))
+    for limit in (quality.BROADCAST_IDS, 1000):
+        got = quality.quality_rules(docs, labels, broadcast_ids=limit).groupBy("row.text", "score").count().collect()
+        assert sum(x["count"] for x in got) == 120_000 + len(more) and len(got) == 7
+        for x in got:
+            grams = _grams(x.text or "")
+            assert x.score is None if not grams else abs(x.score - sum(map(ratio, grams)) / len(grams)) < 1e-9
+    trusted = spark.createDataFrame([(1, 1, 0), (5, 1, 0)], "doc_id bigint, quality int, toxic int")
+    both = [sorted(quality.quality_rules(odd, trusted, broadcast_ids=k).drop("row").collect(), key=repr) for k in (quality.BROADCAST_IDS, 0)]
+    assert both[0] == both[1] and len(both[0]) == odd.count()
+
+
 def test_score_against_counts(spark):
     good = ["alpha beta gamma delta epsilon " * 6 + f"tail{i}" for i in range(4)]
     bad = ["%%% ### $$$ " * 12, "epsilon alpha delta beta gamma " * 2 + " ".join(f"x{i}" for i in range(30))]
