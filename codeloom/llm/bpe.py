@@ -103,9 +103,13 @@ class TreeBpe:
             if isinstance(p, int):
                 out.append(np.array([p], dtype=np.uint32))
             elif p:
-                out.append(self._plain(p) if len(p) <= self.leaf else self._tree(p))
+                out.append(self.encode_plain(p))
         return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
 
+    def encode_plain(self, text: str) -> np.ndarray:
+        """As encode, with the special tokens' strings read as ordinary text."""
+        return self._plain(text) if len(text) <= self.leaf else self._tree(text)
+
     def _tree(self, text: str) -> np.ndarray:
         cuts = [0, len(text)]
         while max(b - a for a, b in zip(cuts, cuts[1:], strict=False)) > self.leaf:

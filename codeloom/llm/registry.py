@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .alignment import op11_alignment
 from .bpe import op7_bpe
 from .chat import op10_chat_format
+from .decontamination import op12_decontamination
+from .filters import OP13_SQL, op13_filter_audit
 from .langid import op6_language_id
 from .licenses import op8_license_scan
 from .mixing import op1_mixing
@@ -24,8 +27,12 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_nearest": op9_nearest,
     "op10_chat_format": op10_chat_format,
+    "op11_alignment": op11_alignment,
+    "op12_decontamination": op12_decontamination,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op5_url_filter": OP5_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
