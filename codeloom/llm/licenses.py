@@ -67,6 +67,7 @@ SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _TO_SPACE = bytes(32 if b in SEPARATORS else b for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+_LEAD = re.compile(r"[ \t:]*")
 _BINDING = {"or": 1, "and": 2, "with": 3}
 
 
@@ -124,22 +125,23 @@ def evaluate(expression: str) -> tuple[int, list[str]] | None:
             stack.append((strength(t), [t.lower()]))
             continue
         (b, names_b), (a, names_a) = stack.pop(), stack.pop()
-        if t == "or":
-            stack.append((min(a, b), names_a + names_b))
-        elif t == "and":
-            stack.append((max(a, b), names_a + names_b))
-        elif len(names_b) > 1:
-            return None  # an exception is one name
-        else:
+        if t == "with":
+            if len(names_b) > 1:
+                return None  # an exception is one name
             stack.append((1 if a == 2 else a, names_a))
+            continue
+        few, many = sorted((names_a, names_b), key=len)
+        many += few  # the shorter list moves, so a long chain costs little more than its length
+        stack.append((min(a, b) if t == "or" else max(a, b), many))
     return stack[0]
 
 
-def leading_expression(line: str) -> str:
-    """As much of a line as can belong to an expression: identifiers must be joined by operators."""
+def leading_expression(text: str, start: int = 0, end: int | None = None) -> str:
+    """As much of text[start:end] as can belong to an expression: identifiers must be joined by operators. Nothing beyond it is read."""
     out: list[str] = []
     operand, depth = True, 0
-    for t in _TOKEN.findall(line):
+    for m in _TOKEN.finditer(text, start, len(text) if end is None else end):
+        t = m[0]
         if t == "(" and operand:
             depth += 1
         elif t == ")" and not operand and depth:
@@ -185,9 +187,12 @@ def scan(text: str | None) -> dict:
     expressions = []
     if tags:
         spans = [m.end() for m in _WORD.finditer(raw.translate(_FOLD))]
-        for _, k in tags:
-            line = raw[spans[k + 2] :].split("\n", 1)[0]
-            found = leading_expression(line.lstrip(" \t:"))
+        line_end = -1
+        for _, k in tags:  # in the order of the text, so each line's end is looked for once
+            start = _LEAD.match(raw, spans[k + 2]).end()
+            if line_end < start:
+                line_end = raw.find("\n", start) % (len(raw) + 1)
+            found = leading_expression(raw, start, line_end)
             value = evaluate(found) if found else None
             expressions.append((found, value[0] if value else None))
             own |= set(value[1]) if value else {"spdx-malformed"}
@@ -210,7 +215,7 @@ def scanned(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
 
     license_class is that of the strongest expression, else of the strongest label, else null; expressions lists what
     follows identifier tags. Defined results: a null or blank text has no words and no labels (empty strings) and score 0;
-    a malformed expression gives the label spdx-malformed; repeated rows repeat; an empty table gives an empty
+    a malformed expression gives the label spdx-malformed; a text of any length is scanned whole, in time that grows with its length; repeated rows repeat; an empty table gives an empty
     result; null ids and other columns make no difference.
     """
     kind = docs.schema[doc_id].dataType.simpleString()

@@ -76,6 +76,26 @@ def test_scan_against_brute_force():
         assert got["n_words"] == len(w) and sorted(k for _, k in got["base"]) == want
 
 
+def test_scan_is_linear():
+    """Very long texts of many tags, chains or brackets: a scan reads each place a fixed number of times."""
+    import time
+
+    n = 100_000
+    tag = "SPDX-License-Identifier"
+    for text, labels, many in (
+        (f"{tag}: MIT " * n, ["mit"], n),
+        (f"{tag}: MIT\n" * n, ["mit"], n),
+        (f"{tag}: " + " OR ".join(["MIT"] * n), ["mit"], 1),
+        (f"{tag}: " + "(MIT OR " * n + "BSD-2-Clause" + ")" * n, ["bsd-2-clause", "mit"], 1),
+        (f"{tag}" + " :\t" * n + "ISC", ["isc"], 1),
+        ((tag + " " * 20) * n, ["spdx-license-identifier", "spdx-malformed"], n),
+    ):
+        began = time.process_time()
+        got = licenses.scan(text)
+        assert (got["labels"], len(got["expressions"])) == (labels, many)
+        assert time.process_time() - began < 8
+
+
 def test_license_rows(odd):
     got = {(r.doc_id, r.n_words): r for r in licenses.scanned(odd).collect()}
     assert got[6, 5].labels == "mit" and got[6, 5].first_word == 3 and got[6, 5].license_class == "permissive"
