@@ -22,28 +22,35 @@ from .. import config as C
 from ..functions import text
 
 GROUP = 512
-BUCKETS = 64
+#: Blocks below which reading them all costs less than looking for those to skip.
+SKIP_FROM = 4096
+#: Chunks for each folder of the layout, and how many folders there are at most.
+BUCKET_CHUNKS, MOST_BUCKETS = 1 << 14, 1024
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def buckets_for(n: int) -> int:
+    return min(MOST_BUCKETS, max(1, n // BUCKET_CHUNKS))
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def words_of(content: Column) -> Column:
     return text.search_tokens(F.coalesce(content, F.lit("")))
 
 
-def blocks(chunks: DataFrame, n: int, *, key: str = "chunk_id", content: str = "content") -> DataFrame:
+def blocks(chunks: DataFrame, n: int, buckets: int, *, key: str = "chunk_id", content: str = "content") -> DataFrame:
     """bucket, term, grp, n, max_tf, min_len, postings (key, tf, len) of about n chunks, laid out for writing by bucket."""
     groups = max(1, -(-n // GROUP))
     x = chunks.select(F.col(key).alias("key"), words_of(F.col(content)).alias("t"))
     x = x.select("key", F.size("t").alias("len"), F.pmod(F.xxhash64("key"), F.lit(groups)).alias("grp"), F.explode("t").alias("term"))
     tf = x.groupBy("term", "grp", "key", "len").agg(F.count("*").cast("int").alias("tf"))
     out = tf.groupBy("term", "grp").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(F.struct("key", "tf", "len"))).alias("postings"))
-    out = out.select(bucket_of(F.col("term")).alias("bucket"), "term", "grp", "n", "max_tf", "min_len", "postings")
-    # a frequent term's blocks lie in as many files as the table's size asks for
-    spread = max(1, groups // 256)
-    return out.repartition("bucket", F.pmod("grp", F.lit(spread))).sortWithinPartitions("bucket", "term", "grp")
+    out = out.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "grp", "n", "max_tf", "min_len", "postings")
+    # a bucket's blocks lie in as many files as the table's size asks for, a frequent term's in all of them
+    spread = max(8, groups // 256)
+    return out.repartition("bucket", F.pmod(F.xxhash64("term", F.expr("grp div 16")), F.lit(spread))).sortWithinPartitions("bucket", "term", "grp")
 
 
 @dataclass(frozen=True)
@@ -53,6 +60,7 @@ class Postings:
     blocks: DataFrame
     n: int
     words: int
+    buckets: int
     dead: DataFrame | None = None
 
     @property
@@ -62,7 +70,7 @@ class Postings:
     def of(self, terms: Sequence[str]) -> DataFrame:
         here = F.lit(False)
         for t in terms:
-            here = here | (F.col("bucket") == bucket_of(F.lit(t)))
+            here = here | (F.col("bucket") == bucket_of(F.lit(t), self.buckets))
         return self.blocks.filter(here & F.col("term").isin(*terms))
 
     def live(self, found: DataFrame) -> DataFrame:
@@ -76,20 +84,20 @@ class Postings:
     def idf(self, df: int) -> float:
         return max(math.log((self.n - df + 0.5) / (df + 0.5)), C.IDF_FLOOR)
 
-    def frequencies(self, terms: Sequence[str]) -> dict[str, tuple[int, float]]:
-        """Of each term that occurs: in how many chunks, and a bound on its saturation."""
+    def frequencies(self, terms: Sequence[str]) -> dict[str, tuple[int, float, int]]:
+        """Of each term that occurs: in how many chunks, a bound on its saturation, and how many blocks it has."""
         found = self.of(terms)
-        tops = found.groupBy("term").agg(F.sum("n").alias("df"), F.max(self.saturation(F.col("max_tf"), F.col("min_len"))).alias("top"))
+        tops = found.groupBy("term").agg(F.sum("n").alias("df"), F.max(self.saturation(F.col("max_tf"), F.col("min_len"))).alias("top"), F.count("*").alias("blocks"))
         if self.dead is not None:
             counted = self.live(found).groupBy("term").agg(F.count("*").alias("df"))
             tops = counted.join(tops.drop("df"), "term")
-        return {r.term: (r.df, r.top) for r in tops.collect()}  # as many rows as terms, at most
+        return {r.term: (r.df, r.top, r.blocks) for r in tops.collect()}  # as many rows as terms, at most
 
 
 def document_frequency(index: Postings, terms: Sequence[str]) -> DataFrame:
     """(term, df, total) of the given terms; terms that occur nowhere have none."""
     found = index.frequencies(list(dict.fromkeys(t.lower() for t in terms))) if terms else {}
-    return index.blocks.sparkSession.createDataFrame([(t, df, index.n) for t, (df, _) in found.items()], "term string, df bigint, total bigint")
+    return index.blocks.sparkSession.createDataFrame([(t, df, index.n) for t, (df, _, _) in found.items()], "term string, df bigint, total bigint")
 
 
 def bm25(index: Postings, terms: Sequence[str], k: int, *, key: str = "chunk_id", within: DataFrame | None = None, skip: bool = True) -> DataFrame:
@@ -99,7 +107,7 @@ def bm25(index: Postings, terms: Sequence[str], k: int, *, key: str = "chunk_id"
     """
     terms = list(dict.fromkeys(t.lower() for t in terms))
     known = index.frequencies(terms) if terms else {}
-    idf = {t: index.idf(df) for t, (df, _) in known.items()}
+    idf = {t: index.idf(df) for t, (df, _, _) in known.items()}
     top = {t: idf[t] * known[t][1] for t in known}
     spark = index.blocks.sparkSession
     if not known or not k:
@@ -116,7 +124,7 @@ def bm25(index: Postings, terms: Sequence[str], k: int, *, key: str = "chunk_id"
 
     whole = index.of(list(known))
     reach = 0.0
-    if skip:
+    if skip and sum(x[2] for x in known.values()) >= SKIP_FROM:
         best = parts(whole.orderBy(F.desc(bound)).limit(max(32, k)))
         found = best.groupBy("key").agg(F.max("part").alias("part")).orderBy(F.desc("part")).limit(k).collect()
         reach = found[-1].part * (1 - 1e-9) if len(found) == k else 0.0

@@ -106,8 +106,8 @@ def known_names(query: str, symbols: DataFrame) -> list[str]:
     """The query's tokens that look like identifiers and name a symbol, lower-cased; a repeated token counts each time."""
     import re
 
-    tokens = [t for t in re.split(r"[\s,;]+", query) if t]
-    tokens = [t for t in tokens if re.match(r"[^\W\d]|_", t) and ("_" in t or t != t.lower() or (re.fullmatch(r"\w+", t) and len(t) >= 4))]
+    tokens = [re.sub(r"^[^\w]+|[^\w]+$", "", t) for t in re.split(r"[\s,;]+", query)]
+    tokens = [t for t in tokens if len(t.encode()) >= 3 and re.match(r"[^\W\d]|_", t) and ("_" in t or t != t.lower() or (re.fullmatch(r"\w+", t) and len(t) >= 4))]
     if not tokens:
         return []
     spelt = symbols.select(F.explode(F.array("name", "qualified_name")).alias("n")).filter(F.col("n").isin(*set(tokens)))
@@ -130,49 +130,113 @@ def blended(results: DataFrame, *, by: Sequence[str] = (), raw: str = "rerank")
     return results.withColumn("score", 0.5 * F.col("score") + 0.5 * unit)
 
 
-def search(chunks: DataFrame, symbols: DataFrame, query: str, embedding: Sequence[float], *, limit: int = 10, offset: int = 0, languages: Sequence[str] = (), globs: Sequence[str] = (), reranker=None) -> DataFrame:
+def gate_of(query: str, spark) -> tuple[bool, list[str], list[str]]:
+    """Of a query: whether its form alone names something literally, the long tokens that may do so by being rare, and its keyword terms."""
+    q = F.col("query")
+    long = F.filter(text.gate_tokens(q), lambda t: (F.octet_length(t) >= C.RARE_MIN_BYTES) & text.looks_like_code(t))
+    plain = q.contains("::") | q.contains("`") | q.contains("*.") | (F.size(text.dotted_pairs(q)) > 0)
+    # one literal row, which the optimizer evaluates without a job
+    r = spark.sql("SELECT :q AS query", args={"q": query}).select(plain, F.transform(long, F.lower), text.match_terms(q)).first()
+    return r[0], r[1], r[2]
+
+
+def search(chunks: DataFrame, symbols: DataFrame, query: str, embedding: Sequence[float], *, index=None, limit: int = 10, offset: int = 0, languages: Sequence[str] = (), globs: Sequence[str] = (), reranker=None) -> DataFrame:
     """Hybrid search: vector neighbours, keyword ranking where the query names something rare, symbol boost, optional reranking.
 
-    reranker: a function of (content column) that gives a raw score column. Filters apply to both lists.
+    index is the chunks' inverted index (``inverted.Postings``); without one keywords are ranked by a scan. reranker: a function of
+    (content column) that gives a raw score column. Filters apply to both lists, the keyword statistics are those of the whole index.
     """
-    from . import structural
+    from . import inverted, structural
 
     names = known_names(query, symbols)
     wide = (limit + offset) * (5 if reranker else 3 if names else 1)
     near = knn(chunks, query=embedding, k=min(4096, wide), languages=languages, globs=globs)
-    spark = chunks.sparkSession
-    asked = spark.createDataFrame([(query,)], "query string")
-    terms = [r.t for r in asked.select(F.explode(text.match_terms(F.col("query"))).alias("t")).collect()]
-    tokens = [r.t for r in asked.select(F.explode(text.gate_tokens(F.col("query"))).alias("t")).collect()]
-    freq = document_frequency(chunks, tokens) if tokens else spark.createDataFrame([], "term string, df bigint, total bigint")
-    gated = bool(has_rare_literal(asked, freq).first().gated) and bool(terms)
+    gated, rare, terms = gate_of(query, chunks.sparkSession)
+    if not gated and rare and terms:
+        known = {r.term: (r.df, r.total) for r in (document_frequency(chunks, rare) if index is None else inverted.document_frequency(index, rare)).collect()}
+        gated = any(0 < df / total < C.RARE_SHARE for df, total in known.values())
     x = near.select("chunk_id", "distance")
-    if gated:
+    if gated and terms:
         allowed = chunks
         if languages:
             allowed = allowed.filter(F.col("language").isin(*languages))
         if globs:
             allowed = allowed.filter(paths.any_glob(F.col("file_path"), globs))
-        kw = bm25(allowed, terms, wide)
+        within = allowed.select("chunk_id") if languages or globs else None
+        if index is None:
+            kw = bm25(chunks, terms)
+            kw = (kw if within is None else kw.join(within, "chunk_id", "left_semi")).orderBy(F.desc("score"), "chunk_id").limit(wide)
+        else:
+            kw = inverted.bm25(index, terms, wide, within=within)
+        # both lists are as long as asked for, at most
         kw = kw.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
         sem = x.withColumn("rank", F.row_number().over(Window.orderBy("distance", "chunk_id")))
-        x = fuse(sem, kw).select("chunk_id", "distance")
-    y = chunks.drop("embedding").join(x, "chunk_id").withColumn("score", vectors.score_of_distance(F.col("distance")))
+        x = fuse(sem, kw).orderBy("distance", "chunk_id").limit(wide).select("chunk_id", "distance")
+    y = chunks.drop("embedding").join(F.broadcast(x), "chunk_id").withColumn("score", vectors.score_of_distance(F.col("distance")))
     y = boosted(y, names)
-    if reranker is not None and not gated:
+    if reranker is not None and not (gated and terms):
         y = blended(y.withColumn("rerank", reranker(F.col("content")))).drop("rerank")
     y = y.orderBy(F.desc("score"), "distance", "chunk_id").offset(offset).limit(limit)
-    told = structural.overlapping(y, symbols).groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("line_start", "qualified_name", "kind"))).alias("symbols"))
+    told = structural.overlapping(F.broadcast(y), symbols).groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("line_start", "qualified_name", "kind"))).alias("symbols"))
     return y.join(told, "chunk_id", "left").orderBy(F.desc("score"), "distance", "chunk_id")
 
 
-def export_context(primary: DataFrame, refs: DataFrame, chunks: DataFrame, symbols: DataFrame, *, callers: int = 3, most_symbols: int = 5) -> DataFrame:
-    """(role, chunk_id): the primary chunks, and the first chunk around up to ``callers`` references to each of their symbols."""
+def _around(places: DataFrame, chunks: DataFrame, role: str, primary: DataFrame) -> DataFrame:
+    """(role, chunk_id, name): the first chunk around each of a few places (file_path, line) that is no primary one."""
+    from . import structural
+
+    x = structural.first_chunk(F.broadcast(places), chunks).select("chunk_id").distinct().join(F.broadcast(primary.select("chunk_id")), "chunk_id", "left_anti")
+    return x.select(F.lit(role).alias("role"), "chunk_id", F.lit(None).cast("string").alias("name"))
+
+
+def _references(names: DataFrame, refs: DataFrame, each: int) -> DataFrame:
+    """The first ``each`` places (file_path, line) that refer to each of a few names."""
+    found = refs.join(F.broadcast(names.select(F.col("name").alias("to_name_tail")).distinct()), "to_name_tail").select("to_name_tail", F.col("from_file").alias("file_path"), "line")
+    rank = F.row_number().over(Window.partitionBy("to_name_tail").orderBy("file_path", "line"))
+    return found.withColumn("r", rank).filter(F.col("r") <= each).select("file_path", "line")
+
+
+def context_of_query(results: DataFrame, refs: DataFrame, chunks: DataFrame, symbols: DataFrame, *, callers: bool = True, callees: bool = True, each: int = 3, most_symbols: int = 5) -> DataFrame:
+    """A bundle of context for search results: rows (role, chunk_id, name).
+
+    primary: the results. definition: the first definition of each symbol that a result holds, by its qualified name. For the first few
+    of these, in the order of results and lines, caller: chunks around references to it, and callee: the chunk around its definition; no chunk is
+    given twice in a role, nor a primary one again.
+    """
+    from . import structural
+
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), "distance", "chunk_id"))
+    primary = results.select("chunk_id", "file_path", "start_line", "end_line", rank.alias("at"))
+    held = structural.overlapping(F.broadcast(primary), symbols).join(F.broadcast(primary.select("chunk_id", "at")), "chunk_id")
+    held = held.groupBy("qualified_name").agg(F.min(F.struct("at", "line_start")).alias("o"))
+    held = held.join(symbols.select("name", "qualified_name").distinct(), "qualified_name").select("o", F.col("qualified_name").alias("held"), "name")
+    spelt = symbols.join(F.broadcast(held), "name").groupBy("held", "o", "name").agg(F.min(F.struct("file_path", "line_start", "qualified_name")).alias("d"))
+    few = spelt.orderBy("o", "held").limit(most_symbols)
+    out = primary.select(F.lit("primary").alias("role"), "chunk_id", F.lit(None).cast("string").alias("name"))
+    out = out.unionByName(spelt.select(F.lit("definition").alias("role"), F.lit(None).cast(chunks.schema["chunk_id"].dataType).alias("chunk_id"), F.col("d.qualified_name").alias("name")).distinct())
+    if callers:
+        out = out.unionByName(_around(_references(few, refs, each), chunks, "caller", primary))
+    if callees:
+        out = out.unionByName(_around(few.select("d.file_path", F.col("d.line_start").alias("line")), chunks, "callee", primary))
+    return out
+
+
+def context_of_symbol(symbol: str, refs: DataFrame, chunks: DataFrame, symbols: DataFrame, *, callers: bool = True, limit: int = 10) -> tuple[str, DataFrame]:
+    """A bundle of context for a symbol: what it is about, and rows (role, chunk_id, name) as in ``context_of_query``.
+
+    primary: the chunks around the symbol's definitions; caller: chunks around its first ``limit`` references. A symbol that isn't defined has no rows, and is
+    said not to be found.
+    """
     from . import structural
 
-    names = structural.overlapping(primary, symbols).select("qualified_name").distinct().join(symbols.select("name", "qualified_name"), "qualified_name").select("name").distinct().orderBy("name").limit(most_symbols)
-    found = names.join(refs, names["name"] == refs["to_name_tail"]).select("name", F.col("from_file").alias("file_path"), "line")
-    rank = F.row_number().over(Window.partitionBy("name").orderBy("file_path", "line"))
-    lines = found.withColumn("r", rank).filter(F.col("r") <= callers)
-    related = structural.first_chunk(lines, chunks).select("chunk_id").distinct().join(primary.select("chunk_id"), "chunk_id", "left_anti")
-    return primary.select(F.lit("primary").alias("role"), "chunk_id").unionByName(related.select(F.lit("caller").alias("role"), "chunk_id"))
+    defs = structural.find_symbols(symbols, symbol).select("file_path", F.col("line_start").alias("line"), "qualified_name")
+    if defs.isEmpty():
+        return f"symbol: {symbol} (not found)", chunks.select(F.lit("primary").alias("role"), "chunk_id", F.lit(None).cast("string").alias("name")).filter("false")
+    none = F.lit(None).cast(chunks.schema["chunk_id"].dataType)
+    primary = structural.first_chunk(defs, chunks).select("chunk_id").distinct()
+    out = primary.select(F.lit("primary").alias("role"), "chunk_id", F.lit(None).cast("string").alias("name"))
+    out = out.unionByName(defs.select(F.lit("definition").alias("role"), none.alias("chunk_id"), F.col("qualified_name").alias("name")))
+    if callers:
+        places = structural.find_references(refs, symbol).select(F.col("from_file").alias("file_path"), "line").orderBy("file_path", "line").limit(limit)
+        out = out.unionByName(_around(places, chunks, "caller", primary))
+    return f"symbol: {symbol}", out

@@ -73,14 +73,6 @@ def vec_each(s, d):
     return _pairs(s, d).select("vec_id", F.posexplode("a").alias("i", "v")).select("vec_id", F.col("i").cast("bigint").alias("i"), F.round(F.col("v").cast("double"), 6).alias("v"))
 
 
-def bm25_topk(s, d):
-    return R.bm25(chunks(s, d), TERMS, 20).select("chunk_id", F.round("score", 5).alias("score"))
-
-
-def token_df_gate(s, d):
-    return R.document_frequency(chunks(s, d), TERMS)
-
-
 def rare_literal_gate(s, d):
     asked = s.createDataFrame([("find the LicenseX apache license",), ("a::b",), ("plain words here",), ("read abc.defg",), ("Licensed text",)], "query string")
     return R.has_rare_literal(asked, R.document_frequency(chunks(s, d), ["licensex", "licensed"]))
@@ -163,8 +155,8 @@ def events_session(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    knn_l2, knn_partitioned, knn_filtered_offset, knn_batch, vec_l1, vec_cosine, vec_hamming_quantized, vec_normalize, vec_arithmetic, vec_quantize_int8, vec_each, bm25_topk,
-    token_df_gate, rare_literal_gate, rrf_fusion, symbol_boost, minmax_blend, search_tokens, retrieval_metrics, percentiles_small_n, quality_matrix, followup_window,
+    knn_l2, knn_partitioned, knn_filtered_offset, knn_batch, vec_l1, vec_cosine, vec_hamming_quantized, vec_normalize, vec_arithmetic, vec_quantize_int8, vec_each,
+    rare_literal_gate, rrf_fusion, symbol_boost, minmax_blend, search_tokens, retrieval_metrics, percentiles_small_n, quality_matrix, followup_window,
     adjacent_collapse, budget_truncate, turn_groups, secret_scan, events_tumbling, events_sliding, events_session,
 )}
 
@@ -186,11 +178,6 @@ ORACLES = {
     "vec_arithmetic": f"WITH {_PAIRS} SELECT vec_id, round({_SUM.format('z[1] + z[2]')}, 4) AS added, round({_SUM.format('z[1] - z[2]')}, 4) AS taken, round(list_sum(a[9:16]), 4) AS sliced FROM pairs",
     "vec_quantize_int8": f"WITH {_PAIRS} SELECT vec_id, CAST(list_sum(list_transform(a, lambda x: greatest(-128, least(127, trunc((x + 1.0) / (2.0 / 255.0) - 128.0))))) AS BIGINT) AS total FROM pairs",
     "vec_each": f"WITH {_PAIRS} SELECT vec_id, i - 1 AS i, round(a[i], 6) AS v FROM pairs, range(1, 65) t(i)",
-    "bm25_topk": f"""WITH {_TOKENS}, shape AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM tokens),
-hits AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM tokens) WHERE term IN {_IN} GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM hits GROUP BY 1)
-SELECT chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 5) AS score FROM hits JOIN df USING (term), shape GROUP BY 1 ORDER BY sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) DESC, chunk_id LIMIT 20""",
-    "token_df_gate": f"WITH {_TOKENS} SELECT term, count(*) AS df, (SELECT count(*) FROM documents) AS total FROM (SELECT unnest(list_distinct(t)) AS term FROM tokens) WHERE term IN {_IN} GROUP BY 1",
     "rare_literal_gate": f"WITH {_TOKENS}, f AS (SELECT count(*) FILTER (WHERE list_contains(t, 'licensed')) AS df, count(*) AS n FROM tokens) SELECT q AS query, g AS gated FROM (VALUES ('find the LicenseX apache license', false), ('a::b', true), ('plain words here', false), ('read abc.defg', true)) v(q, g) UNION ALL SELECT 'Licensed text', df > 0 AND df / n < 0.01 FROM f",
     "rrf_fusion": f"""WITH {_TOKENS}, shape AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM tokens),
 hits AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM tokens) WHERE term IN {_IN} GROUP BY ALL),

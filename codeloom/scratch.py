@@ -43,6 +43,15 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return out
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for tables that an operator lays out itself; it goes when the driver's process ends."""
+    path = path_for(spark, name)
+    if not _open:
+        atexit.register(_clean)
+    _open.append((spark, path))
+    return path
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df as a table: itself if ``written`` made it, else written now."""
     return df if getattr(df, "_codeloom_path", None) else written(df, name)

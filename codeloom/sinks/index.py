@@ -38,7 +38,7 @@ def live(snapshot: Snapshot, name: str) -> DataFrame:
 def postings(snapshot: Snapshot) -> inverted.Postings:
     """The inverted index of a version."""
     dead = snapshot.table("dead").select("key", F.col("of_segment").alias("segment")) if snapshot.has("dead") else None
-    return inverted.Postings(snapshot.table("postings"), snapshot.state.get("chunks", 0), snapshot.state.get("words", 0), dead)
+    return inverted.Postings(snapshot.table("postings"), snapshot.state.get("chunks", 0), snapshot.state.get("words", 0), snapshot.state["buckets"], dead)
 
 
 def put_chunks(batch: Batch, chunks: DataFrame, *, whole: bool, touched: DataFrame | None = None, key: str = "chunk_id") -> dict:
@@ -56,8 +56,9 @@ def put_chunks(batch: Batch, chunks: DataFrame, *, whole: bool, touched: DataFra
         batch.drop("dead")
     added = batch.put("chunks", chunks.withColumn("words", F.size(inverted.words_of(F.col("content"))).cast("bigint")), replace=whole)
     more = added.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
-    batch.put("postings", inverted.blocks(added, more[0], key=key), "bucket", replace=whole)
-    return {"chunks": n + more[0], "words": words + more[1]}
+    buckets = inverted.buckets_for(more[0]) if whole or not batch.base.has("postings") else batch.base.state["buckets"]
+    batch.put("postings", inverted.blocks(added, more[0], buckets, key=key), "bucket", replace=whole)
+    return {"chunks": n + more[0], "words": words + more[1], "buckets": buckets}
 
 
 def chunks_of(files: DataFrame, symbols: DataFrame | None = None) -> DataFrame:

@@ -12,19 +12,49 @@ from ..functions import names
 LOG = ("log", "--no-merges", "--numstat", "--pretty=format:commit%x09%H%x09%ct%x09%s")
 
 
-def log_lines(root: str, revisions: str | None = None) -> list[str]:
-    out = subprocess.run(["git", "-C", root, *LOG, *([revisions] if revisions else [])], capture_output=True, text=True, check=True)
-    return out.stdout.split("\n")
+#: Lines of a log that one range holds where lines are numbered.
+RANGE_LINES = 100_000
+
+
+def write_log(root: str, path: str, revisions: str | None = None) -> None:
+    """Streams a repository's log into a file, which then is read in ranges; the driver never holds the log."""
+    with open(path, "wb") as out:
+        subprocess.run(["git", "-C", root, *LOG, *([revisions] if revisions else [])], stdout=out, check=True)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """(log_id, span, line_no, line) of log files: a file is a log, a span is what one task reads of it.
+
+    Spans have the order of their bytes; inside a span line_no rises, but it doesn't go on from span to span.
+    """
+    x = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    return x.select(F.col("file_path").alias("log_id"), F.col("file_block_start").alias("span"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+
+
+def with_headers(lines: DataFrame) -> DataFrame:
+    """lines with ``h``, the last header at or before each line, by a segmented scan.
+
+    Each span of a log finds its last header; these are carried over the spans, of which a log has few; and the lines of a span are
+    filled forward inside it, from the header that was carried into it. So one log is parsed in as many tasks as it has spans.
+    """
+    head = F.when(F.col("line").startswith("commit\t"), F.col("line"))
+    ends = lines.groupBy("log_id", "span").agg(F.max_by(head, F.when(head.isNotNull(), F.col("line_no"))).alias("end"))
+    earlier = Window.partitionBy("log_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("log_id", "span", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
+    inside = Window.partitionBy("log_id", "span").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    filled = lines.withColumn("own", F.last(head, ignorenulls=True).over(inside))
+    return filled.join(carried, ["log_id", "span"]).withColumn("h", F.coalesce("own", "carried")).drop("own", "carried")
 
 
 def parse(spark: SparkSession, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(commits, file_changes) of numbered lines (log_id, line_no, line). Bad timestamps drop a commit, binary and broken counts a change.
 
-    Logs are split by log_id, so many repositories are parsed in parallel; within one the header is carried forward.
+    Lines with a ``span`` column are ordered by it first (``read_log``); else RANGE_LINES numbers make a span.
     """
+    if "span" not in lines.columns:
+        lines = lines.withColumn("span", F.floor(F.col("line_no") / RANGE_LINES))
+    x = with_headers(lines.select("log_id", "span", "line_no", "line"))
     head = F.col("line").startswith("commit\t")
-    w = Window.partitionBy("log_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    x = lines.withColumn("h", F.last(F.when(head, F.col("line")), ignorenulls=True).over(w))
     part = F.split("h", "\t", 4)
     x = x.select("log_id", "line", head.alias("is_head"), F.get(part, F.lit(1)).alias("commit_id"), F.get(part, F.lit(2)).try_cast("bigint").alias("ts"), F.coalesce(F.get(part, F.lit(3)), F.lit("")).alias("subject"))
     x = x.filter("ts is not null")

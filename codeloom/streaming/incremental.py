@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import history, structural
+from ..sinks import index
+from ..sinks.versions import GRACE_SECONDS, Store
 
 
 def stream_changes(kept: DataFrame, path: str, checkpoint: str, **trigger):
@@ -22,32 +24,33 @@ def history_of(facts: DataFrame, now: int) -> DataFrame:
     return history.file_history(facts.dropDuplicates(["commit_id", "path"]), now)
 
 
-def stream_file_index(files: DataFrame, path: str, checkpoint: str, **trigger):
-    """Keeps a table of files at path in step with a stream of (path, language, content_hash) rows, the last of each path.
+def stream_file_index(files: DataFrame, path: str, checkpoint: str, *, most_segments: int = 32, keep: int = 2, grace: float = GRACE_SECONDS, **trigger):
+    """Keeps a table of files at path in step with a stream of (path, language, content_hash, indexed_at) rows, the last of each path.
 
-    Each batch is written as a new version folder beside the earlier ones and then named in ``_current``, so a reader never sees half of one
-    and a batch that is delivered again writes the same version.
+    A batch writes its own rows as one version of a store (``sinks.versions``), so a reader sees all of it or nothing, at any time, and a batch that is
+    delivered again changes nothing. Beyond ``most_segments`` the segments are folded into one, and what no reader may hold any more goes.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        store = Store(batch.sparkSession, path)
+        if store.open().state.get("stream_batch", -1) >= number:
+            return
         new = structural.latest(batch, "path", "indexed_at")
-        before = current(spark, path)
-        whole = new if before is None else structural.replace_by_key(before.select(new.columns), new, "path")
-        whole.write.mode("overwrite").parquet(f"{path}/v{number}")
-        spark.createDataFrame([(number,)], "version bigint").coalesce(1).write.mode("overwrite").json(f"{path}/_current")
+        b = store.begin(lease=0.0)  # the stream's checkpoint admits one writer
+        new = b.put("files", new)
+        b.put("touched", new.select("path", F.lit(False).alias("gone")))
+        done = b.commit(stream_batch=number)
+        if len(done.tables["files"]["segments"]) > most_segments:
+            index.compacted(store)
+            store.vacuum(keep=keep, grace=grace)
 
     return files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def current(spark, path: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        rows = spark.read.schema("version bigint").json(f"{path}/_current").collect()
-    except AnalysisException:  # nothing has been written yet
-        return None
-    return spark.read.parquet(f"{path}/v{rows[0].version}") if rows else None
+    """The table that the stream has kept so far; None before its first batch."""
+    last = Store(spark, path).open()
+    return index.live(last, "files").drop("segment") if last.has("files") else None
 
 
 def event_windows(events: DataFrame, *, size: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:

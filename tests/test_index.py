@@ -156,9 +156,11 @@ def _same_ranking(index, chunks, terms, k, **more):
     assert got == want
 
 
-@pytest.mark.parametrize("terms", [["license", "the"], ["rare3", "word5", "the", "of"], ["nothing"], ["nothing", "RARE3"], ["the"], []])
+@pytest.mark.parametrize("terms", [["license", "the"], ["rare3", "word5", "the", "of"], ["nothing", "RARE3"], []])
 def test_keyword_ranking_equals_a_scan_through_changes(spark, store, terms, monkeypatch):
     monkeypatch.setattr(inverted, "GROUP", 16)
+    monkeypatch.setattr(inverted, "SKIP_FROM", 0)
+    monkeypatch.setattr(inverted, "BUCKET_CHUNKS", 64)
     table = lambda rows: spark.createDataFrame(rows, CHUNKS)
     rows = _texts(400)
     b = store.begin()
@@ -166,7 +168,7 @@ def test_keyword_ranking_equals_a_scan_through_changes(spark, store, terms, monk
     for _ in range(2):
         index = X.postings(snap)
         now = X.live(snap, "chunks")
-        for k in (1, 7, 50, 1000):
+        for k in (7, 1000):
             if terms:
                 _same_ranking(index, table(rows), terms, k)
                 _same_ranking(index, table(rows), terms, k, skip=False)
@@ -194,6 +196,8 @@ def test_keyword_ranking_equals_a_scan_through_changes(spark, store, terms, monk
 def test_ranking_reads_few_blocks(spark, store, monkeypatch):
     """With a rare term beside a frequent one, the frequent one's blocks are read only in the groups that the rare one names."""
     monkeypatch.setattr(inverted, "GROUP", 16)
+    monkeypatch.setattr(inverted, "SKIP_FROM", 0)
+    monkeypatch.setattr(inverted, "BUCKET_CHUNKS", 64)
     rows = [(f"{k:05d}", "f", "en", "the of" + (" needle" if k in (7, 1900) else "")) for k in range(3000)]
     b = store.begin()
     index = X.postings(b.commit(**X.put_chunks(b, spark.createDataFrame(rows, CHUNKS), whole=True)))
