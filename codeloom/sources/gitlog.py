@@ -22,6 +22,12 @@ def write_log(root: str, path: str, revisions: str | None = None) -> None:
         subprocess.run(["git", "-C", root, *LOG, *([revisions] if revisions else [])], stdout=out, check=True)
 
 
+def write_commits(root: str, path: str) -> None:
+    """Writes every commit and its parents, children first, for ``ancestry.read_commits``."""
+    with open(path, "wb") as out:
+        subprocess.run(["git", "-C", root, "rev-list", "--topo-order", "--parents", "--all"], stdout=out, check=True)
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """(log_id, span, line_no, line) of log files: a file is a log, a span is what one task reads of it.
 
