@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..config import BUDGET_CHARS
+
 # fixed values: openings that make a message no search, and phrases one of which a search holds
 SKIPPED_OPENINGS = ("continue", "yes", "no", "ok", "thanks", "go ahead", "stop", "git ", "cargo ", "npm ", "pip ", "/", "!", "base directory")
 SEARCH_SIGNALS = (
@@ -94,3 +96,66 @@ def largest_array(json: Column) -> Column:
     sized = F.transform(arrays, lambda e: F.struct((-F.length(F.to_json(e["value"]))).alias("less"), e["key"].alias("key")))
     least = F.array_min(sized)
     return F.when(least.isNotNull(), F.struct(least["key"].alias("key"), (-least["less"]).alias("size")))
+
+
+def _kept_items(items: Column, budget: Column) -> Column:
+    """The first items whose written lengths add up to the budget at most; the first one always stays."""
+    sizes = F.transform(items, lambda e: F.octet_length(F.to_json(e)).cast("bigint"))
+
+    def step(so_far: Column, size: Column) -> Column:
+        fits = so_far["open"] & ((so_far["used"] + size <= budget) | (so_far["n"] == 0))
+        return F.struct((so_far["used"] + F.when(fits, size).otherwise(0)).alias("used"), (so_far["n"] + fits.cast("int")).alias("n"), fits.alias("open"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+    return F.slice(items, 1, F.aggregate(sizes, start, step)["n"])
+
+
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def capped(json: Column, kind: str, budget_tokens: int = BUDGET_CHARS // 4) -> Column:
+    """A JSON response cut down to a budget of four characters a token; compact, keys in order.
+
+    An object loses the end of its longest array field, an array its own end (and becomes ``results``); what is left fits beside the other fields, but
+    one item stays. ``_meta`` says what was cut. Responses within the budget, and those without any array, stay whole; null and what is no JSON give null.
+    """
+    whole = F.to_json(F.try_parse_json(json))
+    budget = F.lit(budget_tokens * 4).cast("bigint")
+    quoted = lambda text: F.to_json(F.to_variant_object(F.array(text)))
+    text_of = lambda text: F.substring(quoted(text), F.lit(2), F.length(quoted(text)) - 2)
+    written = lambda items: F.concat(F.lit("["), F.array_join(F.transform(items, lambda e: F.to_json(e)), ","), F.lit("]"))
+
+    def meta(items: Column, left: Column, hint: str, field: Column | None = None) -> Column:
+        named = [] if field is None else [F.lit('"field":'), text_of(field), F.lit(",")]
+        about = [F.lit(f'{{"approx_tokens_budget":{budget_tokens},'), *named, F.lit(f'"hint":"{hint}","kind":"{kind}","returned":'), F.size(left).cast("string"), F.lit(',"total_results":'), F.size(items).cast("string"), F.lit(',"truncated":true}')]
+        return F.concat(*about)
+
+    def cut_array(items: Column) -> Column:
+        hint = "output exceeded budget; refine query, narrow scope (paths/language), or call with offset to paginate"
+        return _let(_kept_items(items, budget), lambda left: F.concat(F.lit('{"_meta":'), meta(items, left, hint), F.lit(',"results":'), written(left), F.lit("}")))
+
+    def cut_object(text: Column, longest: Column) -> Column:
+        entries = F.array_sort(F.transform(F.map_entries(F.from_json(text, "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("text"))))
+        items = F.from_json(F.element_at(F.filter(entries, lambda e: e["key"] == longest["key"]), 1)["text"], "array<variant>")
+        left_of = lambda its: _kept_items(its, F.greatest(F.lit(0).cast("bigint"), budget - (F.octet_length(text) - longest["bytes"])))
+
+        def rebuilt(its: Column, left: Column) -> Column:
+            fields = F.filter(F.transform(entries, lambda e: F.when(e["key"] == longest["key"], F.struct(e["key"].alias("key"), written(left).alias("text"))).otherwise(e)), lambda e: e["key"] != "_meta")
+            about = F.struct(F.lit("_meta").alias("key"), meta(its, left, "output exceeded budget; refine query or narrow scope", longest["key"]).alias("text"))
+            return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.concat(fields, F.array(about))), lambda e: F.concat(text_of(e["key"]), F.lit(":"), e["text"])), ","), F.lit("}"))
+
+        return _let(items, lambda its: _let(left_of(its), lambda left: rebuilt(its, left)))
+
+    def longest_of(text: Column) -> Column:
+        fields = F.map_entries(F.from_json(text, "map<string,variant>"))
+        arrays = F.filter(fields, lambda e: F.schema_of_variant(e["value"]).startswith("ARRAY<"))
+        sized = F.transform(arrays, lambda e: F.struct((-F.octet_length(F.to_json(e["value"]))).alias("less"), e["key"].alias("key")))
+        return _let(F.array_min(sized), lambda m: F.when(m.isNotNull(), F.struct(m["key"].alias("key"), (-m["less"]).alias("bytes"))))
+
+    def cut(text: Column) -> Column:
+        short = F.octet_length(text) <= budget
+        as_object = _let(longest_of(text), lambda longest: F.when(longest.isNull(), text).otherwise(cut_object(text, longest)))
+        return F.when(short, text).when(text.startswith("["), cut_array(F.from_json(text, "array<variant>"))).when(text.startswith("{"), as_object).otherwise(text)
+
+    return _let(whole, cut)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from .. import scratch
 
 
 def retrieval_metrics(expected: DataFrame, results: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
@@ -36,21 +37,45 @@ def scorecard(per_case: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
+def summed_before(rows: DataFrame, by: list[str], order: list[str], weight: str, name: str) -> DataFrame:
+    """rows with the sum of weight over the earlier rows of their group, for groups of any size.
+
+    Rows are dealt out by ranges of group and order, each range adds up its own, and only one total a range and group is summed in order: a group that holds
+    most rows is as many ranges as its size asks for. rows must have a total order, and are written once.
+    """
+    ranged = scratch.written(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), name)
+    sizes = ranged.groupBy(*by, "_part").agg(F.sum(weight).alias("_size"))
+    ahead = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    offsets = sizes.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_at"), F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_offset"))
+    inside = F.sum(weight).over(Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    same = F.col("_part") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    x = ranged.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(offsets, same)
+    return x.withColumn("before", F.col("_inside") + F.col("_offset")).select(*rows.columns, "before")
+
+
 def small_percentiles(x: DataFrame, value: str, by: list[str]) -> DataFrame:
     """n, p50, p95, p99 and max as values that occur: element floor(n * p); p95 needs 20 values and p99 needs 100, else the maximum.
 
-    Ranks come from a window over each group's sorted values, so no group is gathered into one array.
+    Equal values are counted first, and counts are summed by ranges, so a group may hold most rows.
     """
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1
-    n = F.count("*").over(Window.partitionBy(*by))
-    y = x.select(*by, value).filter(F.col(value).isNotNull()).withColumn("_r", rank).withColumn("_n", n)
-    pick = lambda p: F.max(F.when(F.col("_r") == F.floor(F.col("_n") * p), F.col(value)))
+    counts = x.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_m"))
+    y = summed_before(counts, by, [value], "_m", "percentile-ranges")
+    total = [F.col(c).alias(f"_{c}") for c in by]
+    groups = y.groupBy(*by).agg(F.sum("_m").alias("_n"), F.max(value).alias("_max")).select(*total, "_n", "_max")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    y = y.join(groups, same)
+    at = lambda p: F.floor(F.col("_n") * p)
+    pick = lambda p: F.max(F.when((F.col("before") <= at(p)) & (at(p) < F.col("before") + F.col("_m")), F.col(value)))
     return y.groupBy(*by).agg(
         F.max("_n").alias("n"),
         pick(0.5).alias("p50"),
-        F.when(F.max("_n") >= 20, pick(0.95)).otherwise(F.max(value)).alias("p95"),
-        F.when(F.max("_n") >= 100, pick(0.99)).otherwise(F.max(value)).alias("p99"),
-        F.max(value).alias("max"),
+        F.when(F.max("_n") >= 20, pick(0.95)).otherwise(F.max("_max")).alias("p95"),
+        F.when(F.max("_n") >= 100, pick(0.99)).otherwise(F.max("_max")).alias("p99"),
+        F.max("_max").alias("max"),
     )
 
 
@@ -76,10 +101,18 @@ def islands(rows: DataFrame, by: list[str], position: str, gap: int = 2, least:
 
 
 def within_budget(rows: DataFrame, by: list[str], order: list[str], size: Column, budget: int = C.BUDGET_CHARS) -> DataFrame:
-    """The first rows of each result whose sizes add up to the budget at most; the first row always stays."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    x = rows.withColumn("used", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("pos", F.row_number().over(w))
-    return x.filter((F.col("used") <= budget) | (F.col("pos") == 1))
+    """The first rows of each result whose sizes add up to the budget at most; the first row always stays. Order must be total within a result.
+
+    Sizes (null counts as 0) must not be negative. A result may hold most rows: sums go by ranges.
+    """
+    weighed = rows.withColumn("_size", F.coalesce(size.cast("bigint"), F.lit(0)))
+    first = rows.groupBy(*by).agg(F.min(F.struct(*order)).alias("_first")).select(*[F.col(c).alias(f"_{c}") for c in by], "_first")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    x = summed_before(weighed, by, order, "_size", "budget-ranges").join(first, same)
+    x = x.withColumn("used", F.col("before") + F.col("_size"))
+    return x.filter((F.col("used") <= budget) | F.struct(*order).eqNullSafe(F.col("_first"))).select(*rows.columns, "used")
 
 
 def turn_groups(messages: DataFrame, session: str, order: str, role: str, most: int = 39) -> DataFrame:

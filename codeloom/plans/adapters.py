@@ -70,22 +70,37 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and imports of parts by name, on lines of the symbols beside them; every seventh line of an order includes a file by its path."""
     li = table(spark, sf_dir, "lineitem")
-    tail = F.concat(F.lit("f"), F.col("l_partkey").cast("string"))
+    k = F.col("l_partkey")
+    file = F.concat(F.lit("m"), (k % SYMBOL_FILES).cast("string"), F.lit(".rs"))
+    tail = F.when(F.col("l_linenumber") == 7, file).otherwise(F.concat(F.lit("f"), k.cast("string")))
     return li.select(
         F.concat(F.lit("src/m"), (F.col("l_suppkey") % SYMBOL_FILES).cast("string"), F.lit(".rs")).alias("from_file"),
-        F.concat(F.lit("pkg::"), tail).alias("to_name"),
+        F.concat(F.when(F.col("l_linenumber") == 7, F.lit("src/")).otherwise(F.lit("pkg::")), tail).alias("to_name"),
         tail.alias("to_name_tail"),
-        F.when(F.col("l_linenumber") % 2 == 0, F.lit("import")).otherwise(F.lit("call")).alias("kind"),
-        ((F.col("l_orderkey") % 10) * LINES_EACH + F.col("l_linenumber")).cast("int").alias("line"),
+        F.when(F.col("l_linenumber") == 7, F.lit("include")).when(F.col("l_linenumber") % 2 == 0, F.lit("import")).otherwise(F.lit("call")).alias("kind"),
+        (F.floor(k / SYMBOL_FILES) * LINES_EACH + F.col("l_linenumber")).cast("int").alias("line"),
     )
 
 
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as numbered lines of three logs: a header a commit, and a line a file, some of them renamed or binary."""
+    log = lambda key: F.concat(F.lit("log"), (F.col(key) % 3).cast("string")).alias("log_id")
+    c = commits(spark, sf_dir)
+    heads = c.select(log("commit_id"), (F.col("commit_id") * 8).alias("line_no"), F.concat_ws("\t", F.lit("commit"), F.col("commit_id").cast("string"), F.when(F.col("commit_id") % 50 == 7, F.lit("bad")).otherwise(F.col("ts").cast("string")), "subject").alias("line"))
+    k = F.col("l_partkey").cast("string")
+    path = F.when(F.col("l_partkey") % 4 == 0, F.concat(F.lit("src/{old => new}/f"), k, F.lit(".rs"))).otherwise(F.concat(F.lit("src/f"), k, F.lit(".rs")))
+    added = F.when(F.col("l_partkey") % 9 == 0, F.lit("-")).otherwise(F.col("l_quantity").cast("int").cast("string"))
+    li = table(spark, sf_dir, "lineitem")
+    return heads.unionByName(li.select(log("l_orderkey"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_no"), F.concat_ws("\t", added, F.col("l_linenumber").cast("string"), path).alias("line")))
+
+
 def import_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten rings of thirty files, and one-way edges between rings."""
-    k = (F.col("o_custkey") % 300).cast("int")
+    """Rings of thirty files each, as many as the customers ask for, and one-way edges from a ring to the next, but for every tenth."""
+    k = F.col("o_custkey").cast("int")
     ring = (k - k % 30) + (k % 30 + 1 + (F.col("o_orderkey") % 5).cast("int")) % 30
-    to = F.when((F.col("o_orderstatus") == "P") & (k < 270), k + 30).otherwise(ring)
+    to = F.when((F.col("o_orderstatus") == "P") & (k % 300 < 270), k + 30).otherwise(ring)
     return table(spark, sf_dir, "orders").select(F.concat(F.lit("n"), k.cast("string")).alias("src"), F.concat(F.lit("n"), to.cast("string")).alias("dst"))
 
 
@@ -158,13 +173,14 @@ symbols AS (
   SELECT 'f' || p_partkey AS name, p_brand || '.f' || p_partkey AS qualified_name, CASE WHEN p_size > 25 THEN 'function' ELSE 'method' END AS kind,
     'src/m' || (p_partkey % 200) || '.rs' AS file_path, CAST(p_partkey // 200 * 20 + 1 AS INTEGER) AS line_start, CAST(p_partkey // 200 * 20 + 19 AS INTEGER) AS line_end FROM part
 ), refs AS (
-  SELECT 'src/m' || (l_suppkey % 200) || '.rs' AS from_file, 'pkg::f' || l_partkey AS to_name, 'f' || l_partkey AS to_name_tail,
-    CASE WHEN l_linenumber % 2 = 0 THEN 'import' ELSE 'call' END AS kind, CAST(l_orderkey % 10 * 20 + l_linenumber AS INTEGER) AS line
+  SELECT 'src/m' || (l_suppkey % 200) || '.rs' AS from_file, CASE WHEN l_linenumber = 7 THEN 'src/m' || (l_partkey % 200) || '.rs' ELSE 'pkg::f' || l_partkey END AS to_name,
+    CASE WHEN l_linenumber = 7 THEN 'm' || (l_partkey % 200) || '.rs' ELSE 'f' || l_partkey END AS to_name_tail,
+    CASE WHEN l_linenumber = 7 THEN 'include' WHEN l_linenumber % 2 = 0 THEN 'import' ELSE 'call' END AS kind, CAST(l_partkey // 200 * 20 + l_linenumber AS INTEGER) AS line
   FROM lineitem
 )"""
 
 IMPORTS_SQL = """
 edges AS (
-  SELECT DISTINCT 'n' || k AS src, 'n' || CASE WHEN o_orderstatus = 'P' AND k < 270 THEN k + 30 ELSE (k - k % 30) + (k % 30 + 1 + o_orderkey % 5) % 30 END AS dst
-  FROM (SELECT *, o_custkey % 300 AS k FROM orders)
+  SELECT DISTINCT 'n' || k AS src, 'n' || CASE WHEN o_orderstatus = 'P' AND k % 300 < 270 THEN k + 30 ELSE (k - k % 30) + (k % 30 + 1 + o_orderkey % 5) % 30 END AS dst
+  FROM (SELECT *, o_custkey AS k FROM orders)
 )"""

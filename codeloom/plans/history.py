@@ -9,7 +9,8 @@ from ..functions import names, paths
 from ..operators import graph as G
 from ..operators import history as H
 from ..operators import structural as S
-from .adapters import NOW, code_refs, code_symbols, commits, file_changes, history_sql
+from ..sources import gitlog, ignore
+from .adapters import NOW, code_refs, code_symbols, commits, file_changes, history_sql, log_lines
 
 PATCH = r"^src/d[1-5]/"
 
@@ -158,13 +159,30 @@ def glob_filter(s, d):
     return x.filter(paths.any_glob(F.col("path"), ["src/d[1-3]/*7*.rs", "**/d4/**", "**/*9.py"]))
 
 
+def log_parse(s, d):
+    """The changes that three logs tell, and their commits, parsed from numbered lines."""
+    c, changes = gitlog.parse(s, log_lines(s, d))
+    heads = c.select("log_id", "commit_id", F.col("subject").alias("name"), "ts", F.lit(None).cast("bigint").alias("added"))
+    return heads.unionByName(changes.select("log_id", "commit_id", F.col("path").alias("name"), F.lit(None).cast("bigint").alias("ts"), "added"))
+
+
+#: Rules files by directory.
+RULES = {"": "vendor/\n*.toml\n!conf/d3/*.toml\n/tests/d[0-4]/\n!tests/d1/f7*", "src/d1": "*.py\n!f1*.py", "src/d2": "*", "src": "!d2/f*2.rs\n**/f?.rs\nd4/**\n!d4/f4*"}
+
+
+def ignored_paths(s, d):
+    x = file_changes(s, d).select(F.lit("p").alias("project"), "path").distinct()
+    files = s.createDataFrame([("p", k, v.encode()) for k, v in RULES.items()], "project string, directory string, content binary")
+    return ignore.kept(x, ignore.rules_of(files)).select("path")
+
+
 def _sql(body: str, key: str = "l_partkey") -> str:
     return f"WITH {history_sql(key)} {body}"
 
 
 QUERIES = {f.__name__: f for f in (
     soft_skip_filter, file_churn, co_change_pairs, co_change_topn, churn_percentile, fix_ratio, risk_score, risk_rollup, risk_diff, cycles_of_patch, dir_cluster, shown_files, coupled_tests,
-    primary_tests, coupling_report, incremental_equals_batch, incremental_pairs, gated_pairs, history_stats, decayed_later, file_category, glob_filter,
+    primary_tests, coupling_report, incremental_equals_batch, incremental_pairs, gated_pairs, history_stats, decayed_later, file_category, glob_filter, log_parse, ignored_paths,
 )}
 
 _S = "l_suppkey"
@@ -208,4 +226,11 @@ SELECT file_a, file_b, n FROM both_parts WHERE n > 0 AND (old >= 2 OR n >= 2)"""
     "decayed_later": _sql("SELECT path, round(churn_score * exp(-30.0 / 180.0), 6) AS churn_score FROM history"),
     "file_category": _sql("SELECT DISTINCT path, CASE WHEN test THEN 'test' WHEN path LIKE '%.toml' THEN 'config' ELSE 'source' END AS category, test AS test_like, test OR starts_with(path, 'vendor/') AS excluded, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.rs' THEN 'rust' END AS language FROM changes"),
     "glob_filter": _sql("SELECT DISTINCT path FROM changes WHERE regexp_matches(path, '^src/d[1-3]/.*7.*\\.rs$') OR contains(path, '/d4/') OR path LIKE '%9.py'"),
+    "log_parse": """WITH c AS (SELECT 'log' || (o_orderkey % 3) AS log_id, CAST(o_orderkey AS VARCHAR) AS commit_id, CAST(epoch(o_orderdate) AS BIGINT) AS ts, CASE o_orderpriority WHEN '1-URGENT' THEN 'fix: order'
+    WHEN '5-LOW' THEN 'chore: order' WHEN '4-NOT SPECIFIED' THEN 'chore: migrate order' ELSE 'feat: order' END AS subject FROM orders WHERE o_orderkey % 50 <> 7)
+SELECT log_id, commit_id, subject AS name, ts, NULL AS added FROM c UNION ALL
+SELECT log_id, commit_id, 'src/' || CASE WHEN l_partkey % 4 = 0 THEN 'new/f' ELSE 'f' END || l_partkey || '.rs', NULL, CAST(l_quantity AS BIGINT) FROM lineitem JOIN c ON commit_id = CAST(l_orderkey AS VARCHAR) WHERE l_partkey % 9 <> 0""",
+    "ignored_paths": _sql(r"""SELECT DISTINCT path FROM changes WHERE NOT starts_with(path, 'vendor/') AND NOT regexp_matches(path, '^conf/(d[^3]|d3.*/.*/).*\.toml$') AND NOT regexp_matches(path, '^tests/d[0-4]/')
+AND NOT (regexp_matches(path, '^src/d1/[^/]*\.py$') AND NOT regexp_matches(path, '^src/d1/f1[^/]*\.py$')) AND NOT starts_with(path, 'src/d2/') AND NOT (regexp_matches(path, '^src/(.*/)?f[^/]\.rs$') AND NOT starts_with(path, 'src/d4/'))
+AND NOT (starts_with(path, 'src/d4/') AND NOT regexp_matches(path, '^src/d4/f4'))"""),
 }

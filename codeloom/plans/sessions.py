@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import requests, vectors
 from ..operators import retrieval as R
 from ..operators import sessions as O
+from ..sinks import bundles
 from .adapters import NOW, symbols, table
 from .adapters import vectors as vector_table
 from .retrieve import _DIST, _FIRST, _first
@@ -92,6 +93,27 @@ def largest_array(s, d):
     return x.select("l_orderkey", requests.largest_array(F.col("j")).alias("m")).select("l_orderkey", "m.key", F.col("m.size").cast("bigint").alias("size"))
 
 
+def response_budget(s, d):
+    """A response an order, cut to 20 tokens: objects with two arrays, arrays, and responses without any."""
+    k = F.col("l_orderkey")
+    a, b = F.sequence(F.lit(1), k % 19 + 1), F.sequence(F.lit(100), 100 + k % 25)
+    made = F.when(k % 3 == 0, F.to_json(F.struct(a.alias("a"), b.alias("b"), F.lit("x").alias("text")))).when(k % 3 == 1, F.to_json(b)).otherwise(F.to_json(F.struct(F.repeat(F.lit("y"), (k % 120).cast("int")).alias("text"))))
+    x = table(s, d, "lineitem").select("l_orderkey").distinct().select("l_orderkey", requests.capped(made, "orders", 20).alias("j"))
+    return x.select("l_orderkey", "j")
+
+
+def bundle_ingest(s, d):
+    """Conversations as bundles of one chunk a turn, of files that the turns name: the counts, the tree and the first line of each chunk."""
+    c = table(s, d, "conversations").filter("conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL")
+    path = F.concat_ws("/", "role", F.concat(F.lit("t"), (F.col("turn") % 3).cast("string")), F.concat(F.lit("f"), (F.col("conv_id") % 5).cast("string"), F.lit(".rs")))
+    chunks = c.select(
+        F.col("conv_id").cast("string").alias("bundle"), F.when(F.col("role") == "user", "primary").otherwise("related").alias("role"), F.col("turn").alias("pos"), path.alias("file_path"),
+        F.lit("rust").alias("language"), F.col("turn").alias("start_line"), (F.col("turn") + 1).alias("end_line"), F.coalesce("text", F.lit("")).alias("content"), F.when(F.col("turn") % 2 == 0, F.array(F.lit("f(function)"))).alias("symbols"),
+    )
+    x = bundles.bundle_lines(chunks)
+    return x.select("bundle", "part", F.array_join("at", "/").alias("at"), F.substring_index("line", "\n", 1).alias("line"))
+
+
 def bundle_totals(s, d):
     x = O.bundle_totals(table(s, d, "conversations").filter("role is not null"), ["conv_id"], "turn", "role", "text")
     return x.withColumn("files", F.array_join("files", ","))
@@ -134,7 +156,7 @@ def knn_constrained(s, d):
 
 QUERIES = {f.__name__: f for f in (
     search_questions, identifier_patterns, mentioned_paths, eval_cases, normalized_paths, reads_after, selection_rates, subject_union, duplicate_audit, log_rotation,
-    largest_array, bundle_totals, symbols_of_files, bytes_and_ages, numeric_coercion, target_kinds, vec_shape, knn_constrained,
+    largest_array, response_budget, bundle_ingest, bundle_totals, symbols_of_files, bytes_and_ages, numeric_coercion, target_kinds, vec_shape, knn_constrained,
 )}
 
 
@@ -175,6 +197,26 @@ SELECT count(*) AS sessions, count(*) FILTER (WHERE own > 0) AS sessions_with_ow
     "subject_union": "SELECT l_orderkey, string_agg(x, ',' ORDER BY x) AS subjects FROM (SELECT DISTINCT l_orderkey, CAST(unnest([l_partkey, l_suppkey]) AS VARCHAR) AS x FROM lineitem) GROUP BY 1",
     "duplicate_audit": "SELECT l_partkey, l_suppkey, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
     "log_rotation": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3",
+    "response_budget": """WITH x AS (SELECT DISTINCT l_orderkey AS k FROM lineitem),
+y AS (SELECT k, list_transform(range(1, k % 19 + 2), lambda v: CAST(v AS VARCHAR)) AS a, list_transform(range(100, 101 + k % 25), lambda v: CAST(v AS VARCHAR)) AS b, repeat('y', CAST(k % 120 AS INTEGER)) AS t FROM x),
+z AS (SELECT *, length(array_to_string(a, ',')) + 2 AS la, length(array_to_string(b, ',')) + 2 AS lb FROM y),
+w AS (SELECT *, CASE WHEN k % 3 = 0 THEN '{"a":[' || array_to_string(a, ',') || '],"b":[' || array_to_string(b, ',') || '],"text":"x"}' WHEN k % 3 = 1 THEN '[' || array_to_string(b, ',') || ']' ELSE '{"text":"' || t || '"}' END AS whole,
+  CASE WHEN k % 3 = 1 OR lb > la THEN b ELSE a END AS items, CASE WHEN k % 3 = 1 THEN 80 ELSE greatest(0, 80 - (la + lb + 22 - greatest(la, lb))) END AS room FROM z),
+v AS (SELECT *, greatest(1, len(list_filter(range(1, len(items) + 1), lambda n: list_sum(list_transform(items[1:n], lambda i: length(i))) <= room))) AS n FROM w)
+SELECT k AS l_orderkey, CASE WHEN length(whole) <= 80 OR k % 3 = 2 THEN whole
+  WHEN k % 3 = 1 THEN '{"_meta":{"approx_tokens_budget":20,"hint":"output exceeded budget; refine query, narrow scope (paths/language), or call with offset to paginate","kind":"orders","returned":' || n || ',"total_results":' || len(b) || ',"truncated":true},"results":[' || array_to_string(b[1:n], ',') || ']}'
+  ELSE '{"_meta":{"approx_tokens_budget":20,"field":"' || CASE WHEN lb > la THEN 'b' ELSE 'a' END || '","hint":"output exceeded budget; refine query or narrow scope","kind":"orders","returned":' || n || ',"total_results":' || len(items) || ',"truncated":true},"a":['
+    || array_to_string(CASE WHEN lb > la THEN a ELSE a[1:n] END, ',') || '],"b":[' || array_to_string(CASE WHEN lb > la THEN b[1:n] ELSE b END, ',') || '],"text":"x"}' END AS j FROM v""",
+    "bundle_ingest": r"""WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS bundle, role = 'user' AS prim, turn, role || '/t' || (turn % 3) || '/f' || (conv_id % 5) || '.rs' AS path, coalesce(text, '') AS text FROM conversations WHERE role IS NOT NULL),
+n AS (SELECT bundle, count(*) AS n, count(DISTINCT path) AS files, count(*) FILTER (WHERE prim) AS p, count(*) FILTER (WHERE NOT prim) AS r, sum(octet_length(encode(text))) AS chars FROM c GROUP BY 1),
+f AS (SELECT DISTINCT bundle, string_split(path, '/') AS p FROM c),
+nodes AS (SELECT DISTINCT bundle, p[1:k] AS p, k FROM f, range(1, 4) t(k)),
+marks AS (SELECT *, p[k] = max(p[k]) OVER (PARTITION BY bundle, p[1:k - 1]) AS last FROM nodes),
+tree AS (SELECT m.bundle, m.p, coalesce((SELECT string_agg(CASE WHEN o.last THEN '    ' ELSE '│   ' END, '' ORDER BY o.k) FROM marks o WHERE o.bundle = m.bundle AND o.k < m.k AND o.p = m.p[1:o.k]), '')
+  || CASE WHEN m.last THEN '└── ' ELSE '├── ' END || m.p[m.k] || CASE WHEN m.k < 3 THEN '/' ELSE '' END AS line FROM marks m)
+SELECT bundle, 0 AS part, '0' AS "at", 'Counts: ' || n || ' chunks across ' || files || ' files (' || p || ' primary, ' || r || ' related)' AS line FROM n
+UNION ALL SELECT bundle, 0, '1', 'Approx tokens: ~' || CAST(chars // 4 AS BIGINT) FROM n UNION ALL SELECT bundle, 1, array_to_string(p, '/'), line FROM tree
+UNION ALL SELECT bundle, 3, CASE WHEN prim THEN '0' ELSE '1' END || '/' || lpad(CAST(turn AS VARCHAR), 19, '0'), '=== ' || path || ':' || turn || '-' || (turn + 1) || ' lang=rust' || CASE WHEN turn % 2 = 0 THEN ' symbols=[f(function)]' ELSE '' END || ' ===' FROM c""",
     "largest_array": """WITH x AS (SELECT DISTINCT l_orderkey, l_orderkey % 9 + 1 AS a, l_orderkey % 5 + 1 AS b FROM lineitem), y AS (SELECT l_orderkey, 2 * a + 1 AS a, 3 * b + 1 AS b FROM x)
 SELECT l_orderkey, CASE WHEN l_orderkey % 11 > 0 THEN CASE WHEN a >= b THEN 'a' ELSE 'b' END END AS key, CASE WHEN l_orderkey % 11 > 0 THEN CAST(greatest(a, b) AS BIGINT) END AS size FROM y""",
     "bundle_totals": """WITH f AS (SELECT conv_id, role, min(turn) AS pos FROM conversations WHERE role IS NOT NULL GROUP BY 1, 2), n AS (SELECT conv_id, string_agg(role, ',' ORDER BY pos NULLS FIRST, role) AS files FROM f GROUP BY 1)

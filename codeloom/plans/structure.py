@@ -39,7 +39,8 @@ def interval_overlap(s, d):
 
 
 def stabbing_first_chunk(s, d):
-    c = symbols(s, d).select("file_path").distinct().select("file_path", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    ends = symbols(s, d).groupBy("file_path").agg(F.max("line_end").alias("last"))
+    c = ends.select("file_path", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / 20).cast("int"))).alias("k"))
     c = c.select(F.col("k").cast("bigint").alias("chunk_id"), "file_path", (F.col("k") * 20 + 1).alias("start_line"), (F.col("k") * 20 + 40).alias("end_line"))
     return S.first_chunk(refs(s, d).select(F.col("from_file").alias("file_path"), "line"), c).select("file_path", "line", "chunk_id")
 
@@ -99,10 +100,10 @@ ORACLES = {
     "find_symbol_exact": _sql("SELECT * FROM symbols WHERE name = 'f42'"),
     "find_symbol_like": _sql("SELECT * FROM symbols WHERE contains(lower(qualified_name), 'brand#1.f1') AND kind = 'function'"),
     "find_refs_tail": _sql("SELECT * FROM refs WHERE to_name_tail = 'f42' UNION ALL SELECT * FROM refs WHERE to_name = 'pkg::f77' AND kind = 'call'"),
-    "file_dependencies": _sql("SELECT DISTINCT 'imports' AS direction, to_name AS name FROM refs WHERE kind = 'import' AND from_file = 'src/m7.rs'"),
-    "import_edges_or_join": _sql("SELECT DISTINCT r.from_file AS src, s.file_path AS dst FROM refs r JOIN symbols s ON s.name = r.to_name_tail OR s.qualified_name = r.to_name_tail WHERE r.kind = 'import' AND r.from_file <> s.file_path"),
+    "file_dependencies": _sql("SELECT DISTINCT 'imports' AS direction, to_name AS name FROM refs WHERE kind IN ('import', 'include') AND from_file = 'src/m7.rs' UNION ALL SELECT DISTINCT 'imported_by', from_file FROM refs WHERE kind IN ('import', 'include') AND to_name = 'src/m7.rs'"),
+    "import_edges_or_join": _sql("SELECT DISTINCT r.from_file AS src, s.file_path AS dst FROM refs r JOIN symbols s ON s.name = r.to_name_tail OR s.qualified_name = r.to_name_tail WHERE r.kind IN ('import', 'include') AND r.from_file <> s.file_path"),
     "interval_overlap": _sql("SELECT s.file_path || '#' || k AS chunk_id, qualified_name FROM symbols s JOIN (SELECT file_path, unnest(range((max(line_end) - 1) // 30 + 1)) AS k FROM symbols GROUP BY 1) c USING (file_path) WHERE s.line_start <= k * 30 + 30 AND s.line_end >= k * 30 + 1"),
-    "stabbing_first_chunk": _sql("SELECT r.from_file AS file_path, r.line, min(k) AS chunk_id FROM (SELECT DISTINCT from_file, line FROM refs WHERE from_file IN (SELECT file_path FROM symbols)) r, range(10) t(k) WHERE r.line BETWEEN k * 20 + 1 AND k * 20 + 40 GROUP BY 1, 2"),
+    "stabbing_first_chunk": _sql("SELECT r.from_file AS file_path, r.line, min(k) AS chunk_id FROM (SELECT DISTINCT from_file, line FROM refs) r JOIN (SELECT file_path, unnest(range(max(line_end) // 20 + 1)) AS k FROM symbols GROUP BY 1) c ON c.file_path = r.from_file WHERE r.line BETWEEN k * 20 + 1 AND k * 20 + 40 GROUP BY 1, 2"),
     "impact_depth2": _sql("""
 , seeds AS (SELECT DISTINCT name, qualified_name FROM symbols WHERE file_path IN ('src/m1.rs', 'src/m2.rs'))
 , r AS (SELECT * FROM refs WHERE from_file NOT IN ('src/m1.rs', 'src/m2.rs'))
