@@ -178,8 +178,8 @@ def _worker(path: str | None, leaf: int, threads: int) -> TreeBpe:
     return TreeBpe(path, leaf, threads)
 
 
-def encoded(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None, leaf: int = LEAF, threads: int = 2, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row; with_ids adds the token ids and the decoded text.
+def encoded(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None, leaf: int = LEAF, threads: int = 2, with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row; with_ids adds the token ids and the decoded text, keep further columns.
 
     path names the tokenizer's file on each machine (None: the installed default). Defined results: a null text is an
     empty one; strings of special tokens in a text become those tokens, as in the tokenizers library; repeated rows
@@ -187,6 +187,7 @@ def encoded(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = _worker(path, leaf, threads)
@@ -200,9 +201,11 @@ def encoded(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path
             names = ["n_tokens", "ids_sha256", "decoded_sha256"] + (["ids", "decoded"] if with_ids else [])
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            for c in keep:
+                out[c] = batch[f"kept_{c}"].to_numpy()
             yield out
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep]).mapInPandas(run, schema)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

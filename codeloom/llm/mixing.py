@@ -6,7 +6,7 @@ released block with the earliest deadline, so at any slot every source has had i
 less than one block. When a source is used up, a new phase begins in which the others share the slots in proportion
 to their weights. Every document gets exactly one place; none is dropped or repeated.
 
-Every source has its own weight and windows, however many there are. Sources of equal weight and equally many blocks form a class: their
+Every source has its own weight and windows, however many there are. Weights are whole parts of a period, as many as it takes to meet the targets. Sources of equal weight and equally many blocks form a class: their
 windows agree, so they take turns in one queue and are used up in the same round, at whose end they leave together. There are at most as
 many classes as sizes of sources, about the root of twice the documents without given weights.
 
@@ -29,28 +29,40 @@ from .common import table, written
 
 BLOCK = 16
 BUCKET_ROWS = 1024
-#: Without given weights, a source of n documents weighs n ** TEMPER, rounded to about this many parts in all.
+#: Without given weights, a source of n documents weighs n ** TEMPER, in whole parts: so many in all at most, or so many a source.
 TEMPER = 0.7
-PARTS = 1000
-#: Beyond so many sources, the weights are rounded to so many parts a source instead, lest most of them round to 1.
-MAX_SOURCES = 1000
+PARTS = 1 << 18
 PARTS_EACH = 8
 SEED = 7
 
 
-def tempered(sizes: Mapping[int, int], temper: float = TEMPER) -> dict[int, int]:
-    """The weight of a source by its number of documents; sizes: how many sources have that number."""
-    sources = sum(sizes.values())
-    parts = PARTS if sources <= MAX_SOURCES else PARTS_EACH * sources
-    total = sum(many * n**temper for n, many in sizes.items())
-    return {n: max(1, round(parts * n**temper / total)) for n in sizes}
+def tempered(sizes: Mapping[int, int], temper: float = TEMPER, block: int = BLOCK) -> dict[int, int]:
+    """The weight of a source by its number of documents; sizes: how many sources have that number.
+
+    The least source has 1, 2, 4, ... parts, until no source's rounding amounts to half a block over the whole schedule. Where that would take more
+    parts than the driver should list (max(PARTS, PARTS_EACH a source)), weights have as many as that.
+    """
+    exact = {n: n**temper for n in sizes}
+    total = sum(many * exact[n] for n, many in sizes.items())
+    slots = sum(many * -(-n // block) for n, many in sizes.items())
+    most = max(PARTS, PARTS_EACH * sum(sizes.values()))
+    found, least = None, 1
+    while sizes:
+        w = {n: round(least * x / min(exact.values())) for n, x in exact.items()}
+        parts = sum(many * w[n] for n, many in sizes.items())
+        if parts > most:
+            break
+        found, least = w, 2 * least
+        if all(abs(w[n] / parts - exact[n] / total) * slots < 0.5 for n in sizes):
+            break
+    return found or {n: max(1, round(most * x / total)) for n, x in exact.items()}
 
 
 def _queues(weights: Mapping, many: Mapping, rounds: Mapping) -> tuple[dict, dict, int]:
     """Earliest pseudo-deadline first until a class has had its rounds, for one period at most.
 
-    By class: the first jobs and the slots of the runs of its queue, in which job r * many + i is round r of its source i and no run crosses a round;
-    and the job that comes next. Last the slot of the end.
+    By class: the first jobs and the slots of the runs of its queue, in which job r * many + i is round r of its source i, and a run goes on as long
+    as the queue has slot after slot; and the job that comes next. Last the slot of the end.
     """
     size = sum(w * many[c] for c, w in weights.items())
     order = sorted(weights, key=lambda c: (c is None, c))
@@ -69,10 +81,10 @@ def _queues(weights: Mapping, many: Mapping, rounds: Mapping) -> tuple[dict, dic
         due, tie, r, i = heapq.heappop(ready)
         c = order[tie]
         n = min(many[c] - i, coming[0][0] - slot) if coming else many[c] - i
-        if last != (tie, r, i):
+        if last != (tie, r, i):  # another class had a slot in between
             runs[c][0].append(r * many[c] + i)
             runs[c][1].append(slot)
-        slot, last, reached[c] = slot + n, (tie, r, i + n), r * many[c] + i + n
+        slot, last, reached[c] = slot + n, (tie, r, i + n) if i + n < many[c] else (tie, r + 1, 0), r * many[c] + i + n
         if slot > due:
             raise AssertionError("a block missed its deadline")
         if i + n < many[c]:
@@ -84,8 +96,8 @@ def _queues(weights: Mapping, many: Mapping, rounds: Mapping) -> tuple[dict, dic
 
 def period(weights: Mapping) -> dict:
     """The slots of each source's blocks in one period of sum(weights) slots, by earliest pseudo-deadline first."""
-    runs, _, _ = _queues(weights, dict.fromkeys(weights, 1), dict.fromkeys(weights, math.inf))
-    return {s: slots for s, (_, slots) in runs.items()}
+    runs, reached, _ = _queues(weights, dict.fromkeys(weights, 1), dict.fromkeys(weights, math.inf))
+    return {s: [at + k for job, end, at in zip(firsts, [*firsts[1:], reached[s]], slots, strict=True) for k in range(end - job)] for s, (firsts, slots) in runs.items()}
 
 
 def phases(blocks: Mapping, weights: Mapping, many: Mapping | None = None) -> list[dict]:
@@ -146,7 +158,7 @@ def _classes(sizes: DataFrame, weights: Mapping[str | None, int] | None, block:
     given = spark.createDataFrame([("" if s is None else f"={s}", int(w)) for s, w in (weights or {}).items()], "own string, given bigint")
     sizes = sizes.join(F.broadcast(given), "own", "left").fillna(1, ["given"])
     kinds = sizes.groupBy("n", "given").agg(F.count("*").alias("many"), F.min("own").alias("least")).collect()
-    by_size = tempered({r.n: r.many for r in kinds}) if weights is None else {}
+    by_size = tempered({r.n: r.many for r in kinds}, block=block) if weights is None else {}
     kind = {(r.n, r.given): (by_size.get(r.n, r.given), -(-r.n // block)) for r in kinds}
     least: dict = {}
     for r in kinds:

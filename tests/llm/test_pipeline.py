@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from codeloom.llm import bpe, simhash
+from codeloom.llm import bpe, mixing, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -54,7 +54,31 @@ def test_stages(spark, folder, tmp_path):
     tree = bpe.TreeBpe()
     want = {i: hashlib.sha256(np.asarray(tree.encode(t), dtype="<u4").tobytes()).hexdigest() for i, t in kept["mixing"].items()}
     assert {r.doc_id: r.ids_sha256 for r in docs.collect()} == want
+    # the order of the mixture survives encoding
+    mixed = {r.row.doc_id: r.position for r in mixing.mixed(spark.read.parquet(str(tmp_path / "2"))).collect()}
+    placed = sorted((r.position, r.doc_id) for r in docs.collect())
+    assert [p for p, _ in placed] == list(range(len(mixed))) and [i for _, i in placed] == sorted(mixed, key=mixed.get)
 
 
 def test_run(spark, folder):
-    assert corpus_pipeline.run(spark, folder).count() > 150
+    """Without the mixing stage the rows would stand in the order of near-duplicate removal, which is none of the schedule's."""
+    out = corpus_pipeline.run(spark, folder).orderBy("position").collect()
+    assert len(out) > 150 and [r.position for r in out] == list(range(len(out)))
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source").collect()}
+    order = [source[r.doc_id] for r in out]
+    shares, block = {s: order.count(s) for s in set(order)}, mixing.BLOCK
+    turns = [order[k * block] for k in range(len(shares))]
+    assert sorted(turns, key=str) == sorted(shares, key=str)  # at first each source has a block
+    assert all(len(set(order[k * block : (k + 1) * block])) == 1 for k in range(len(shares)))
+
+
+def test_stages_on_odd_rows(spark, folder, tmp_path):
+    """Empty tables, very long and blank texts, rows that repeat, nulls and further columns: every stage has a result, and keeps the columns."""
+    rows = [(1, "word " * 40_000, "en", "a", 7, "x", True), (1, "word " * 40_000, "en", "a", 7, "x", True), (2, None, None, None, None, None, None), (None, " \n", "fr", "b", 2, "y", False), (3, "", None, "a", 0, None, None)]
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, position string, kept boolean")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for n, table in enumerate((odd, odd.limit(0))):
+            stage(spark, table, folder).write.parquet(str(tmp_path / f"{k}-{n}"))
+            got = spark.read.parquet(str(tmp_path / f"{k}-{n}"))
+            assert got.count() == 0 if n else got.count() <= 5
+            assert name == "bpe" or got.columns == odd.columns

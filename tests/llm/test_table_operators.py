@@ -1,3 +1,4 @@
+import bisect
 import itertools
 import random
 
@@ -41,7 +42,9 @@ def test_pfair_lag():
     placed = []
     for p in mixing.phases(blocks, {"a": 3, "b": 2, None: 5}):
         for j in range(p["last"] - p["first"] + 1):
-            placed.append(p["start"] + j // p["weight"] * p["size"] + p["slots"][j % p["weight"]])
+            whole, rest = divmod(j, p["weight"])
+            k = bisect.bisect_right(p["firsts"], rest) - 1
+            placed.append(p["start"] + whole * p["size"] + p["slots"][k] + rest - p["firsts"][k])
     assert sorted(placed) == list(range(58))
 
 
@@ -85,7 +88,7 @@ def test_more_sources_than_lanes(spark):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 1501).cast("string"))).alias("source"))
     out = mixing.mixed(docs, block=4).collect()
     assert len({r.position for r in out}) == 6000 and {r.row.doc_id for r in out} == set(range(6000))
-    assert len({r.source for r in out}) > mixing.MAX_SOURCES
+    assert len({r.source for r in out}) > 1000
     lanes = {}
     for r in out:
         lanes.setdefault(r.slot, []).append(r.source)
@@ -114,6 +117,43 @@ def test_every_source_has_its_own_windows(spark):
     assert abs(by_size[1024] / by_size[1] / 1024**0.7 - 1) < 0.1
 
 
+@pytest.mark.parametrize("small", [99, 999, 1000, 5000])
+@pytest.mark.parametrize("kinds", [(1,), (1, 1, 1, 20, 700)])
+def test_shares_meet_their_targets(small, kinds):
+    """One source of a million documents beside small ones: every share so far is within a block and a half of n ** 0.7 (or within a thousandth where sizes differ), as long as all take part."""
+    random.seed(small)
+    sizes = {1_000_000: 1}
+    for _ in range(small):
+        n = random.choice(kinds)
+        sizes[n] = sizes.get(n, 0) + 1
+    weights = mixing.tempered(sizes)
+    parts, exact = sum(weights[n] * m for n, m in sizes.items()), sum(n**0.7 * m for n, m in sizes.items())
+    blocks = {n: -(-n // mixing.BLOCK) for n in sizes}
+    plan = mixing.phases(blocks, weights, sizes)
+    first = min(p["start"] for p in plan if p["start"])  # when the first sources are used up
+    room = 0.5 if kinds == (1,) else 0.001 * first
+    assert first > 1000 and all(abs(weights[n] / parts - n**0.7 / exact) * first < room for n in sizes)
+    slots = []
+    for p in (p for p in plan if p["source"] == 1_000_000):
+        for job in range(p["first"], p["last"] + 1):
+            whole, j = divmod(job - p["first"], p["weight"])
+            k = max(bisect.bisect_right(p["firsts"], j) - 1, 0)
+            slots.append(p["start"] + whole * p["size"] + p["slots"][k] + j - p["firsts"][k])
+    assert len(slots) == 62_500 and slots == sorted(set(slots))
+    for t in range(1, first, 97):
+        assert abs(bisect.bisect_left(slots, t) - t * 1_000_000**0.7 / exact) < 1 + room
+    assert sum(len(p["firsts"]) for p in plan) < 20 * (small + 100)  # a plan of the small ones' blocks, not of the large one's
+
+
+def test_plan_of_sources_alike():
+    """Twenty sources of a large corpus: the driver lists a bounded period, whatever their number of documents."""
+    for scale in (1, 1000, 3_000_000):
+        sizes = {5000 * scale: 1} | {514 * scale + 37 * k: 1 for k in range(19)}
+        weights = mixing.tempered(sizes)
+        plan = mixing.phases({n: -(-n // mixing.BLOCK) for n in sizes}, weights, sizes)
+        assert sum(weights.values()) <= mixing.PARTS and sum(len(p["firsts"]) for p in plan) < 2 * mixing.PARTS
+
+
 def test_classes_of_sources():
     """Jobs of classes that are cut inside a round: each in its window, each slot once, a queue in order."""
     random.seed(5)
