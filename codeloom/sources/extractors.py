@@ -1,8 +1,8 @@
 """Symbols and references of source files, for eight languages, run in Python workers.
 
-Python is parsed by its own ``ast``. The other languages are scanned line by line: declarations by pattern, the end of a block by its
-braces, with strings and comments blanked out first. That covers ordinary code; it is no full grammar (macros that open
-blocks, declarations split over lines before their name, and nested templates are missed).
+Python is parsed by its own ``ast``. The declarations of the other languages are found by a scan of tokens (``declarations``); their references by
+patterns over lines, with comments blanked out first. That covers ordinary code; it is no full grammar (macros that open blocks are
+missed, and a type is listed where it is defined, not where it is named).
 """
 
 from __future__ import annotations
@@ -15,29 +15,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..schemas import REFS, SYMBOLS
+from . import declarations
 
 _ID = r"[A-Za-z_][A-Za-z0-9_]*"
-_FN_C = re.compile(rf"^\s*(?!(?:return|else|if|for|while|switch|typedef|using|new|delete|case|throw)\b)[A-Za-z_][\w\s\*&:<>,~]*?[\s\*&]((?:{_ID}::)*~?{_ID})\s*\([^;]*$")
-DECLARED = {
-    "php": [("class", rf"^\s*(?:abstract |final |readonly )*class\s+({_ID})"), ("interface", rf"^\s*interface\s+({_ID})"), ("trait", rf"^\s*trait\s+({_ID})"), ("enum", rf"^\s*enum\s+({_ID})"), ("function", rf"^\s*(?:(?:public|protected|private|static|abstract|final)\s+)*function\s+&?({_ID})"), ("constant", rf"^\s*(?:(?:public|protected|private|final)\s+)*const\s+({_ID})")],
-    "rust": [("struct", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+({_ID})"), ("enum", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+({_ID})"), ("trait", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+({_ID})"), ("function", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|const|unsafe|extern(?: \"[^\"]*\")?)\s+)*fn\s+({_ID})"), ("constant", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?({_ID})\s*:"), ("macro", rf"^\s*macro_rules!\s*({_ID})"), ("module", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+({_ID})")],
-    "go": [("struct", rf"^\s*(?:type\s+)?({_ID})\s+struct\b"), ("interface", rf"^\s*(?:type\s+)?({_ID})\s+interface\b"), ("method", rf"^func\s*\([^)]*\)\s*({_ID})"), ("function", rf"^func\s+({_ID})"), ("constant", rf"^const\s+({_ID})")],
-    "javascript": [("class", rf"^\s*(?:export\s+)?(?:default\s+)?class\s+({_ID})"), ("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*({_ID})"), ("function", rf"^\s*(?:export\s+)?(?:const|let|var)\s+({_ID})\s*=\s*(?:async\s*)?(?:\([^)]*\)|{_ID})\s*=>"), ("method", rf"^\s+(?:static\s+|async\s+|get\s+|set\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b)({_ID})\s*\([^)]*\)\s*\{{")],
-    "c": [("struct", rf"^\s*(?:typedef\s+)?struct\s+({_ID})\s*\{{"), ("enum", rf"^\s*(?:typedef\s+)?enum\s+({_ID})\s*\{{"), ("macro", rf"^\s*#\s*define\s+({_ID})"), ("function", _FN_C.pattern)],
-}
-DECLARED["typescript"] = [("interface", rf"^\s*(?:export\s+)?interface\s+({_ID})"), ("enum", rf"^\s*(?:export\s+)?(?:const\s+)?enum\s+({_ID})"), *DECLARED["javascript"]]
-DECLARED["cpp"] = [("class", rf"^\s*(?:template\s*<[^>]*>\s*)?class\s+({_ID})\s*(?:final\s*)?[:\{{]"), ("struct", rf"^\s*struct\s+({_ID})\s*(?:final\s*)?[:\{{]"), ("enum", rf"^\s*enum\s+(?:class\s+)?({_ID})"), *DECLARED["c"][2:]]
-OWNERS = {"php": ("class", "interface", "trait", "enum"), "rust": ("impl",), "go": (), "javascript": ("class",), "typescript": ("class", "interface"), "c": (), "cpp": ("class", "struct")}
-JOINS = {"php": "::", "rust": "::", "cpp": "::"}
 USED = {
-    "php": [("import", r"^\s*use\s+([\w\\]+)"), ("instantiation", r"\bnew\s+([\w\\]+)"), ("inheritance", r"\b(?:extends|implements)\s+([\w\\]+)"), ("call", rf"(?<!function )(?:->|::|\b)({_ID})\s*\(")],
-    "rust": [("import", r"^\s*(?:pub\s+)?use\s+([\w:]+)"), ("inheritance", rf"\bimpl(?:<[^>]*>)?\s+({_ID}(?:::{_ID})*)(?:<[^>]*>)?\s+for\b"), ("call", rf"(?<!fn )\b({_ID}(?:::{_ID})*)\s*\(")],
+    "php": [("instantiation", r"\bnew\s+([\w\\]+)"), ("call", rf"(?<!function )(?:->|::|\b)({_ID})\s*\(")],
+    "rust": [("import", r"^\s*(?:pub\s+)?use\s+([\w:]+)"), ("inheritance", rf"\bimpl(?:<[^>]*>)?\s+({_ID}(?:::{_ID})*)(?:<[^>]*>)?\s+for\b"), ("call", rf"(?<!fn )\b({_ID}(?:::{_ID})*)\s*\("), ("call", rf"\b(?!macro_rules\b)({_ID}(?:::{_ID})*)!\s*[\(\[\{{]")],
     "go": [("import", r'^\s*(?:import\s+)?(?:\w+\s+)?"([^"]+)"\s*$'), ("call", rf"(?<!func )\b({_ID}(?:\.{_ID})?)\s*\(")],
     "javascript": [("import", r"\bfrom\s+['\"]([^'\"]+)['\"]"), ("import", r"\brequire\(\s*['\"]([^'\"]+)['\"]"), ("instantiation", rf"\bnew\s+({_ID})"), ("inheritance", rf"\bextends\s+({_ID})"), ("call", rf"(?<!function )\b({_ID})\s*\(")],
     "c": [("include", r'^\s*#\s*include\s+(<[^>]+>|"[^"]+")'), ("call", rf"\b({_ID})\s*\(")],
 }
 USED["typescript"] = USED["javascript"]
-USED["cpp"] = [USED["c"][0], ("inheritance", rf"\b(?:class|struct)\s+{_ID}\s*:\s*(?:public|protected|private)?\s*({_ID})"), ("instantiation", rf"\bnew\s+({_ID})"), ("call", rf"\b({_ID}(?:::{_ID})*)\s*\(")]
+USED["cpp"] = [USED["c"][0], ("import", rf"^\s*using\s+(?!namespace\b|typename\b)({_ID}(?:::{_ID})*)\s*;"), ("instantiation", rf"\bnew\s+({_ID})"), ("call", rf"\b({_ID}(?:::{_ID})*)\s*\(")]
+#: Clauses that name several others, wherever their lines break: what begins one, and what kind of reference it makes.
+_NAMES = r"[\w\\:<>,\s]+?"
+CLAUSES = {
+    "php": [("inheritance", rf"\b(?:extends|implements)\s+({_NAMES})(?=\bimplements\b|\{{)")],
+    "cpp": [("inheritance", rf"\b(?:class|struct)\s+{_ID}(?:\s+final)?\s*:(?!:)({_NAMES})\{{")],
+}
 NOT_CALLS = {"if", "for", "while", "switch", "return", "catch", "sizeof", "match", "function", "elseif", "foreach", "isset", "array", "func", "fn"}
 
 
@@ -51,61 +46,9 @@ def _blank(text: str, lang: str) -> str:
     return text
 
 
-def _block_end(lines: list[str], start: int) -> int:
-    depth, opened = 0, False
-    for k in range(start, len(lines)):
-        for c in re.sub(r"'(?:\\.|[^'\\])'|\"(?:\\.|[^\"\\])*\"", "", lines[k]):
-            if c == "{":
-                depth, opened = depth + 1, True
-            elif c == "}":
-                depth -= 1
-        if opened and depth <= 0:
-            return k
-        if not opened and lines[k].rstrip().endswith(";"):
-            return k
-    return start
-
-
 def symbols_of(path: str, lang: str, text: str) -> list[tuple]:
     """(name, qualified_name, kind, file_path, line_start, line_end, col_start, col_end); lines from 1, columns from 0."""
-    if lang == "python":
-        return _python_symbols(path, text)
-    lines = _blank(text, lang).split("\n")
-    space = ""
-    owners: list[tuple[str, int, int]] = []
-    found = []
-    for k, line in enumerate(lines):
-        if lang == "php" and (m := re.match(r"\s*namespace\s+([\w\\]+)", line)):
-            space = m[1] + "\\"
-        if lang == "cpp" and (m := re.match(rf"\s*namespace\s+({_ID}(?:::{_ID})*)\s*\{{?", line)):
-            owners.append((m[1], k, _block_end(lines, k)))
-        if lang == "rust" and (m := re.match(rf"\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?({_ID})", line)):
-            owners.append((m[1], k, _block_end(lines, k)))
-        for kind, pattern in DECLARED[lang]:
-            m = re.match(pattern, line)
-            if not m or m[1] in NOT_CALLS:
-                continue
-            end = k if kind == "macro" and lang != "rust" else _block_end(lines, k)
-            around = [o for o in owners if o[1] < k <= o[2]]
-            name = m[1].split("::")[-1]
-            if kind == "function" and around and lang != "php" and (lang != "cpp" or any(o[0][:1].isupper() for o in around)):
-                kind = "method"
-            if lang == "php" and kind == "function" and around:
-                kind = "method"
-            join = JOINS.get(lang, ".")
-            if lang == "php":
-                full = space + ("\\".join([around[-1][0], name]) if around else name)
-            elif lang == "go" and kind == "method" and (r := re.match(rf"func\s*\(\s*\w*\s*\*?\s*({_ID})", line)):
-                full = f"{r[1]}.{name}"
-            elif lang == "cpp":
-                full = "::".join([*(o[0] for o in around), m[1]])
-            else:
-                full = join.join([around[-1][0], name]) if around and lang in ("rust", "javascript", "typescript") else name
-            found.append((name, full, kind, path, k + 1, end + 1, len(line) - len(line.lstrip()), len(lines[end])))
-            if kind in OWNERS[lang]:
-                owners.append((name, k, end))
-            break
-    return found
+    return _python_symbols(path, text) if lang == "python" else declarations.symbols_of(path, lang, text)
 
 
 def _python_symbols(path: str, text: str) -> list[tuple]:
@@ -151,10 +94,41 @@ def references_of(path: str, lang: str, text: str) -> list[tuple]:
                 for m in re.finditer(pattern, line):
                     if kind != "call" or m[1] not in NOT_CALLS:
                         out.append((m[1].strip('"'), kind, k + 1, m.start(1)))
+        out += _named_in_clauses(lang, _blank(text, lang))
+        if lang == "php":
+            out += _php_uses(path, _blank(text, lang), text)
     tail = re.compile(r"(?s)^.*(?:[\\/]|::)")
     return [(path, None, n, tail.sub("", n), kind, line, col) for n, kind, line, col in sorted(out, key=lambda r: (r[2], r[3]))]
 
 
+def _placed(text: str, names: list[tuple[str, int]], kind: str) -> list[tuple]:
+    return [(n, kind, text.count("\n", 0, at) + 1, at - text.rfind("\n", 0, at) - 1) for n, at in names]
+
+
+def _named_in_clauses(lang: str, text: str) -> list[tuple]:
+    """The names of a clause each, without access words and without what stands in angle brackets."""
+    out = []
+    for kind, pattern in CLAUSES.get(lang, ()):
+        for m in re.finditer(pattern, text):
+            bare = re.sub(r"<[^<>]*>", lambda g: " " * len(g[0]), re.sub(r"<[^<>]*>", lambda g: " " * len(g[0]), m[1]))
+            names = [(n[0], m.start(1) + n.start()) for n in re.finditer(r"[A-Za-z_\\][\w\\:]*", bare) if n[0] not in ("public", "private", "protected", "virtual")]
+            out += _placed(text, names, kind)
+    return out
+
+
+def _php_uses(path: str, text: str, whole: str) -> list[tuple]:
+    """``use`` inside a class is of traits, outside of namespaces, there also in groups and under other names."""
+    types = [s[4:6] for s in symbols_of(path, "php", whole) if s[2] in ("class", "trait", "enum")]
+    out = []
+    for m in re.finditer(r"(?m)^[ \t]*use\s+(?:function\s+|const\s+)?([^;({]+)(?:\{([^}]*)\})?\s*[;{]", text):
+        line = text.count("\n", 0, m.start(1)) + 1
+        inside = any(a < line <= b for a, b in types)
+        parts = [(p[1], m.start(2) + p.start(1)) for p in re.finditer(r"([\w\\]+)(?:\s+as\s+\w+)?", m[2])] if m[2] and not inside else [(p[1], m.start(1) + p.start(1)) for p in re.finditer(r"([\w\\]+)(?:\s+as\s+\w+)?", m[1])]
+        before = m[1].strip() if m[2] and not inside else ""
+        out += [(before + n, k, at, col) for n, k, at, col in _placed(text, parts, "trait_use" if inside else "import")]
+    return out
+
+
 def _mapped(files: DataFrame, extract, schema: str) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -163,7 +137,7 @@ def _mapped(files: DataFrame, extract, schema: str) -> DataFrame:
             rows = []
             for p, g, c in zip(b["path"], b["language"], b["content"], strict=True):
                 text = c.decode("utf-8", "replace") if isinstance(c, (bytes, bytearray, memoryview)) else c or ""
-                rows += extract(p, g, text) if g in DECLARED or g == "python" else []
+                rows += extract(p, g, text) if g in USED or g == "python" else []
             yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "language", "content").mapInPandas(run, schema)

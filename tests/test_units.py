@@ -262,7 +262,7 @@ SOURCES = {
     "php": ("<?php\nnamespace App\\X;\nuse App\\Y;\nclass A extends B\n{\n    public function run() { $this->go(); }\n}\nfunction top() {}\n", {("App\\X\\A", "class"), ("App\\X\\A\\run", "method"), ("App\\X\\top", "function")}, {("App\\Y", "import"), ("B", "inheritance"), ("go", "call")}),
     "rust": ("use std::fmt;\npub struct P { x: i32 }\nimpl P {\n    pub fn new() -> P { make() }\n}\nfn main() {\n}\n", {("P", "struct"), ("P::new", "method"), ("main", "function")}, {("std::fmt", "import"), ("make", "call")}),
     "go": ('package m\nimport "fmt"\ntype S struct {\n}\nfunc (s *S) Do() {\n\tfmt.Println()\n}\nfunc F() {\n}\n', {("S", "struct"), ("S.Do", "method"), ("F", "function")}, {("fmt", "import"), ("fmt.Println", "call")}),
-    "javascript": ("import x from 'm';\nclass A extends B {\n  run() {\n    return new C();\n  }\n}\nfunction f() {\n}\nconst g = (a) => a;\n", {("A", "class"), ("A.run", "method"), ("f", "function"), ("g", "function")}, {("m", "import"), ("B", "inheritance"), ("C", "instantiation")}),
+    "javascript": ("import x from 'm';\nclass A extends B {\n  run() {\n    return new C();\n  }\n}\nfunction f() {\n}\nconst g = (a) => a;\n", {("A", "class"), ("A.run", "method"), ("f", "function"), ("g", "constant")}, {("m", "import"), ("B", "inheritance"), ("C", "instantiation")}),
     "typescript": ("interface I {\n}\nenum E {\n}\nexport class A {\n}\n", {("I", "interface"), ("E", "enum"), ("A", "class")}, set()),
     "c": ('#include <stdio.h>\n#define N 3\nstruct s {\n};\nint main(void) {\n  puts("x");\n}\n', {("N", "macro"), ("s", "struct"), ("main", "function")}, {("<stdio.h>", "include"), ("puts", "call")}),
     "cpp": ("namespace n {\nclass A : public B {\n  void go() {\n  }\n};\n}\n", {("n::A", "class"), ("n::A::go", "method")}, {("B", "inheritance")}),
