@@ -36,19 +36,58 @@ def knn(chunks: DataFrame, query: Sequence[float], k: int, *, metric: str = "l2"
 
 
 def knn_many(chunks: DataFrame, queries: DataFrame, k: int, *, key: str = "chunk_id", block: int = C.QUERY_BLOCK) -> DataFrame:
-    """query_id, key, distance, rank for a table of queries (query_id, query); exact, a scan of chunks for each block of about ``block`` queries."""
-    blocks = max(1, -(-queries.count() // block))
+    """query_id, key, distance, rank for a table of queries (query_id, query); exact, a scan of chunks for each block of about ``block`` queries.
+
+    Each task multiplies its rows with a block of queries and keeps the k nearest of each query, so no pairs of rows and queries are made in Spark and k rows a
+    query and task are shuffled. Rows and queries without a vector take no part; ties go to the smaller key.
+    """
+    asked = queries.filter(F.col("query").isNotNull())
+    blocks = max(1, -(-asked.count() // block))
+    kind, id_kind = chunks.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
-    out = None
+    rows, out = chunks.filter(F.col("embedding").isNotNull()).select(F.col(key).alias("key"), "embedding"), None
     for n in range(blocks):
-        asked = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).select("query_id", "query")  # about block rows
-        x = chunks.select(key, "embedding").join(F.broadcast(asked))
-        x = x.select("query_id", key, vectors.l2(F.col("embedding"), F.col("query")).alias("distance"))
+        some = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).select("query_id", "query").collect()  # about block rows
+        x = rows.mapInPandas(_nearest([r.query_id for r in some], [list(r.query) for r in some], k), f"query_id {id_kind}, key {kind}, distance double").withColumnRenamed("key", key)
         x = x.withColumn("rank", rank).filter(F.col("rank") <= k)
         out = x if out is None else out.unionByName(x)
     return out
 
 
+def _nearest(ids: list, queries: list[list[float]], k: int, rows_each: int = 1024):
+    """A function over batches (key, embedding) that gives each query's k nearest rows of a partition.
+
+    Products of matrices tell which rows may be among them; these are measured by differences, so that equal vectors have equal distances.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        q = np.array(queries, dtype=np.float64)
+        squares = (q * q).sum(axis=1) if len(q) else q
+        best = pd.DataFrame({"q": np.zeros(0, dtype=np.int64), "distance": np.zeros(0), "key": []})
+        reach = np.full(len(q), np.inf)
+        for batch in batches if len(q) and k > 0 else ():
+            for at in range(0, len(batch), rows_each):
+                part = batch.iloc[at : at + rows_each]
+                x = np.array(part["embedding"].tolist(), dtype=np.float64)
+                own = (x * x).sum(axis=1)
+                near = squares[:, None] + own[None, :] - 2.0 * (q @ x.T)
+                slack = 1e-9 * (squares + own.max() + 1.0)
+                kth = np.partition(near, k - 1, axis=1)[:, k - 1] if len(x) >= k else np.full(len(q), np.inf)
+                i, j = np.nonzero(near <= (np.minimum(kth, reach) + slack)[:, None])
+                apart = x[j] - q[i]
+                found = pd.DataFrame({"q": i, "distance": np.sqrt((apart * apart).sum(axis=1)), "key": part["key"].to_numpy()[j]})
+                best = pd.concat([best, found], ignore_index=True).sort_values(["q", "distance", "key"]).groupby("q").head(k)
+                full = best.groupby("q")["distance"].agg(["size", "max"])
+                full = full[full["size"] >= k]
+                reach[full.index.to_numpy(dtype=np.int64)] = full["max"].to_numpy() ** 2
+        yield pd.DataFrame({"query_id": [ids[n] for n in best["q"]], "key": best["key"].tolist(), "distance": best["distance"].to_numpy()})
+
+    return run
+
+
 def postings(chunks: DataFrame, *, key: str = "chunk_id", content: str = "content") -> DataFrame:
     """(term, key, tf, doc_len)."""
     x = chunks.select(key, text.search_tokens(F.coalesce(F.col(content), F.lit(""))).alias("t"))

@@ -222,6 +222,27 @@ def test_stream_of_files(spark, store, tmp_path):
     assert {r.term: r.df for r in inverted.document_frequency(X.postings(last), ["a2", "b", "old"]).collect()} == {"a2": 1}
 
 
+def test_many_neighbours_against_all_pairs(spark):
+    import math
+    import random
+
+    random.seed(9)
+    vec = lambda: [float(random.randint(0, 2)) for _ in range(6)]
+    rows = [(k, vec()) for k in range(3000)] + [(9000, None)]
+    asked = [(k, vec()) for k in range(40)] + [(99, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, embedding array<float>").repartition(4)
+    queries = spark.createDataFrame(asked, "query_id int, query array<float>")
+    for k, block in ((1, 2048), (7, 16), (4000, 2048)):
+        got = {}
+        for r in retrieval.knn_many(chunks, queries, k, block=block).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = (round(r.distance, 9), r.chunk_id)
+        for n, q in asked[:-1] if k < 100 else asked[:3]:
+            want = sorted((round(math.dist(q, v), 9), c) for c, v in rows if v is not None)[:k]
+            assert [got[n][i + 1] for i in range(len(want))] == want
+        assert 99 not in got
+    assert retrieval.knn_many(chunks, queries.limit(0), 3).count() == 0 and retrieval.knn_many(chunks.limit(0), queries, 3).count() == 0
+
+
 def test_chunk_ids_differ(spark):
     text = "\n\n".join(f"paragraph {k} " + "x" * 300 for k in range(20))
     files = _files(spark, long_rs=text)
