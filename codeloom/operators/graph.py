@@ -43,6 +43,39 @@ def impact(symbols: DataFrame, refs: DataFrame, seeds: DataFrame, *, depth: int
     return out.filter(paths.file_category(F.col("file_path")) == "source") if source_only else out
 
 
+def impact_analysis(symbols: DataFrame, refs: DataFrame, hint: str, *, is_file: bool | None = None, depth: int = 2, source_only: bool = False) -> DataFrame:
+    """(file_path, distance, category, n_reasons, reasons): what a change of a file or a symbol reaches, nearest first, then by the number of reasons.
+
+    A hint with a slash or a dot is a file, unless is_file says so or not. A reason is a reference (via_symbol, kind, line); a file has ten at most, those of
+    the nearest steps first. References from the target's own files don't count. Nothing is reached from a target without symbols.
+    """
+    from . import structural
+
+    file = is_file if is_file is not None else "/" in hint or "." in hint
+    seeds = symbols.filter(F.col("file_path") == hint) if file else structural.find_symbols(symbols, hint)
+    origins = seeds.select(F.col("file_path").alias("from_file")).distinct()
+    used = refs.select("from_file", "to_name_tail", "kind", "line").join(origins, "from_file", "left_anti")
+    frontier = seeds.select("name", "qualified_name").distinct()
+    visited, hits = frontier.select("qualified_name"), None
+    for step in range(1, depth + 1):
+        found = frontier.select(F.col("name").alias("via_symbol")).distinct().join(used, F.col("via_symbol") == used["to_name_tail"]).select("from_file", "via_symbol", "kind", "line")
+        now = found.withColumn("distance", F.lit(step))
+        hits = now if hits is None else hits.unionByName(now)
+        if step == depth:
+            break
+        at = found.select(F.col("from_file").alias("file_path"), "line").distinct()
+        around = at.join(symbols.select("file_path", "name", "qualified_name", "line_start", "line_end"), "file_path").filter(F.col("line").between(F.col("line_start"), F.col("line_end")))
+        frontier = around.select("name", "qualified_name").distinct().join(visited, "qualified_name", "left_anti")
+        visited = visited.unionByName(frontier.select("qualified_name"))
+    each = hits.groupBy("from_file", "via_symbol", "kind", "line").agg(F.min("distance").alias("distance"))
+    rank = F.row_number().over(Window.partitionBy("from_file").orderBy("distance", "via_symbol", "line", "kind"))
+    few = each.withColumn("r", rank).filter(F.col("r") <= C.MAX_REASONS)
+    out = few.groupBy(F.col("from_file").alias("file_path")).agg(F.min("distance").alias("distance"), F.count("*").alias("n_reasons"), F.array_sort(F.collect_list(F.struct("r", "via_symbol", "kind", "line"))).alias("x"))
+    reasons = F.transform("x", lambda e: F.struct(e["via_symbol"].alias("via_symbol"), e["kind"].alias("kind"), e["line"].alias("line")))
+    out = out.select("file_path", "distance", paths.file_category(F.col("file_path")).alias("category"), "n_reasons", reasons.alias("reasons"))
+    return in_impact_order(out.filter("category = 'source'") if source_only else out)
+
+
 def in_impact_order(found: DataFrame) -> DataFrame:
     """The nearest first, then those with more reasons."""
     return found.orderBy("distance", F.desc("n_reasons"), "file_path")

@@ -114,6 +114,30 @@ def bundle_ingest(s, d):
     return x.select("bundle", "part", F.array_join("at", "/").alias("at"), F.substring_index("line", "\n", 1).alias("line"))
 
 
+def usage_verdict(s, d):
+    """Documents as the outputs of calls, their sources as tools; one rule saves a fifth of long outputs, another a tenth of all but short ones."""
+    x = table(s, d, "documents").select(F.coalesce("source", F.lit("?")).alias("tool"), F.coalesce("n_chars", F.lit(0)).alias("size"), "text")
+    x = x.withColumn("a", F.when(F.col("size") > 1000, F.floor(F.col("size") * 0.8)).otherwise(F.col("size") + 5)).withColumn("b", F.when(F.col("size") > 200, F.floor(F.col("size") * 0.9)).otherwise(F.col("size")))
+    summary = O.usage_summary(x, "tool", "size", ["a", "b"], text="text")
+    v = O.usage_verdict(summary, "tool")
+    return v.select("calls", "bytes", F.round("saved_percent", 6).alias("saved_percent"), "top_tool", F.round("top_percent", 6).alias("top_percent"), "verdict", "targeted")
+
+
+def harness_summary(s, d):
+    """Conversations as tasks: the roles of their turns as tools, the last text as the answer, which should name a word of the first."""
+    c = table(s, d, "conversations").filter("conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m"))
+    t = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "m.role"))).alias("x"), F.max_by("m.text", "turn").alias("answer"), F.min_by("m.text", "turn").alias("first"))
+    t = t.select((F.col("conv_id") % 4).alias("g"), F.col("x.role").alias("tools"), "answer", F.slice(F.split(F.coalesce("first", F.lit("")), " "), 1, 3).alias("expected"), (F.col("conv_id") % 7).cast("double").alias("cost"), F.lit(None).cast("double").alias("duration"))
+    x = O.harness_summary(t, "user", ["g"])
+    return x.select("g", "tasks", *[F.round(c, 6).alias(c) for c in ("first", "any", "found", "mean_calls", "cost", "duration")])
+
+
+def eval_corpus(s, d):
+    """Parts as cases: entries with distinct ids for names that repeat."""
+    x = table(s, d, "part").select(F.concat(F.lit('Find "'), "p_brand", F.lit("\\ "), F.col("p_size").cast("string"), F.lit('" now!')).alias("query"), "p_partkey", F.array(F.concat(F.lit("src/f"), F.col("p_partkey").cast("string"), F.lit(".rs")), F.lit("b.rs")).alias("files"))
+    return O.corpus_lines(O.case_ids(x, "query", ["p_partkey"]), "query", "files")
+
+
 def bundle_totals(s, d):
     x = O.bundle_totals(table(s, d, "conversations").filter("role is not null"), ["conv_id"], "turn", "role", "text")
     return x.withColumn("files", F.array_join("files", ","))
@@ -156,7 +180,7 @@ def knn_constrained(s, d):
 
 QUERIES = {f.__name__: f for f in (
     search_questions, identifier_patterns, mentioned_paths, eval_cases, normalized_paths, reads_after, selection_rates, subject_union, duplicate_audit, log_rotation,
-    largest_array, response_budget, bundle_ingest, bundle_totals, symbols_of_files, bytes_and_ages, numeric_coercion, target_kinds, vec_shape, knn_constrained,
+    largest_array, response_budget, bundle_ingest, usage_verdict, harness_summary, eval_corpus, bundle_totals, symbols_of_files, bytes_and_ages, numeric_coercion, target_kinds, vec_shape, knn_constrained,
 )}
 
 
@@ -197,6 +221,17 @@ SELECT count(*) AS sessions, count(*) FILTER (WHERE own > 0) AS sessions_with_ow
     "subject_union": "SELECT l_orderkey, string_agg(x, ',' ORDER BY x) AS subjects FROM (SELECT DISTINCT l_orderkey, CAST(unnest([l_partkey, l_suppkey]) AS VARCHAR) AS x FROM lineitem) GROUP BY 1",
     "duplicate_audit": "SELECT l_partkey, l_suppkey, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
     "log_rotation": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3",
+    "usage_verdict": r"""WITH x AS (SELECT coalesce(source, '?') AS tool, coalesce(n_chars, 0) AS size, coalesce(regexp_matches(text, '^(MCP error|Error:|Exit code \d+)'), false) AS failed FROM documents),
+y AS (SELECT *, CASE WHEN failed THEN 0 ELSE greatest(0, size - least(CASE WHEN size > 1000 THEN floor(size * 0.8) ELSE size + 5 END, CASE WHEN size > 200 THEN floor(size * 0.9) ELSE size END)) END AS saved FROM x),
+t AS (SELECT tool, sum(size) AS b FROM y GROUP BY 1 ORDER BY b DESC, tool DESC LIMIT 1), n AS (SELECT count(*) AS calls, CAST(sum(size) AS BIGINT) AS bytes, 100.0 * sum(saved) / sum(size) AS p FROM y)
+SELECT calls, bytes, round(CAST(p AS DOUBLE), 6) AS saved_percent, tool AS top_tool, round(CAST(100.0 * b / bytes AS DOUBLE), 6) AS top_percent, CASE WHEN calls < 20 THEN 'inconclusive' WHEN p < 10 THEN 'not worth it' WHEN p < 25 THEN 'marginal' ELSE 'promote' END AS verdict, 100.0 * b / bytes > 80 AS targeted FROM n, t""",
+    "harness_summary": """WITH c AS (SELECT conv_id, turn, min((role, text)) AS m FROM conversations WHERE role IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT conv_id, list(m[1] ORDER BY turn) AS tools, coalesce(arg_max(m[2], turn), '') AS answer, string_split(coalesce(arg_min(m[2], turn), ''), ' ')[1:3] AS expected FROM c GROUP BY 1)
+SELECT conv_id % 4 AS g, count(*) AS tasks, round(avg(CAST(starts_with(tools[1], 'user') AS DOUBLE)), 6) AS first, round(avg(CAST(len(list_filter(tools, lambda r: starts_with(r, 'user'))) > 0 AS DOUBLE)), 6) AS any,
+  round(avg(CAST(len(list_filter(expected, lambda p: trim(p) <> '' AND contains(answer, p))) > 0 AS DOUBLE)), 6) AS found, round(avg(len(tools)), 6) AS mean_calls, round(sum(CAST(conv_id % 7 AS DOUBLE)), 6) AS cost, 0.0::DOUBLE AS duration FROM t GROUP BY 1""",
+    "eval_corpus": r"""WITH x AS (SELECT p_partkey AS k, 'Find "' || p_brand || '\ ' || p_size || '" now!' AS query FROM part), y AS (SELECT *, trim(regexp_replace(lower(query), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM x),
+z AS (SELECT *, 'session-' || slug || CASE WHEN row_number() OVER (PARTITION BY slug ORDER BY k) > 1 THEN '-' || row_number() OVER (PARTITION BY slug ORDER BY k) ELSE '' END AS case_id FROM y)
+SELECT case_id, '  - id: ' || case_id || chr(10) || '    source: session' || chr(10) || '    query: "' || replace(replace(query, '\', '\\'), '"', '\"') || '"' || chr(10) || '    expected_files:' || chr(10) || '      - src/f' || k || '.rs' || chr(10) || '      - b.rs' AS text FROM z""",
     "response_budget": """WITH x AS (SELECT DISTINCT l_orderkey AS k FROM lineitem),
 y AS (SELECT k, list_transform(range(1, k % 19 + 2), lambda v: CAST(v AS VARCHAR)) AS a, list_transform(range(100, 101 + k % 25), lambda v: CAST(v AS VARCHAR)) AS b, repeat('y', CAST(k % 120 AS INTEGER)) AS t FROM x),
 z AS (SELECT *, length(array_to_string(a, ',')) + 2 AS la, length(array_to_string(b, ',')) + 2 AS lb FROM y),

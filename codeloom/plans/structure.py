@@ -52,6 +52,13 @@ def impact_depth2(s, d):
     return G.impact(sy, refs(s, d), seeds, depth=2, origins=origins).select("file_path", "distance", "n_reasons")
 
 
+def impact_analysis(s, d):
+    """What a file and a symbol reach, with their reasons."""
+    told = lambda hint, x: x.select(F.lit(hint).alias("hint"), "file_path", "distance", "category", "n_reasons", F.array_join(F.transform("reasons", lambda r: F.concat_ws(":", r["via_symbol"], r["kind"], r["line"].cast("string"))), ",").alias("reasons"))
+    parts = [told(h, G.impact_analysis(symbols(s, d), refs(s, d), h)) for h in ("src/m1.rs", "f42", "nowhere")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def scc_cycles(s, d):
     return G.components(import_graph(s, d))
 
@@ -88,7 +95,7 @@ def _sql(body: str) -> str:
 
 QUERIES = {
     "find_symbol_exact": find_symbol_exact, "find_symbol_like": find_symbol_like, "find_refs_tail": find_refs_tail, "file_dependencies": file_dependencies,
-    "import_edges_or_join": import_edges, "interval_overlap": interval_overlap, "stabbing_first_chunk": stabbing_first_chunk, "impact_depth2": impact_depth2,
+    "import_edges_or_join": import_edges, "interval_overlap": interval_overlap, "stabbing_first_chunk": stabbing_first_chunk, "impact_depth2": impact_depth2, "impact_analysis": impact_analysis,
     "scc_cycles": scc_cycles, "scc_coloured": scc_coloured, "orphan_anti_join": orphan_anti_join, "hash_delta": hash_delta, "name_tail": name_tail, "table_counts": table_counts,
 }
 _SCC = f"""WITH RECURSIVE {IMPORTS_SQL}, reach(a, b) AS (SELECT src, dst FROM edges UNION SELECT reach.a, edges.dst FROM reach JOIN edges ON reach.b = edges.src),
@@ -111,6 +118,16 @@ ORACLES = {
 , f2 AS (SELECT DISTINCT s.name FROM h1 JOIN symbols s ON s.file_path = h1.from_file AND h1.line BETWEEN s.line_start AND s.line_end WHERE s.qualified_name NOT IN (SELECT qualified_name FROM seeds))
 , h2 AS (SELECT DISTINCT r.from_file, f2.name FROM r JOIN f2 ON r.to_name_tail = f2.name)
 SELECT from_file AS file_path, min(d) AS distance, count(DISTINCT name) AS n_reasons FROM (SELECT from_file, name, 1 AS d FROM h1 UNION ALL SELECT from_file, name, 2 FROM h2) GROUP BY 1""").replace(") \n,", ")\n,"),
+    "impact_analysis": _sql("""
+, asked AS (SELECT * FROM (VALUES ('src/m1.rs'), ('f42')) v(hint))
+, seeds AS (SELECT DISTINCT hint, name, qualified_name, file_path FROM asked JOIN symbols s ON s.file_path = hint OR s.name = hint)
+, r AS (SELECT a.hint, refs.* FROM asked a, refs WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.hint = a.hint AND s.file_path = from_file))
+, h1 AS (SELECT DISTINCT r.hint, r.from_file, r.line, r.kind, s.name, 1 AS d FROM r JOIN seeds s ON s.hint = r.hint AND r.to_name_tail = s.name)
+, f2 AS (SELECT DISTINCT h1.hint, s.name FROM h1 JOIN symbols s ON s.file_path = h1.from_file AND h1.line BETWEEN s.line_start AND s.line_end WHERE (h1.hint, s.qualified_name) NOT IN (SELECT (hint, qualified_name) FROM seeds))
+, h2 AS (SELECT DISTINCT r.hint, r.from_file, r.line, r.kind, f2.name, 2 AS d FROM r JOIN f2 ON f2.hint = r.hint AND r.to_name_tail = f2.name)
+, e AS (SELECT hint, from_file, name, kind, line, min(d) AS d FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY ALL)
+, k AS (SELECT *, row_number() OVER (PARTITION BY hint, from_file ORDER BY d, name, line, kind) AS rk FROM e)
+SELECT hint, from_file AS file_path, min(d) AS distance, 'source' AS category, count(*) AS n_reasons, string_agg(name || ':' || kind || ':' || line, ',' ORDER BY rk) AS reasons FROM k WHERE rk <= 10 GROUP BY 1, 2""").replace(") \n,", ")\n,"),
     "scc_cycles": _SCC,
     "scc_coloured": _SCC,
     "orphan_anti_join": f"WITH {_CHUNKS} SELECT path FROM chunk WHERE language = 'de' OR language IS NULL",
