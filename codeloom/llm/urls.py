@@ -106,8 +106,10 @@ def url_filter(
     told = nodes.join(roots, nodes["key"] == roots["node"]).select("key", "root", "own")
     blocked = told.groupBy("root").agg(F.max(F.col("own") == "block").alias("block"), F.max(F.col("own") == "allow").alias("allow"))
     blocked = blocked.filter("block and not coalesce(allow, false)").select("root")
-    aliases = written(told.join(blocked, "root").select("key").distinct(), "url-blocked").withColumn("alias", F.lit("block"))
-    return out.join(aliases, "key", "left").select("row", "host", "path", "rule", F.coalesce("own", "alias", F.lit("allow")).alias("verdict"))
+    aliases = written(told.join(blocked, "root").select("key").distinct(), "url-blocked").select("key", F.lit(0).cast("bigint").alias("salt"), F.lit("block").alias("alias"))
+    # pages without a host have no alias; a salt keeps them from meeting in one task
+    salt = F.when(F.col("key").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(4096))).otherwise(F.lit(0).cast("bigint"))
+    return out.withColumn("salt", salt).join(aliases, ["key", "salt"], "left").select("row", "host", "path", "rule", F.coalesce("own", "alias", F.lit("allow")).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,6 +192,39 @@ def test_urls_against_sql(spark):
     assert urls.url_filter(far, more).first().verdict == "block"
 
 
+def test_urls_of_a_large_graph(spark):
+    """Thousands of edges: a chain of 400 redirects, a hub of 1,500 canonical links, random groups, and pages without a host; against union-find over all edges."""
+    random.seed(8)
+    chain = [(f"http://c{k}.com/", f"http://c{k + 1}.com/") for k in range(400)] + [("http://c400.com/", "http://end.net/")]
+    hub = [(f"http://h{k}.com/", "http://hub.com/") for k in range(1500)]
+    groups = [(f"http://g{random.randrange(2500)}.com/", f"http://g{random.randrange(2500)}.{random.choice(['com', 'com', 'com', 'net', 'org'])}/fr/") for _ in range(1500)]
+    edges = chain + hub + groups + [("http://h7.com/", None)]
+    urls_of = sorted({u for e in edges for u in e if u} | {f"http://alone{k}.com/" for k in range(50)})
+    pages = [(k, u, None) for k, u in enumerate(urls_of)] + [(100_000 + k, None if k % 2 else "nowhere", None) for k in range(300)]
+    parent: dict = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if b:
+            parent[find(a)] = find(b)
+    host = lambda u: u.split("/")[2]
+    own = lambda u: "block" if host(u).endswith(".net") else "allow" if host(u).endswith(".org") and u.split("/", 3)[3].startswith("fr/") else None
+    said: dict = {}
+    for u in parent:
+        said.setdefault(find(u), set()).add(own(u))
+    bad = {r for r, v in said.items() if "block" in v and "allow" not in v}
+    want = {k: "allow" if not u or "://" not in u else own(u) or ("block" if u in parent and find(u) in bad else "allow") for k, u, _ in pages}
+    out = urls.url_filter(spark.createDataFrame(pages, "page_id bigint, url string, html string"), spark.createDataFrame(edges, "from_url string, to_url string"), keep=["page_id"])
+    got = {r.page_id: r.verdict for r in out.select("row.page_id", "verdict").collect()}
+    assert got == want and sum(v == "block" for v in want.values()) > 500 and got[urls_of.index("http://c0.com/")] == "block" and got[urls_of.index("http://hub.com/")] == "allow"
+
+
 # costs by hand: placing a turn of a role in a state, as (from, to): (inserted turns, merged)
 BY_HAND = {
     ("start", "system"): (0, False), ("start", "user"): (0, False), ("start", "assistant"): (1, False),
