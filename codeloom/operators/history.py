@@ -222,18 +222,20 @@ def assess_risk(asked: DataFrame, history: DataFrame, pairs: DataFrame, dependen
 
 def cluster_by_directory(assessed: DataFrame) -> DataFrame:
     """Directories with five or more files of a patch, in order: how many, the three riskiest, and how many are left out."""
-    by = Window.partitionBy("dir").orderBy(F.desc(even("score")), "path")
-    x = assessed.select("path", "score", paths.dirname(F.col("path")).alias("dir")).withColumn("rank", F.row_number().over(by))
-    shown = F.sort_array(F.collect_list(F.when(F.col("rank") <= C.CLUSTER_SHOWN, F.struct("rank", "path", "score"))))
-    out = x.groupBy("dir").agg(F.count("*").alias("files"), F.max("score").alias("max_score"), F.avg("score").alias("mean_score"), shown.alias("top"))
-    return out.filter(F.col("files") >= C.CLUSTER_FROM).withColumn("omitted", F.col("files") - F.size("top")).orderBy("dir")
+    x = scratch.settled(assessed, "assessed").select("path", "score", paths.dirname(F.col("path")).alias("dir"))
+    sums = x.groupBy("dir").agg(F.count("*").alias("files"), F.max("score").alias("max_score"), F.avg("score").alias("mean_score")).filter(F.col("files") >= C.CLUSTER_FROM)
+    # only the first of each task's files of a directory are ranked
+    few = x.withColumn("rank", F.row_number().over(Window.partitionBy("dir").orderBy(F.desc(even("score")), "path"))).filter(F.col("rank") <= C.CLUSTER_SHOWN)
+    top = few.groupBy("dir").agg(F.sort_array(F.collect_list(F.struct("rank", "path", "score"))).alias("top"))
+    return sums.join(top, "dir").withColumn("omitted", F.col("files") - F.size("top")).orderBy("dir")
 
 
 def shown_files(assessed: DataFrame) -> DataFrame:
     """The files of a patch that a report lists, in the order of their directories: of a clustered directory only the riskiest."""
-    d = Window.partitionBy("dir")
-    x = assessed.withColumn("dir", paths.dirname(F.col("path"))).withColumn("in_dir", F.count("*").over(d)).withColumn("rank", F.row_number().over(d.orderBy(F.desc(even("score")), "path")))
-    return x.filter((F.col("in_dir") < C.CLUSTER_FROM) | (F.col("rank") <= C.CLUSTER_SHOWN)).orderBy("dir", "path").drop("in_dir", "rank")
+    x = scratch.settled(assessed, "assessed").withColumn("dir", paths.dirname(F.col("path")))
+    sizes = x.groupBy("dir").agg(F.count("*").alias("in_dir"))
+    few = x.withColumn("rank", F.row_number().over(Window.partitionBy("dir").orderBy(F.desc(even("score")), "path"))).filter(F.col("rank") <= max(C.CLUSTER_FROM - 1, C.CLUSTER_SHOWN))
+    return few.join(sizes, "dir").filter((F.col("in_dir") < C.CLUSTER_FROM) | (F.col("rank") <= C.CLUSTER_SHOWN)).orderBy("dir", "path").select(*x.columns)
 
 
 def risk_rollup(assessed: DataFrame) -> DataFrame:
