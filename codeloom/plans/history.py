@@ -110,6 +110,14 @@ def primary_tests(s, d):
     return H.recommend_tests(hist.select("path"), hist, H.co_changes(_kept(s, d), NOW)).select("test", "kind")
 
 
+def recommended_tests(s, d):
+    """Tests for all sources, where those of one directory are known by their co-changes only: most coupled tests are primary ones already."""
+    ix = _indexed(s, d)
+    known = ix.history.filter(~F.col("path").startswith("tests/d7/"))
+    asked = ix.history.select("path").filter(F.col("path").startswith("src/"))
+    return H.recommend_tests(asked, known, ix.pairs()).select("test", "kind", F.round("weight", 6).alias("weight"))
+
+
 def coupling_report(s, d):
     kept = _kept(s, d)
     hist = H.file_history(kept, NOW)
@@ -182,7 +190,7 @@ def _sql(body: str, key: str = "l_partkey") -> str:
 
 QUERIES = {f.__name__: f for f in (
     soft_skip_filter, file_churn, co_change_pairs, co_change_topn, churn_percentile, fix_ratio, risk_score, risk_rollup, risk_diff, cycles_of_patch, dir_cluster, shown_files, coupled_tests,
-    primary_tests, coupling_report, incremental_equals_batch, incremental_pairs, gated_pairs, history_stats, decayed_later, file_category, glob_filter, log_parse, ignored_paths,
+    primary_tests, recommended_tests, coupling_report, incremental_equals_batch, incremental_pairs, gated_pairs, history_stats, decayed_later, file_category, glob_filter, log_parse, ignored_paths,
 )}
 
 _S = "l_suppkey"
@@ -214,6 +222,8 @@ SELECT files, round(coalesce(top, 0), 6) AS max_score, max_risk_file, cycles, la
     "shown_files": _sql("SELECT dir, path, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY round(score, 9) DESC, path) AS r, count(*) OVER (PARTITION BY dir) AS n FROM (SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir FROM scored)) WHERE n < 5 OR r <= 3", _S),
     "coupled_tests": _sql("SELECT file AS test, 'coupled' AS kind, round(max(weight), 6) AS weight FROM top WHERE path LIKE '%.py' AND starts_with(file, 'tests/') GROUP BY 1", _S),
     "primary_tests": _sql("SELECT path AS test, 'primary' AS kind FROM history WHERE starts_with(path, 'tests/')"),
+    "recommended_tests": _sql("""SELECT path AS test, 'primary' AS kind, NULL::DOUBLE AS weight FROM history WHERE starts_with(path, 'tests/') AND NOT starts_with(path, 'tests/d7/')
+UNION ALL SELECT file, 'coupled', round(max(weight), 6) FROM top WHERE starts_with(path, 'src/') AND starts_with(file, 'tests/') AND file NOT IN (SELECT path FROM history WHERE starts_with(path, 'tests/') AND NOT starts_with(path, 'tests/d7/')) GROUP BY 1""", _S),
     "coupling_report": _sql("""SELECT h.path, coalesce(n, 0) AS n_coupled, files, h.total_commits AS file_commits,
   CASE WHEN n IS NOT NULL THEN '' WHEN h.total_commits < 3 THEN 'only ' || h.total_commits || ' commit(s) are known; a pair needs 3' ELSE h.total_commits || ' commits, but no pair reaches 3; the file changes alone' END AS note
 FROM history h LEFT JOIN (SELECT path, count(*) AS n, string_agg(file, ',' ORDER BY rk) AS files FROM top WHERE rk <= 10 GROUP BY 1) c ON c.path = h.path"""),
