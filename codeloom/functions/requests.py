@@ -19,6 +19,9 @@ SEARCH_SIGNALS = (
     "understand", "explain", "figure out", "investigate", "check", "review", "analyze", "explore",
 )
 SHORTEST_SEARCH, LONGEST_SEARCH = 15, 500
+# fixed values: what a response that was cut tells its reader, where it is a list and where it is an object
+CUT_LIST = "output exceeded budget; refine query, narrow scope (paths/language), or call with offset to paginate"
+CUT_OBJECT = "output exceeded budget; refine query or narrow scope"
 
 
 def _literal(words: tuple[str, ...]) -> str:
@@ -132,8 +135,7 @@ def capped(json: Column, kind: str, budget_tokens: int = BUDGET_CHARS // 4) -> C
         return F.concat(*about)
 
     def cut_array(items: Column) -> Column:
-        hint = "output exceeded budget; refine query, narrow scope (paths/language), or call with offset to paginate"
-        return _let(_kept_items(items, budget), lambda left: F.concat(F.lit('{"_meta":'), meta(items, left, hint), F.lit(',"results":'), written(left), F.lit("}")))
+        return _let(_kept_items(items, budget), lambda left: F.concat(F.lit('{"_meta":'), meta(items, left, CUT_LIST), F.lit(',"results":'), written(left), F.lit("}")))
 
     def cut_object(text: Column, longest: Column) -> Column:
         entries = F.array_sort(F.transform(F.map_entries(F.from_json(text, "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("text"))))
@@ -142,7 +144,7 @@ def capped(json: Column, kind: str, budget_tokens: int = BUDGET_CHARS // 4) -> C
 
         def rebuilt(its: Column, left: Column) -> Column:
             fields = F.filter(F.transform(entries, lambda e: F.when(e["key"] == longest["key"], F.struct(e["key"].alias("key"), written(left).alias("text"))).otherwise(e)), lambda e: e["key"] != "_meta")
-            about = F.struct(F.lit("_meta").alias("key"), meta(its, left, "output exceeded budget; refine query or narrow scope", longest["key"]).alias("text"))
+            about = F.struct(F.lit("_meta").alias("key"), meta(its, left, CUT_OBJECT, longest["key"]).alias("text"))
             return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.concat(fields, F.array(about))), lambda e: F.concat(text_of(e["key"]), F.lit(":"), e["text"])), ","), F.lit("}"))
 
         return _let(items, lambda its: _let(left_of(its), lambda left: rebuilt(its, left)))

@@ -81,12 +81,17 @@ def symbols_of_files(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return mine.withColumn("n", F.row_number().over(Window.partitionBy("file_path").orderBy("line_start", "line_end", "name")))
 
 
+# fixed values: how the output of a failed call begins; calls, shares saved and a tool's share at which the verdict changes
+FAILED_OUTPUT = r"^(?:MCP error|Error:|Exit code \d+)"
+FEWEST_CALLS, WORTH_PERCENT, PROMOTE_PERCENT, ONE_TOOL_PERCENT = 20, 10.0, 25.0, 80.0
+
+
 def usage_summary(calls: DataFrame, tool: str, size: str, rules: Sequence[str], *, text: str | None = None) -> DataFrame:
     """Per tool and in all (tool null): calls, bytes, errors, what each rule would save, and what the best rule of each call would save (``structured_best``).
 
     rules name columns with the size that a call's output would have under each rule. Errors are counted, but save nothing; a rule that makes an output longer saves nothing.
     """
-    failed = F.coalesce(F.col(text).rlike(r"^(?:MCP error|Error:|Exit code \d+)"), F.lit(False)) if text else F.lit(False)
+    failed = F.coalesce(F.col(text).rlike(FAILED_OUTPUT), F.lit(False)) if text else F.lit(False)
     saved = lambda after: F.sum(F.when(failed, F.lit(0)).otherwise(F.greatest(F.lit(0), F.col(size) - after)).cast("bigint"))
     best = F.least(*[F.col(r) for r in rules]) if len(rules) > 1 else F.col(rules[0])
     sums = [F.count("*").alias("calls"), F.sum(F.col(size).cast("bigint")).alias("bytes"), F.sum(failed.cast("bigint")).alias("errors"), *[saved(F.col(r)).alias(f"saved_{r}") for r in rules], saved(best).alias("structured_best")]
@@ -105,8 +110,8 @@ def usage_verdict(summary: DataFrame, tool: str) -> DataFrame:
     x = total.join(top)
     share = F.when(F.col("bytes") > 0, 100.0 * F.col("structured_best") / F.col("bytes")).otherwise(0.0)
     top_share = F.when(F.col("bytes") > 0, 100.0 * F.col("t.bytes") / F.col("bytes")).otherwise(0.0)
-    verdict = F.when(F.col("calls") < 20, "inconclusive").when(share < 10.0, "not worth it").when(share < 25.0, "marginal").otherwise("promote")
-    return x.select("calls", "bytes", share.alias("saved_percent"), F.col(f"t.{tool}").alias("top_tool"), top_share.alias("top_percent"), verdict.alias("verdict"), (top_share > 80.0).alias("targeted"))
+    verdict = F.when(F.col("calls") < FEWEST_CALLS, "inconclusive").when(share < WORTH_PERCENT, "not worth it").when(share < PROMOTE_PERCENT, "marginal").otherwise("promote")
+    return x.select("calls", "bytes", share.alias("saved_percent"), F.col(f"t.{tool}").alias("top_tool"), top_share.alias("top_percent"), verdict.alias("verdict"), (top_share > ONE_TOOL_PERCENT).alias("targeted"))
 
 
 def harness_summary(tasks: DataFrame, prefix: str, by: Sequence[str] = ()) -> DataFrame:
