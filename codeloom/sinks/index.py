@@ -150,6 +150,16 @@ def compacted(store: Store, *, files_each: int = 16) -> Snapshot:
         raise
 
 
+def cleanup(store: Store, keep: str, *, prefix: str = "chunks_", dry_run: bool = False) -> list[str]:
+    """Drops the tables of other embedding models than the one to keep (``names.model_table_name``); lists them only, if dry_run. A vacuum frees their space."""
+    gone = [n for n in store.open().names() if n.startswith(prefix) and n != keep]
+    if gone and not dry_run:
+        batch = store.begin()
+        batch.drop(*gone)
+        batch.commit()
+    return gone
+
+
 def status(snapshot: Snapshot) -> DataFrame:
     """(table_name, n) of live rows, 0 for tables that are not there."""
     parts = [live(snapshot, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), "n") if snapshot.has(n) else rows_of(snapshot, [n]) for n in KEYS]

@@ -222,6 +222,31 @@ def test_stream_of_files(spark, store, tmp_path):
     assert {r.term: r.df for r in inverted.document_frequency(X.postings(last), ["a2", "b", "old"]).collect()} == {"a2": 1}
 
 
+def test_log_is_bounded_and_told_once(spark, store):
+    from codeloom.sinks import logs
+
+    rows = lambda *r: spark.createDataFrame(list(r), "project string, session string, kind string, at bigint")
+    add = lambda *r, **more: logs.append(store, rows(*r), once=("project", "session"), **more)
+    add(("p", "1", "fresh", 10), ("p", "1", "behind", 9), ("q", "1", "fresh", 11))
+    last = add(("p", "1", "fresh", 20), ("p", "2", "fresh", 21))
+    assert _rows(last.table("log"), "project", "session", "kind", "at") == [("p", "1", "behind", 9), ("p", "2", "fresh", 21), ("q", "1", "fresh", 11)]
+    assert add(("p", "2", "fresh", 30)).version == last.version
+    cut = add(*[("r", str(k), "fresh", 100 + k) for k in range(30)], longest_bytes=500, kept=5)
+    assert _rows(cut.table("log"), "at") == [(125,), (126,), (127,), (128,), (129,)] and cut.state["log_bytes"] < 500
+    after = add(("s", "1", "fresh", 7), longest_bytes=500, kept=5)
+    assert after.table("log").count() == 6  # not cut again before it has grown
+
+
+def test_cleanup_of_other_models(spark, store):
+    b = store.begin()
+    for n in ("chunks_a_384", "chunks_b_768", "files"):
+        b.put(n, spark.range(1))
+    b.commit()
+    assert X.cleanup(store, "chunks_a_384", dry_run=True) == ["chunks_b_768"] and store.open().version == 1
+    assert X.cleanup(store, "chunks_a_384") == ["chunks_b_768"] and store.open().names() == ["chunks_a_384", "files"]
+    assert X.cleanup(store, "chunks_a_384") == [] and store.open().version == 2
+
+
 def test_many_neighbours_against_all_pairs(spark):
     import math
     import random
