@@ -46,7 +46,7 @@ def blocks(chunks: DataFrame, n: int, buckets: int, *, key: str = "chunk_id", co
     x = chunks.select(F.col(key).alias("key"), words_of(F.col(content)).alias("t"))
     x = x.select("key", F.size("t").alias("len"), F.pmod(F.xxhash64("key"), F.lit(groups)).alias("grp"), F.explode("t").alias("term"))
     tf = x.groupBy("term", "grp", "key", "len").agg(F.count("*").cast("int").alias("tf"))
-    out = tf.groupBy("term", "grp").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(F.struct("key", "tf", "len"))).alias("postings"))
+    out = tf.groupBy("term", "grp").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.collect_list(F.struct("key", "tf", "len")).alias("postings"))
     out = out.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "grp", "n", "max_tf", "min_len", "postings")
     # a bucket's blocks lie in as many files as the table's size asks for, a frequent term's in all of them
     spread = max(8, groups // 256)
