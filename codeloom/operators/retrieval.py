@@ -216,7 +216,7 @@ def search(chunks: DataFrame, symbols: DataFrame, query: str, embedding: Sequenc
     if reranker is not None and not (gated and terms):
         y = blended(y.withColumn("rerank", reranker(F.col("content")))).drop("rerank")
     y = y.orderBy(F.desc("score"), "distance", "chunk_id").offset(offset).limit(limit)
-    told = structural.overlapping(F.broadcast(y), symbols).groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("line_start", "qualified_name", "kind"))).alias("symbols"))
+    told = structural.overlapping(y, symbols, few=True).groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("line_start", "qualified_name", "kind"))).alias("symbols"))
     return y.join(told, "chunk_id", "left").orderBy(F.desc("score"), "distance", "chunk_id")
 
 
@@ -224,7 +224,7 @@ def _around(places: DataFrame, chunks: DataFrame, role: str, primary: DataFrame)
     """(role, chunk_id, name): the first chunk around each of a few places (file_path, line) that is no primary one."""
     from . import structural
 
-    x = structural.first_chunk(F.broadcast(places), chunks).select("chunk_id").distinct().join(F.broadcast(primary.select("chunk_id")), "chunk_id", "left_anti")
+    x = structural.first_chunk(places, chunks, few=True).select("chunk_id").distinct().join(F.broadcast(primary.select("chunk_id")), "chunk_id", "left_anti")
     return x.select(F.lit(role).alias("role"), "chunk_id", F.lit(None).cast("string").alias("name"))
 
 
@@ -246,7 +246,7 @@ def context_of_query(results: DataFrame, refs: DataFrame, chunks: DataFrame, sym
 
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "distance", "chunk_id"))
     primary = results.select("chunk_id", "file_path", "start_line", "end_line", rank.alias("at"))
-    held = structural.overlapping(F.broadcast(primary), symbols).join(F.broadcast(primary.select("chunk_id", "at")), "chunk_id")
+    held = structural.overlapping(primary, symbols, few=True).join(F.broadcast(primary.select("chunk_id", "at")), "chunk_id")
     held = held.groupBy("qualified_name").agg(F.min(F.struct("at", "line_start")).alias("o"))
     held = held.join(symbols.select("name", "qualified_name").distinct(), "qualified_name").select("o", F.col("qualified_name").alias("held"), "name")
     spelt = symbols.join(F.broadcast(held), "name").groupBy("held", "o", "name").agg(F.min(F.struct("file_path", "line_start", "qualified_name")).alias("d"))
