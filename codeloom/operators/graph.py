@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from .. import scratch
 from ..functions import paths
+from . import structural
 
 
 def impact(symbols: DataFrame, refs: DataFrame, seeds: DataFrame, *, depth: int = 2, source_only: bool = False, origins: DataFrame | None = None) -> DataFrame:
@@ -30,8 +31,7 @@ def impact(symbols: DataFrame, refs: DataFrame, seeds: DataFrame, *, depth: int
         if step == depth:
             break
         at = found.select(F.col("from_file").alias("file_path"), "line").distinct()
-        around = at.join(symbols.select("file_path", "name", "qualified_name", "line_start", "line_end"), "file_path").filter(F.col("line").between(F.col("line_start"), F.col("line_end")))
-        frontier = around.select("name", "qualified_name").distinct().join(visited, "qualified_name", "left_anti")
+        frontier = structural.enclosing(at, symbols).select("name", "qualified_name").distinct().join(visited, "qualified_name", "left_anti")
         visited = visited.unionByName(frontier.select("qualified_name"))
     named = hits.groupBy("from_file", "reason").agg(F.min("distance").alias("distance"))
     rank = F.row_number().over(Window.partitionBy("from_file").orderBy("distance", "reason"))
@@ -49,8 +49,6 @@ def impact_analysis(symbols: DataFrame, refs: DataFrame, hint: str, *, is_file:
     A hint with a slash or a dot is a file, unless is_file says so or not. A reason is a reference (via_symbol, kind, line); a file has ten at most, those of
     the nearest steps first. References from the target's own files don't count. Nothing is reached from a target without symbols.
     """
-    from . import structural
-
     file = is_file if is_file is not None else "/" in hint or "." in hint
     seeds = symbols.filter(F.col("file_path") == hint) if file else structural.find_symbols(symbols, hint)
     origins = seeds.select(F.col("file_path").alias("from_file")).distinct()
@@ -64,8 +62,7 @@ def impact_analysis(symbols: DataFrame, refs: DataFrame, hint: str, *, is_file:
         if step == depth:
             break
         at = found.select(F.col("from_file").alias("file_path"), "line").distinct()
-        around = at.join(symbols.select("file_path", "name", "qualified_name", "line_start", "line_end"), "file_path").filter(F.col("line").between(F.col("line_start"), F.col("line_end")))
-        frontier = around.select("name", "qualified_name").distinct().join(visited, "qualified_name", "left_anti")
+        frontier = structural.enclosing(at, symbols).select("name", "qualified_name").distinct().join(visited, "qualified_name", "left_anti")
         visited = visited.unionByName(frontier.select("qualified_name"))
     each = hits.groupBy("from_file", "via_symbol", "kind", "line").agg(F.min("distance").alias("distance"))
     rank = F.row_number().over(Window.partitionBy("from_file").orderBy("distance", "via_symbol", "line", "kind"))
@@ -95,7 +92,7 @@ def dependents(symbols: DataFrame, refs: DataFrame, asked: DataFrame, *, depth:
         reached = found.select("path", "from_file") if reached is None else reached.unionByName(found.select("path", "from_file"))
         if step == depth:
             break
-        around = found.join(own, (F.col("from_file") == own["file_path"]) & F.col("line").between(F.col("line_start"), F.col("line_end")))
+        around = structural.enclosing(found.withColumnRenamed("from_file", "file_path"), own)
         frontier = around.select("path", "name", "qualified_name").distinct().join(visited, ["path", "qualified_name"], "left_anti")
         visited = visited.unionByName(frontier.select("path", "qualified_name"))
     if source_only:
