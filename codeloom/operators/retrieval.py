@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from .. import scratch
 from ..functions import paths, text, vectors
 
 DISTANCES = {"l2": vectors.l2, "l1": vectors.l1, "cosine": vectors.cosine}
@@ -215,7 +216,8 @@ def search(chunks: DataFrame, symbols: DataFrame, query: str, embedding: Sequenc
     y = boosted(y, names)
     if reranker is not None and not (gated and terms):
         y = blended(y.withColumn("rerank", reranker(F.col("content")))).drop("rerank")
-    y = y.orderBy(F.desc("score"), "distance", "chunk_id").offset(offset).limit(limit)
+    # the few results are read several times, here and by what follows
+    y = scratch.written(y.orderBy(F.desc("score"), "distance", "chunk_id").offset(offset).limit(limit), "results")
     told = structural.overlapping(y, symbols, few=True).groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("line_start", "qualified_name", "kind"))).alias("symbols"))
     return y.join(told, "chunk_id", "left").orderBy(F.desc("score"), "distance", "chunk_id")
 
@@ -245,11 +247,13 @@ def context_of_query(results: DataFrame, refs: DataFrame, chunks: DataFrame, sym
     from . import structural
 
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "distance", "chunk_id"))
-    primary = results.select("chunk_id", "file_path", "start_line", "end_line", rank.alias("at"))
+    # tables of a few rows, which stand for the search and the scans that led to them
+    primary = scratch.written(results.select("chunk_id", "file_path", "start_line", "end_line", rank.alias("at")), "primary")
     held = structural.overlapping(primary, symbols, few=True).join(F.broadcast(primary.select("chunk_id", "at")), "chunk_id")
     held = held.groupBy("qualified_name").agg(F.min(F.struct("at", "line_start")).alias("o"))
     held = held.join(symbols.select("name", "qualified_name").distinct(), "qualified_name").select("o", F.col("qualified_name").alias("held"), "name")
     spelt = symbols.join(F.broadcast(held), "name").groupBy("held", "o", "name").agg(F.min(F.struct("file_path", "line_start", "qualified_name")).alias("d"))
+    spelt = scratch.written(spelt, "spelt")
     few = spelt.orderBy("o", "held").limit(most_symbols)
     out = primary.select(F.lit("primary").alias("role"), "chunk_id", F.lit(None).cast("string").alias("name"))
     out = out.unionByName(spelt.select(F.lit("definition").alias("role"), F.lit(None).cast(chunks.schema["chunk_id"].dataType).alias("chunk_id"), F.col("d.qualified_name").alias("name")).distinct())
