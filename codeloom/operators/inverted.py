@@ -22,6 +22,8 @@ from .. import config as C
 from ..functions import text
 
 GROUP = 512
+#: Groups whose texts one task holds, about.
+GROUPS_EACH = 16
 #: Blocks below which reading them all costs less than looking for those to skip.
 SKIP_FROM = 4096
 #: Chunks for each folder of the layout, and how many folders there are at most.
@@ -43,14 +45,67 @@ def words_of(content: Column) -> Column:
 def blocks(chunks: DataFrame, n: int, buckets: int, *, key: str = "chunk_id", content: str = "content") -> DataFrame:
     """bucket, term, grp, n, max_tf, min_len, postings (key, tf, len) of about n chunks, laid out for writing by bucket."""
     groups = max(1, -(-n // GROUP))
-    x = chunks.select(F.col(key).alias("key"), words_of(F.col(content)).alias("t"))
-    x = x.select("key", F.size("t").alias("len"), F.pmod(F.xxhash64("key"), F.lit(groups)).alias("grp"), F.explode("t").alias("term"))
-    tf = x.groupBy("term", "grp", "key", "len").agg(F.count("*").cast("int").alias("tf"))
-    out = tf.groupBy("term", "grp").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.collect_list(F.struct("key", "tf", "len")).alias("postings"))
-    out = out.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "grp", "n", "max_tf", "min_len", "postings")
+    # whole groups are brought together as texts, which are smaller than their postings; a task gathers the postings of what it holds
+    tasks = max(min(groups, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))), groups // GROUPS_EACH)
+    x = chunks.select(F.col(key).alias("key"), F.col(content).alias("content"), F.pmod(F.xxhash64(F.col(key)), F.lit(groups)).alias("grp")).repartition(tasks, "grp")
+    x = x.sortWithinPartitions("grp").select("key", "grp", words_of(F.col("content")).alias("t"))
+    kind = chunks.schema[key].dataType.simpleString()
+    out = x.mapInArrow(_gathered(), f"term string, grp bigint, n bigint, max_tf int, min_len int, key array<{kind}>, tf array<int>, len array<int>")
+    out = out.select(bucket_of(F.col("term"), buckets).alias("bucket"), "*")
     # a bucket's blocks lie in as many files as the table's size asks for, a frequent term's in all of them
     spread = max(8, groups // 256)
-    return out.repartition("bucket", F.pmod(F.xxhash64("term", F.expr("grp div 16")), F.lit(spread))).sortWithinPartitions("bucket", "term", "grp")
+    out = out.repartition("bucket", F.pmod(F.xxhash64("term", F.expr("grp div 16")), F.lit(spread))).sortWithinPartitions("bucket", "term", "grp")
+    return out.select("bucket", "term", "grp", "n", "max_tf", "min_len", F.arrays_zip("key", "tf", "len").alias("postings"))
+
+
+def _gathered(most: int = GROUP):
+    """A function over batches (key, grp, t) in the order of grp that gives their blocks; groups of about ``most`` rows at a time are whole in memory."""
+
+    def blocks_of(rows):
+        """The blocks of whole groups: words are numbered, and sorted together with the number of their row."""
+        import numpy as np
+        import pyarrow as pa
+
+        rows = rows.combine_chunks().to_batches()[0]
+        words = rows.column("t")
+        lengths = words.value_lengths().to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
+        if not len(coded):
+            return
+        n = len(lengths)
+        pairs, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), lengths), return_counts=True)
+        term, row = np.divmod(pairs, n)
+        grp = rows.column("grp").to_numpy()[row]
+        start = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(grp, prepend=grp[0]) != 0))
+        ends = pa.array(np.append(start, len(row)).astype(np.int32))
+        tf, length = tf.astype(np.int32), lengths.astype(np.int32)[row]
+        columns = {
+            "term": coded.dictionary.take(pa.array(term[start])), "grp": pa.array(grp[start]), "n": pa.array(np.diff(np.append(start, len(row))).astype(np.int64)),
+            "max_tf": pa.array(np.maximum.reduceat(tf, start)), "min_len": pa.array(np.minimum.reduceat(length, start)),
+            "key": pa.ListArray.from_arrays(ends, rows.column("key").take(pa.array(row))), "tf": pa.ListArray.from_arrays(ends, pa.array(tf)), "len": pa.ListArray.from_arrays(ends, pa.array(length)),
+        }
+        yield pa.RecordBatch.from_pydict(columns)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            grp = held.column("grp").to_numpy()
+            starts = np.flatnonzero(np.diff(grp, prepend=grp[:1] - 1)).tolist() if len(grp) else []
+            done = 0
+            for at in starts[1:]:  # the last group may go on in the next batch
+                if at - done >= most or at == starts[-1]:
+                    yield from blocks_of(held.slice(done, at - done))
+                    done = at
+            held = held.slice(done)
+        if held is not None and len(held):
+            yield from blocks_of(held)
+
+    return run
 
 
 @dataclass(frozen=True)

@@ -29,3 +29,42 @@ def test_lines_meet_by_cells(spark):
     # a file's rows are not all compared with each other
     for df in (structural.overlapping(a, b), structural.enclosing(a.withColumnRenamed("start_line", "line"), b.withColumn("name", F.lit("n"))), structural.first_chunk(b.withColumnRenamed("line_start", "line"), a)):
         assert "_cell" in _plan(df)
+
+
+def test_postings_move_once(spark):
+    from codeloom.operators import inverted
+
+    rows = [(n, " ".join(f"w{(n * k) % 61}" for k in range(n % 40))) for n in range(3000)]
+    rows += [(3000, None), (3001, "é e É"), (3002, "")]
+    df = inverted.blocks(spark.createDataFrame(rows, "chunk_id bigint, content string"), len(rows), 2)
+    want = {}
+    for key, said in rows:
+        words = ["e", "e", "e"] if key == 3001 else (said or "").split()
+        for w in set(words):
+            want[w, key] = (words.count(w), len(words))
+    found = df.collect()
+    assert {(r.term, p.key): (p.tf, p.len) for r in found for p in r.postings} == want
+    assert all((r.n, r.max_tf, r.min_len) == (len(r.postings), max(p.tf for p in r.postings), min(p.len for p in r.postings)) for r in found)
+    assert len({(r.term, r.grp) for r in found}) == len(found) and sum(r.n for r in found) == len(want)
+    # texts once, blocks once
+    assert _plan(df).split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 2
+
+
+def test_results_are_searched_once(spark):
+    from codeloom.operators import retrieval
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    chunk = spark.createDataFrame([(n, "a.rs", "rust", "Thing here", 10 * n, 10 * n + 9, [float(n)]) for n in range(8)], "chunk_id int, file_path string, language string, content string, start_line int, end_line int, embedding array<double>")
+    symbols = spark.createDataFrame([("Thing", "x::Thing", "struct", "a.rs", 12, 14)], "name string, qualified_name string, kind string, file_path string, line_start int, line_end int")
+    refs = spark.createDataFrame([("a.rs", "Thing", "Thing", "call", 75)], "from_file string, to_name string, to_name_tail string, kind string, line int")
+    results = chunk.filter("chunk_id < 3").drop("embedding").selectExpr("*", "1.0D AS score", "CAST(chunk_id AS double) AS distance")
+    results = results.mapInArrow(counted, results.schema)
+    out = {(r.role, r.chunk_id, r.name) for r in retrieval.context_of_query(results, refs, chunk, symbols).collect()}
+    assert out == {("primary", 0, None), ("primary", 1, None), ("primary", 2, None), ("definition", None, "x::Thing"), ("caller", 7, None)}
+    assert seen.value == 3
