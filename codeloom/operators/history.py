@@ -17,6 +17,10 @@ from .. import scratch
 from ..functions import names, paths
 
 
+#: Changes whose pairs one task adds up, about.
+CHANGES_EACH = 250_000
+
+
 def decay(ts, now: int):
     return F.exp(-F.greatest(F.lit(now) - ts, F.lit(0)) / 86400.0 / C.DECAY_DAYS)
 
@@ -56,12 +60,16 @@ def pair_facts(kept: DataFrame, now: int, *, max_files: int = C.MAX_FILES_PER_CO
 
     The guard bounds what a commit gathers, so its pairs are unfolded from one small array and nothing is joined with itself.
     """
+    kept = scratch.settled(kept, "kept")
+    # what one task holds doesn't grow with the history: a commit has a few pairs for each of its files
+    tasks = max(int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-kept.count() // CHANGES_EACH))
     marked = F.struct("path", paths.is_test_like(F.col("path")).alias("test")).alias("f")
-    files = commits_in_guard(kept, max_files).select("commit_id", "ts", marked).groupBy("commit_id").agg(F.max("ts").alias("ts"), F.sort_array(F.collect_set("f")).alias("files"))
+    files = commits_in_guard(kept.repartition(tasks, "commit_id"), max_files).select("commit_id", "ts", marked).groupBy("commit_id").agg(F.max("ts").alias("ts"), F.sort_array(F.collect_set("f")).alias("files"))
     later = lambda a, i: F.filter(F.slice("files", i + 2, max_files), lambda b: ~(a["test"] & b["test"]))
     pair = lambda a, i: F.transform(later(a, i), lambda b: F.struct(a["path"].alias("file_a"), b["path"].alias("file_b")))
-    pairs = files.select(decay(F.col("ts"), now).alias("w"), "ts", F.explode(F.flatten(F.transform("files", pair))).alias("p"))
-    return pairs.groupBy("p.file_a", "p.file_b").agg(F.sum("w").alias("weight"), F.count("*").alias("count"), F.max("ts").alias("last_observed_at"))
+    pairs = files.select(decay(F.col("ts"), now).alias("w"), "ts", F.explode(F.flatten(F.transform("files", pair))).alias("p")).select("w", "ts", "p.file_a", "p.file_b")
+    # few pairs repeat within a task, so nothing is added up before they are dealt out
+    return pairs.repartition(tasks, "file_a", "file_b").groupBy("file_a", "file_b").agg(F.sum("w").alias("weight"), F.count("*").alias("count"), F.max("ts").alias("last_observed_at"))
 
 
 def co_changes(kept: DataFrame, now: int, *, max_files: int = C.MAX_FILES_PER_COMMIT, min_count: int = C.MIN_PAIR_COUNT) -> DataFrame:

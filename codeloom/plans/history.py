@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import names, paths
 from ..operators import graph as G
 from ..operators import history as H
@@ -19,8 +20,8 @@ def _kept(s, d, key: str = "l_partkey") -> DataFrame:
     return H.kept_changes(commits(s, d), file_changes(s, d, key))
 
 
-def _indexed(s, d) -> H.Indexed:
-    return H.index_history(commits(s, d), file_changes(s, d, "l_suppkey"), NOW)
+def _indexed(s, d, key: str = "l_suppkey") -> H.Indexed:
+    return H.index_history(commits(s, d), file_changes(s, d, key), NOW)
 
 
 def soft_skip_filter(s, d):
@@ -106,8 +107,8 @@ def coupled_tests(s, d):
 
 
 def primary_tests(s, d):
-    hist = H.file_history(_kept(s, d), NOW)
-    return H.recommend_tests(hist.select("path"), hist, H.co_changes(_kept(s, d), NOW)).select("test", "kind")
+    ix = _indexed(s, d, "l_partkey")
+    return H.recommend_tests(ix.history.select("path"), ix.history, ix.pairs()).select("test", "kind")
 
 
 def recommended_tests(s, d):
@@ -119,9 +120,8 @@ def recommended_tests(s, d):
 
 
 def coupling_report(s, d):
-    kept = _kept(s, d)
-    hist = H.file_history(kept, NOW)
-    r = H.coupling_report(hist.select("path"), hist, H.co_changes(kept, NOW))
+    ix = _indexed(s, d, "l_partkey")
+    r = H.coupling_report(ix.history.select("path"), ix.history, ix.pairs())
     return r.select("path", F.coalesce(F.size("coupled"), F.lit(0)).cast("bigint").alias("n_coupled"), F.array_join(F.transform("coupled", lambda t: t["file"]), ",").alias("files"), "file_commits", F.coalesce("note", F.lit("")).alias("note"))
 
 
@@ -135,7 +135,7 @@ def incremental_equals_batch(s, d):
 
 def incremental_pairs(s, d):
     """The pair facts of two halves merged, which equal those of the whole."""
-    kept = _kept(s, d, "l_suppkey")
+    kept = scratch.written(_kept(s, d, "l_suppkey"), "kept")
     x = H.merge_pairs(H.pair_facts(kept.filter("commit_id % 2 = 0"), NOW), H.pair_facts(kept.filter("commit_id % 2 = 1"), NOW)).filter("count >= 3")
     return x.select("file_a", "file_b", F.round("weight", 6).alias("weight"), F.col("count").alias("n"), "last_observed_at")
 
@@ -148,7 +148,7 @@ def gated_pairs(s, d):
 
 
 def history_stats(s, d):
-    kept = _kept(s, d, "l_suppkey")
+    kept = scratch.written(_kept(s, d, "l_suppkey"), "kept")
     return H.history_stats(kept, H.file_history(kept, NOW), H.co_changes(kept, NOW))
 
 

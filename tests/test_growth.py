@@ -68,3 +68,13 @@ def test_results_are_searched_once(spark):
     out = {(r.role, r.chunk_id, r.name) for r in retrieval.context_of_query(results, refs, chunk, symbols).collect()}
     assert out == {("primary", 0, None), ("primary", 1, None), ("primary", 2, None), ("definition", None, "x::Thing"), ("caller", 7, None)}
     assert seen.value == 3
+
+
+def test_pair_facts_are_dealt_by_size(spark, monkeypatch):
+    from codeloom.operators import history
+
+    monkeypatch.setattr(history, "CHANGES_EACH", 10)
+    kept = spark.createDataFrame([(n // 3, f"f{n % 5}", 100) for n in range(300)], "commit_id int, path string, ts bigint")
+    facts = history.pair_facts(kept, 100)
+    assert "hashpartitioning(file_a" in _plan(facts).replace("#", " #").replace(" #", "#") and ", 30)" in _plan(facts)
+    assert sum(r["count"] for r in facts.collect()) == 300
