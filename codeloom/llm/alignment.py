@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -40,6 +41,25 @@ def default_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _joined(pieces: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(pieces), dtype=np.uint8)
+
+
+def _ids(found: list[int] | np.ndarray) -> np.ndarray:
+    return np.frombuffer(array("i", found), dtype=np.int32) if isinstance(found, list) else found.astype(np.int32)
+
+
+def _spell(raw: np.ndarray, ids: np.ndarray, pieces: np.ndarray, start: np.ndarray, size: np.ndarray) -> bool:
+    """Whether the ids' bytes, which stand in pieces, joined are raw."""
+    long = size[ids]
+    end = np.cumsum(long)
+    if not len(ids) or end[-1] != len(raw):
+        return False
+    at = np.repeat(start[ids] - end + long, long)
+    at += np.arange(len(raw))
+    return bool(np.array_equal(pieces[at], raw))
+
+
 class Pair:
     """Both tokenizers, with the bytes of every id."""
 
@@ -53,15 +73,22 @@ class Pair:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
         self.size_a = np.array([len(p) for p in self.bytes_a], dtype=np.int64)
         self.size_b = np.array([len(p) for p in self.bytes_b], dtype=np.int64)
+        self.all_a, self.all_b = _joined(self.bytes_a), _joined(self.bytes_b)
+        self.start_a, self.start_b = np.cumsum(self.size_a) - self.size_a, np.cumsum(self.size_b) - self.size_b
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The A ids of a space and the text, and the B ids of the text; none where either does not spell these bytes."""
-        none = np.zeros(0, dtype=np.int64)
+        none = np.zeros(0, dtype=np.int32)
         for text, b in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
-            raw = b" " + text.encode("utf-8", "surrogatepass")
-            a = self.a.encode_plain(" " + text).tolist() if text else []
-            same = text and b"".join(map(self.bytes_b.__getitem__, b)) == raw and b"".join(map(self.bytes_a.__getitem__, a)) == raw
-            yield (np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)) if same else (none, none)
+            if not text:
+                yield none, none
+                continue
+            raw = np.frombuffer(b" " + text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+            # a short text's ids come faster as a list than through the encoder's own buffer
+            a = self.a.bpe.encode_ordinary(" " + text) if len(text) < self.a.leaf else self.a.encode_plain(" " + text)
+            a, b = _ids(a), _ids(b)
+            same = _spell(raw, a, self.all_a, self.start_a, self.size_a) and _spell(raw, b, self.all_b, self.start_b, self.size_b)
+            yield (a, b) if same else (none, none)
 
     def cuts(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many A and B tokens lie before each place where one of both ends, the start included."""
@@ -86,12 +113,29 @@ def _worker(path_a: str | None, path_b: str | None) -> Pair:
 
 
 class _Dictionary(dict):
-    """Numbers keys in the order of their first use."""
+    """Numbers keys in the order of their first use, and lists their names. Numbers of keys that are numbers are also looked up by the array."""
+
+    SLOTS = 1 << 18
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.held, self.number = np.full(self.SLOTS, -1, dtype=np.int64), np.zeros(self.SLOTS, dtype=np.int32)
 
     def __missing__(self, key):
         self[key] = n = len(self)
+        self.names.append(_name(key))
         return n
 
+    def numbers(self, codes: np.ndarray) -> np.ndarray:
+        """The numbers of many keys. A slot holds one of the keys that fall on it; the dictionary itself answers for the others."""
+        slot = (codes ^ (codes >> 32) * 40503) & (self.SLOTS - 1)
+        out = self.number[slot]
+        for k in np.flatnonzero(self.held[slot] != codes).tolist():
+            code = int(codes[k])
+            out[k] = self.number[slot[k]] = self[code]
+            self.held[slot[k]] = code
+        return out
+
 
 def _name(key: bytes | int) -> str:
     if isinstance(key, int):
@@ -105,30 +149,28 @@ def _grouped(pair: Pair, texts: list[str]) -> dict[str, list]:
     """One block: a dictionary of its groups with frequencies, and each text's figures, groups and their frequencies."""
     known = _Dictionary()
     out: dict[str, list] = {"n_a": [], "n_b": [], "n_groups": [], "groups_sha256": []}
-    runs, names, locals_, times = [0], [], [], []
+    runs, locals_, times = [0], [], []
     for a, b in pair.encode(texts):
         cut_a, cut_b = pair.cuts(a, b)
         n_a, n_b = np.diff(cut_a), np.diff(cut_b)
         single = (n_a == 1) & (n_b == 1)
         # a group of one token each is keyed by a number, any other by its ids
-        codes = np.zeros(len(n_a), dtype=np.int64)
-        codes[single] = a[cut_a[:-1][single]] << 32 | b[cut_b[:-1][single]]
-        keys: list = codes.tolist()
+        at = np.empty(len(n_a), dtype=np.int32)
+        at[single] = known.numbers(a[cut_a[:-1][single]].astype(np.int64) << 32 | b[cut_b[:-1][single]])
         raw_a, raw_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-        for k in np.flatnonzero(~single).tolist():
-            keys[k] = int(n_a[k]).to_bytes(4, "little") + raw_a[4 * cut_a[k] : 4 * cut_a[k + 1]] + raw_b[4 * cut_b[k] : 4 * cut_b[k + 1]]
-        at = [*map(known.__getitem__, keys)]
-        names += map(_name, itertools.islice(known, len(names), None))
-        used, n = np.unique(np.array(at, dtype=np.int32), return_counts=True)
+        more = np.flatnonzero(~single)
+        places = (n_a[more], 4 * cut_a[more], 4 * cut_a[more + 1], 4 * cut_b[more], 4 * cut_b[more + 1])
+        at[more] = [known[n.to_bytes(4, "little") + raw_a[i:j] + raw_b[u:v]] for n, i, j, u, v in zip(*(x.tolist() for x in places), strict=True)]
+        used, n = np.unique(at, return_counts=True)
         locals_.append(used)
         times.append(n)
         runs.append(runs[-1] + len(used))
-        said = hashlib.sha256(";".join(map(names.__getitem__, at)).encode()).hexdigest() if at else ""
+        said = hashlib.sha256(";".join(map(known.names.__getitem__, at.tolist())).encode()).hexdigest() if len(at) else ""
         for column, x in zip(out, (len(a), len(b), len(at), said), strict=True):
             out[column].append(x)
     locals_, times = np.concatenate(locals_), np.concatenate(times)
     freq = np.bincount(locals_, weights=times, minlength=len(known)).astype(np.int64)
-    return out | {"keys": names, "freq": freq, "runs": runs, "locals": locals_, "times": times}
+    return out | {"keys": known.names, "freq": freq, "runs": runs, "locals": locals_, "times": times}
 
 
 def blocks_of(docs: DataFrame, path_a: str | None, path_b: str | None, block_bytes: int) -> DataFrame:

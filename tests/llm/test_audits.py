@@ -55,6 +55,29 @@ def _aligned_plainly(texts, rule):
     return rows
 
 
+def test_alignment_numbers_groups_by_arrays():
+    asked = []
+
+    class Counted(alignment._Dictionary):
+        SLOTS = 1 << 8
+
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    known = Counted()
+    # few ids many times over; several fall on one slot
+    codes = [(k % 7) << 32 | (k % 7) * 3 for k in range(50_000)]
+    assert known.numbers(np.array(codes)).tolist() == [k % 7 for k in range(50_000)]
+    asked.clear()
+    assert known.numbers(np.array(codes)).tolist() == [k % 7 for k in range(50_000)] and not asked
+    many = [(k * 977) % 4000 << 32 | k % 31 for k in range(20_000)]
+    plain: dict = {c: k for k, c in enumerate(dict.fromkeys(codes))}
+    want = [plain.setdefault(c, len(plain)) for c in many]
+    assert known.numbers(np.array(many)).tolist() == want
+    assert known.names == [f"{c >> 32}|{c & 0xFFFFFFFF}" for c in plain]
+
+
 @pytest.mark.parametrize("rule", alignment.RULES)
 def test_alignment_against_pairs(spark, rule):
     random.seed(11)
