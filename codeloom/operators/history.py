@@ -62,7 +62,7 @@ def pair_facts(kept: DataFrame, now: int, *, max_files: int = C.MAX_FILES_PER_CO
     """
     kept = scratch.settled(kept, "kept")
     # what one task holds doesn't grow with the history: a commit has a few pairs for each of its files
-    tasks = max(int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-kept.count() // CHANGES_EACH))
+    tasks = scratch.tasks(kept, CHANGES_EACH)
     marked = F.struct("path", paths.is_test_like(F.col("path")).alias("test")).alias("f")
     files = commits_in_guard(kept.repartition(tasks, "commit_id"), max_files).select("commit_id", "ts", marked).groupBy("commit_id").agg(F.max("ts").alias("ts"), F.sort_array(F.collect_set("f")).alias("files"))
     later = lambda a, i: F.filter(F.slice("files", i + 2, max_files), lambda b: ~(a["test"] & b["test"]))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .. import config as C
 from .. import scratch
 
+#: Rows whose runs one task finds, about; the width of a cell in gaps.
+ROWS_EACH, CELL_GAPS = 250_000, 1024
+
 
 def retrieval_metrics(expected: DataFrame, results: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
     """Per case_id: first_hit, noise (results before it) and recall at each k. expected: case_id, path; results: case_id, rank, path.
@@ -91,13 +94,30 @@ def follow_ups(events: DataFrame, session: str, order: list[str], subject: Colum
     return events.withColumn("follows", F.array_contains(F.collect_list(subject).over(w), subject))
 
 
-def islands(rows: DataFrame, by: list[str], position: str, gap: int = 2, least: int = 3) -> DataFrame:
-    """Runs of rows no further apart than gap: by, first, last, n; runs shorter than least are left out."""
-    w = Window.partitionBy(*by).orderBy(position)
-    new = (F.col(position) - F.lag(position).over(w) > gap) | F.lag(position).over(w).isNull()
-    x = rows.withColumn("_new", new.cast("int")).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = x.groupBy(*by, "_island").agg(F.min(position).alias("first"), F.max(position).alias("last"), F.count("*").alias("n"))
-    return out.filter(F.col("n") >= least).drop("_island")
+def _runs(rows: DataFrame, keys: list[str], first: str, last: str, gap: int) -> DataFrame:
+    """rows with ``_run``, which grows where a row of the same keys begins further than gap after the end of the one before."""
+    w = Window.partitionBy(*keys).orderBy(first)
+    before = F.lag(last).over(w)
+    new = (F.col(first) - before > gap) | before.isNull()
+    return rows.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def islands(rows: DataFrame, by: list[str], position: str, gap: int = 2, least: int = 3, *, distinct: bool = False) -> DataFrame:
+    """Runs of rows no further apart than gap: by, first, last, n; runs shorter than least are left out. distinct: equal positions of a group count once.
+
+    A group is cut into cells, and each cell finds its own runs; only the runs that come near a border of their cell are then laid beside those of the other
+    cells. rows are counted, and dealt out to as many tasks as that asks for: neither a large group nor a large table is more to hold for one task.
+    """
+    tasks, width = scratch.tasks(rows, ROWS_EACH), max(gap, 1) * CELL_GAPS
+    at = F.col(position)
+    x = rows.select(*by, position, (at - F.pmod(at, F.lit(width))).alias("_cell")).repartition(tasks, *by, "_cell")
+    x = _runs(x.distinct() if distinct else x, [*by, "_cell"], position, position, gap)
+    own = x.groupBy(*by, "_cell", "_run").agg(F.min(position).alias("first"), F.max(position).alias("last"), F.count("*").alias("n"))
+    # no cell is narrower than the gap, so a run that keeps away from both borders is whole
+    near = F.coalesce((F.pmod("first", F.lit(width)) <= gap) | (width - F.pmod("last", F.lit(width)) <= gap), F.lit(False))
+    y = own.filter(near | (F.col("n") >= least)).select(*by, F.when(~near, F.col("_cell")).alias("_cell"), "first", "last", "n").repartition(tasks, *by, "_cell")
+    out = _runs(y, [*by, "_cell"], "first", "last", gap).groupBy(*by, "_cell", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    return out.filter(F.col("n") >= least).drop("_cell", "_run")
 
 
 def within_budget(rows: DataFrame, by: list[str], order: list[str], size: Column, budget: int = C.BUDGET_CHARS) -> DataFrame:

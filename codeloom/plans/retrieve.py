@@ -121,8 +121,8 @@ def followup_window(s, d):
 
 
 def adjacent_collapse(s, d):
-    x = table(s, d, "lineitem").select("l_suppkey", (F.col("l_partkey") * 3).alias("line")).distinct()
-    return M.islands(x, ["l_suppkey"], "line", gap=60, least=3)
+    x = table(s, d, "lineitem").select("l_suppkey", (F.col("l_partkey") * 3).alias("line"))
+    return M.islands(x, ["l_suppkey"], "line", gap=60, least=3, distinct=True)
 
 
 def budget_truncate(s, d):

@@ -57,6 +57,14 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df if getattr(df, "_codeloom_path", None) else written(df, name)
 
 
+def tasks(rows: DataFrame, each: int) -> int:
+    """How many tasks rows are dealt out to, so that what one holds doesn't grow with them: the session's number, or more where each takes so many rows.
+
+    The rows are counted: a stored table answers from its footers, any other is computed for it.
+    """
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // each))
+
+
 def dropped(*tables: DataFrame) -> None:
     """Removes tables made by ``written`` that nothing will read again."""
     for t in tables:

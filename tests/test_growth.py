@@ -78,3 +78,33 @@ def test_pair_facts_are_dealt_by_size(spark, monkeypatch):
     facts = history.pair_facts(kept, 100)
     assert "hashpartitioning(file_a" in _plan(facts).replace("#", " #").replace(" #", "#") and ", 30)" in _plan(facts)
     assert sum(r["count"] for r in facts.collect()) == 300
+
+
+def test_islands_of_a_group_meet_across_cells(spark, monkeypatch):
+    from codeloom.operators import metrics
+
+    pick = random.Random(5)
+    rows = [(pick.choice(["a", "a", "a", None]), pick.choice([None, *range(-90, 90)]) if n % 50 == 0 else pick.randrange(-4000, 4000)) for n in range(3000)]
+    df = spark.createDataFrame(rows, "k string, at bigint")
+
+    def plainly(rows, gap, least):
+        out = []
+        for k in ("a", None):
+            last = None
+            for p in sorted((p for q, p in rows if q == k), key=lambda p: (p is not None, p or 0)):
+                if last is None or p - last > gap:
+                    out.append([k, p, p, 0])
+                out[-1][2], out[-1][3], last = p, out[-1][3] + 1, p
+        return sorted(map(tuple, (r for r in out if r[3] >= least)), key=str)
+
+    for wide in (1, 2, 1024):
+        monkeypatch.setattr(metrics, "CELL_GAPS", wide, raising=False)
+        for gap, least in ((0, 1), (2, 3), (5, 1), (7, 30)):
+            for once in (False, True):
+                found = metrics.islands(df, ["k"], "at", gap, least, distinct=once).select("k", "first", "last", "n").collect()
+                want = plainly(set(rows) if once else rows, gap, least)
+                assert sorted(map(tuple, found), key=str) == want, (wide, gap, least, once)
+    # as many tasks as the rows ask for, and no shuffle beside them that has another number
+    monkeypatch.setattr(metrics, "ROWS_EACH", 100)
+    plan = _plan(metrics.islands(df, ["k"], "at", distinct=True)).split("== Physical Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == plan.count(", 30), REPARTITION_BY_NUM") == 2
