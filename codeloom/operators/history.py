@@ -30,11 +30,19 @@ def even(value: str):
     return F.round(F.col(value), 9)
 
 
+def by_commit(lines: DataFrame, commit: str = "commit_id") -> DataFrame:
+    """The lines of a log's table, dealt out by commit to as many tasks as their number asks for."""
+    return lines.repartition(scratch.tasks(lines, CHANGES_EACH), commit)
+
+
 def kept_changes(commits: DataFrame, changes: DataFrame, extra_excludes: tuple[str, ...] = ()) -> DataFrame:
-    """File changes that count, one row per commit and path: no housekeeping commits, no excluded paths."""
+    """File changes that count, one row per commit and path: no housekeeping commits, no excluded paths.
+
+    Changes that come dealt out ``by_commit`` stay so: they are folded and joined where they are, and only the commits move.
+    """
     counted = commits.filter(~names.is_skipped(F.col("subject"))).select("commit_id", "ts", names.is_fix(F.col("subject")).alias("is_fix"))
     shown = changes.filter(~paths.is_hard_excluded(F.col("path"), extra_excludes))
-    # the map-side sums shrink before the join; a path that a commit lists twice is one change of it
+    # the sums shrink before the join; a path that a commit lists twice is one change of it
     once = shown.groupBy("commit_id", "path").agg(F.sum("added").alias("added"), F.sum("deleted").alias("deleted"))
     return once.join(counted, "commit_id")
 

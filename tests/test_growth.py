@@ -108,3 +108,17 @@ def test_islands_of_a_group_meet_across_cells(spark, monkeypatch):
     monkeypatch.setattr(metrics, "ROWS_EACH", 100)
     plan = _plan(metrics.islands(df, ["k"], "at", distinct=True)).split("== Physical Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning") == plan.count(", 30), REPARTITION_BY_NUM") == 2
+
+
+def test_changes_are_dealt_by_size(spark, monkeypatch):
+    from codeloom.operators import history
+    from codeloom.plans import adapters
+
+    small = "/root/testdata/sf0.001"
+    monkeypatch.setattr(history, "CHANGES_EACH", 100)
+    n = -(-adapters.table(spark, small, "lineitem").count() // 100)
+    assert n > 50
+    for key in ("l_suppkey", "l_partkey"):
+        plan = _plan(history.kept_changes(adapters.commits(spark, small), adapters.file_changes(spark, small, key))).split("== Physical Plan ==")[-1]
+        # the lines move once, to as many tasks as they ask for; nothing else of their size moves
+        assert plan.count("Exchange hashpartitioning") == plan.count(f", {n}), REPARTITION_BY_NUM") == 1, plan
