@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,9 @@ from .. import scratch
 from ..functions import paths
 from . import structural
 
+#: Edges whose components one task finds, about.
+EDGES_EACH = 100_000
+
 
 def impact(symbols: DataFrame, refs: DataFrame, seeds: DataFrame, *, depth: int = 2, source_only: bool = False, origins: DataFrame | None = None) -> DataFrame:
     """(file_path, distance, reasons): files that reach the seeds through references within depth steps.
@@ -142,18 +148,62 @@ def tarjan(edges: list[tuple[str, str]]) -> list[list[str]]:
     return out
 
 
+def _members(edges: list[tuple[str, str]]) -> list[tuple[str, str, int]]:
+    return [(m, c[0], len(c)) for c in tarjan(edges) if len(c) > 1 for m in c]
+
+
+MEMBERS = "member string, component string, size int"
+
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of a task's edges, which are those of whole parts of the graph."""
+    edges = [e for x in batches for e in zip(x.column("src").to_pylist(), x.column("dst").to_pylist(), strict=True)]
+    columns = [*zip(*_members(edges), strict=True)] or [(), (), ()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int32()), strict=True)], names=["member", "component", "size"])
+
+
+def _weak_parts(edges: DataFrame) -> DataFrame:
+    """edges with ``part``, a number that all edges of nodes joined in any direction share; by large-star and small-star steps.
+
+    Nodes go by their hashes. Two of one hash would join two parts, which then are one larger part.
+    """
+    hashed = edges.select(F.xxhash64("src").alias("s"), F.xxhash64("dst").alias("d")).filter("s <> d")
+    e, state = scratch.written(hashed.select(F.greatest("s", "d").alias("u"), F.least("s", "d").alias("v")).distinct(), "weak"), None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        linked = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        grown = scratch.written(linked.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "weak")
+        scratch.dropped(e)
+        e, now = grown, tuple(grown.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == state:
+            break
+        state = now
+    # the least node of a part is no u
+    parts = edges.withColumn("u", F.xxhash64("src")).join(e, "u", "left").select("src", "dst", F.coalesce("v", "u").alias("part"))
+    out = scratch.written(parts, "parts")
+    scratch.dropped(e)
+    return out
+
+
 def components(edges: DataFrame, *, small: int = 200_000) -> DataFrame:
     """(member, component, size) of the strongly connected components of two or more nodes; component is its least member.
 
-    A graph of at most ``small`` edges is solved on the driver; a larger one by trimming and forward colouring in joins.
+    A graph of at most ``small`` edges is solved on the driver. A larger one falls into parts that no edge joins, in whichever direction: parts of at most ``small``
+    edges are solved in tasks, each whole within one, and larger ones by trimming and forward colouring in joins.
     """
-    edges = edges.select("src", "dst").filter("src <> dst").distinct()
+    edges = scratch.written(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
     spark = edges.sparkSession
-    head = edges.limit(small + 1).collect()
-    if len(head) <= small:
-        rows = [(m, c[0], len(c)) for c in tarjan([(r.src, r.dst) for r in head]) if len(c) > 1 for m in c]
-        return spark.createDataFrame(rows, "member string, component string, size int")
-    return coloured(edges)
+    if edges.count() <= small:
+        return spark.createDataFrame(_members([(r.src, r.dst) for r in edges.collect()]), MEMBERS)
+    parts = _weak_parts(edges)
+    scratch.dropped(edges)
+    large = scratch.written(parts.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > small).select("part"), "large")
+    few = parts.join(large, "part", "left_anti").repartition(scratch.tasks(parts, EDGES_EACH), "part")
+    out = few.select("src", "dst").mapInArrow(_solved, MEMBERS)
+    return out if large.isEmpty() else out.unionByName(coloured(parts.join(large, "part", "left_semi")))
 
 
 def coloured(edges: DataFrame) -> DataFrame:

@@ -122,3 +122,21 @@ def test_changes_are_dealt_by_size(spark, monkeypatch):
         plan = _plan(history.kept_changes(adapters.commits(spark, small), adapters.file_changes(spark, small, key))).split("== Physical Plan ==")[-1]
         # the lines move once, to as many tasks as they ask for; nothing else of their size moves
         assert plan.count("Exchange hashpartitioning") == plan.count(f", {n}), REPARTITION_BY_NUM") == 1, plan
+
+
+def test_components_of_parts_need_no_colours(spark, monkeypatch):
+    from codeloom.operators import graph
+
+    pick = random.Random(3)
+    edges = [(f"p{p}n{pick.randrange(12)}", f"p{p}n{pick.randrange(12)}") for p in range(60) for _ in range(15)]
+    edges += [(f"c{n}", f"c{(n + 1) % 20}") for n in range(20)] + [(f"c{n}", f"d{n}") for n in range(20)] + [("é", "è"), ("è", "é"), (None, "x"), ("x", None), ("x", "x")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    want = {(m, c[0], len(c)) for c in graph.tarjan([e for e in edges if None not in e]) if len(c) > 1 for m in c}
+    assert len(want) > 200
+    seen, plain = [], graph.coloured
+    monkeypatch.setattr(graph, "coloured", lambda e: seen.append(e.count()) or plain(e))
+    assert {tuple(r) for r in graph.components(df).collect()} == {tuple(r) for r in graph.components(df, small=50).collect()} == want
+    assert not seen
+    # a part beyond the budget is coloured, and nothing else
+    assert {tuple(r) for r in graph.components(df, small=30).collect()} == want
+    assert seen == [40]
